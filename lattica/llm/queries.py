@@ -28,8 +28,42 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import quality_rules as R
+
+    docs = table(spark, sf_dir, "documents")
+    model = R.fit(docs, table(spark, sf_dir, "labels"))
+    return R.apply_rules(docs, model, ["doc_id"])
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm import token_counts as T
+
+    return T.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import language_model as M
+
+    held_out = fold("doc_id", 5) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    model, counts = M.fit(docs.where(~F.col("held_out")))
+    return M.score(docs, model, counts, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_classifier,
+            op3_quality_rules,
+            op5_language_id,
+            op9_token_counts,
+            op10_language_model,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
