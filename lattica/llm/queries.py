@@ -19,6 +19,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import jaccard_join as J
+
+    return J.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import language_id as L
 
@@ -28,6 +34,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import substring_dedup as S
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.deduplicate(docs, ["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256")
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import quality_rules as R
 
@@ -58,7 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_quality_classifier,
+            op2_substring_dedup,
             op3_quality_rules,
+            op4_jaccard_join,
             op5_language_id,
             op9_token_counts,
             op10_language_model,
@@ -67,4 +84,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    return {
+        "op2_substring_dedup": f"""
+            WITH w AS (SELECT doc_id, {words} AS w FROM documents),
+            places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+            win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM places),
+            earliest AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN earliest USING (s)
+                     WHERE doc_id > first_doc),
+            lists AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id),
+            word_rows AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w),
+            kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM word_rows
+                     ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+                   sha256(coalesce(t, '')) AS kept_sha256
+            FROM w LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+        """,
+        "op4_jaccard_join": f"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, {words.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+                FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+                    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g)
+                     WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+            link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                     WHERE 100 * k >= 75 * (x.n + y.n - k)),
+            rword_rows AS (SELECT doc_id AS a, doc_id AS b FROM documents
+                      UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+            SELECT r.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
+            FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r LEFT JOIN n ON n.doc_id = r.doc_id
+        """,
+    }

@@ -23,10 +23,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete a query's shuffle files when the query has ended; what a
+    later query needs again is in a written table."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut
     and any executor can read every part."""
     spark = df.sparkSession
+    release_shuffles(spark)
     path = f"{checkpoint_dir(spark)}/lattica-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,10 +1,11 @@
 """Token counts by a public tokenizer, lengths only.
 
 Texts go to the library in batches of about equal bytes. With a byte-level
-vocabulary that adds no prefix space, a long text is first split at safe
-boundaries: a space between two ASCII letters always begins a new piece of the
-pre-tokenizer, and no special string holds a space, so the counts of the parts
-add up to the count of the text.
+vocabulary that adds no prefix space, texts are first split at safe boundaries: a
+single space before an ASCII letter always begins a new piece of the pre-tokenizer,
+and no special string holds a space, so the counts of the parts add up to the count
+of the text. Each distinct part of a batch is encoded once, and counts of short
+parts are remembered in a table of bounded size.
 
 Defined cases: a null text counts as empty, an empty text has 0 tokens; special
 strings inside texts are handled as the library's default; no truncation or
@@ -20,33 +21,24 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+from lattica.llm.arrays import chunks
+
+_SAFE = re.compile(r"(?<=\S)(?= [A-Za-z])")
 
 
 @dataclass(frozen=True)
 class CountParams:
     batch_bytes: int = 1 << 18
-    part_chars: int = 1 << 16
+    #: Parts whose counts are remembered, and the longest of them.
+    remembered: int = 600_000
+    remembered_chars: int = 64
     limit: int = 1024
 
 
-def safe_parts(text: str, size: int) -> list[str]:
-    """Cut a text at safe boundaries into parts of ``size`` characters or a little more."""
-    parts, at = [], 0
-    while len(text) - at > size:
-        found = _SAFE.search(text, at + size)
-        if not found:
-            break
-        parts.append(text[at : found.start()])
-        at = found.start()
-    return [*parts, text[at:]]
-
-
 def json_counter(data: bytes) -> tuple[Callable[[list[str]], list[int]], bool]:
     """Batch counter of a tokenizers file, and whether its texts may be split."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,27 +62,39 @@ def piece_counter(data: bytes) -> tuple[Callable[[list[str]], list[int]], bool]:
     return lambda texts: [len(x) for x in s.encode(texts, num_threads=1)], False
 
 
-def count_texts(texts: list[str], counter: Callable[[list[str]], list[int]], split: bool, p: CountParams) -> np.ndarray:
-    """Token counts of ``texts`` through batches balanced by bytes."""
-    out = np.zeros(len(texts), np.int64)
-    parts, owners, size = [], [], 0
-
-    def flush() -> None:
-        np.add.at(out, owners, counter(parts))
-        parts.clear()
-        owners.clear()
-
-    for i, text in enumerate(texts):
-        for part in safe_parts(text, p.part_chars) if split and len(text) > p.part_chars else (text,):
-            parts.append(part)
-            owners.append(i)
-            size += len(part)
-            if size >= p.batch_bytes:
-                flush()
-                size = 0
-    if parts:
-        flush()
-    return out
+class PartCounter:
+    """Counts texts through batches of distinct parts, balanced by bytes."""
+
+    def __init__(self, counter: Callable[[list[str]], list[int]], split: bool, p: CountParams) -> None:
+        self.counter, self.split, self.p = counter, split, p
+        self.known: dict[str, int] = {}
+
+    def _learn(self, parts: set[str]) -> dict[str, int]:
+        """Counts of parts too long to be remembered; short ones join the table."""
+        long: dict[str, int] = {}
+        batch, size = [], 0
+        for part in [*parts, None]:
+            if part is not None:
+                batch.append(part)
+                size += len(part)
+            if batch and (part is None or size >= self.p.batch_bytes):
+                for x, n in zip(batch, self.counter(batch), strict=True):
+                    (self.known if len(x) <= self.p.remembered_chars else long)[x] = n
+                batch, size = [], 0
+        return long
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        if not self.split:
+            long = self._learn(set(texts))
+            return [self.known.get(t, long.get(t)) for t in texts]
+        if len(self.known) > self.p.remembered:
+            self.known.clear()
+        parts = [_SAFE.split(t) for t in texts]
+        long = self._learn(set().union(*parts).difference(self.known))
+        if long:
+            return [sum(self.known[x] if x in self.known else long[x] for x in own) for own in parts]
+        get = self.known.__getitem__
+        return [sum(map(get, own)) for own in parts]
 
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str], p: CountParams = CountParams()) -> DataFrame:
@@ -105,12 +109,12 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], p: CountParams = C
         counter = None
         for batch in batches:
             if counter is None:
-                counter, split = make(shared.value)
-            n = [np.empty(0, np.int64)]
-            for at in range(0, batch.num_rows, 512):
-                n.append(count_texts(batch.column(batch.num_columns - 1).slice(at, 512).to_pylist(), counter, split, p))
+                counter = PartCounter(*make(shared.value), p)
+            n, texts = [], batch.column(batch.num_columns - 1)
+            for c in chunks(texts, 1 << 20):
+                n += counter(texts.slice(c.rows.start, c.n).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.concatenate(n))], names=[*batch.schema.names[:-1], "n_tokens"]
+                [*batch.columns[:-1], pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"]
             )
 
     counted = source.mapInArrow(run, f"{schema}, n_tokens long")
