@@ -47,9 +47,9 @@ class JaccardParams:
     shingle: int = 5
     #: Linked if percent * |union| <= 100 * |intersection|.
     percent: int = 75
-    #: Buckets of the document counts that order tokens, and of the filter of candidate nodes: fixed sizes.
+    #: Buckets of the document counts that order tokens, and bits of the filter of shared entries: fixed sizes.
     count_bits: int = 18
-    filter_bits: int = 24
+    filter_bits: int = 27
     #: A bucket is frequent if its count exceeds the mean by so many and by so many standard deviations.
     frequent: int = 64
     deviations: float = 6.0
@@ -118,25 +118,38 @@ def signatures(s: np.ndarray, rank: np.ndarray, p: JaccardParams) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").alias("_text"))
-
-
-def token_ranks(docs: DataFrame, p: JaccardParams) -> np.ndarray:
-    """0 for rare buckets, higher for more frequent ones. Counts cover all documents;
-    each task sends at most one row for each bucket, and the driver gets frequent buckets alone."""
+def describe(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """One pass over the texts: a row (doc_id, n_shingles, node) for each document, and
+    rows (bucket, n) with each task's document counts of hashed shingles."""
     size = 1 << p.count_bits
+    kind = docs.schema["doc_id"].dataType
+    names = ["doc_id", "n_shingles", "node", "bucket", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts, id_type = np.zeros(size, np.int64), None
         for batch in batches:
-            for c in A.chunks(batch.column(0)):
+            n, node = [], []
+            id_type = batch.column(0).type
+            for c in A.chunks(batch.column(1)):
                 sets = shingle_sets(c, p)
+                n += [len(s) for s in sets]
+                node += [set_hash(s) for s in sets]
                 counts += np.bincount((np.concatenate(sets) & _U(size - 1)).astype(np.int64), minlength=size)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, none], names=names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+        if len(at):
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), none, none, pa.array(at), pa.array(counts[at])], names=names)
 
-    counts = saved(docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "jaccard-counts")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(
+        run, f"doc_id {kind.simpleString()}, n_shingles long, node long, bucket long, n long")
+
+
+def token_ranks(counts: DataFrame, p: JaccardParams) -> np.ndarray:
+    """0 for rare buckets, higher for more frequent ones; only frequent buckets of the fixed number reach the driver."""
+    size = 1 << p.count_bits
+    counts = saved(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "jaccard-counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / size
     over = mean + max(p.frequent, p.deviations * mean**0.5)
     found = counts.where(F.col("n") > over).toPandas()
@@ -145,101 +158,127 @@ def token_ranks(docs: DataFrame, p: JaccardParams) -> np.ndarray:
     return rank
 
 
-def document_nodes(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """(doc_id, n_shingles, node) for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node = [], []
-            for c in A.chunks(batch.column(1)):
-                for s in shingle_sets(c, p):
-                    n.append(len(s))
-                    node.append(set_hash(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"]
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _columns(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
-
-
-def index_entries(docs: DataFrame, rank: np.ndarray, p: JaccardParams) -> DataFrame:
-    """(entry, node, n) rows of the index; equal sets give equal rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # 2**count_bits bytes
+def index_entries(docs: DataFrame, rank, p: JaccardParams) -> DataFrame:
+    """(entry, node) rows of the index; equal sets give equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in A.chunks(batch.column(0)):
-                entries, nodes, sizes = [], [], []
-                for s in shingle_sets(c, p):
-                    entries.append(signatures(s, shared.value, p))
-                    nodes.append(set_hash(s))
-                    sizes.append(len(s))
-                times = [len(e) for e in entries]
+                sets = shingle_sets(c, p)
+                entries = [signatures(s, rank.value, p) for s in sets]
+                nodes = np.array([set_hash(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(entries).view(np.int64)),
-                        pa.array(np.repeat(np.array(nodes, np.int64), times)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                    ],
-                    names=["entry", "node", "n"],
+                    [pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.repeat(nodes, [len(e) for e in entries]))],
+                    names=["entry", "node"],
                 )
 
-    return docs.select("text").mapInArrow(run, "entry long, node long, n int")
+    return docs.select("text").mapInArrow(run, "entry long, node long")
 
 
-def node_texts(docs: DataFrame, members: DataFrame, p: JaccardParams) -> DataFrame:
-    """(node, text), one text for each node of ``members``. A filter of fixed size keeps
-    most other texts out of the shuffle; what it lets through wrongly costs time only."""
-    spark = docs.sparkSession
-    mask = (1 << p.filter_bits) - 1
-    bit = F.col("node").bitwiseAND(F.lit(mask))
+def key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2**bits`` bits with the low bits of each key: fixed size, no misses."""
+    mask = (1 << bits) - 1
     words = (
-        members.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast((node & {mask}) & 63 as int))").alias("bits"))
+        keys.select(
+            F.shiftright(F.col(column).bitwiseAND(F.lit(mask)), 6).cast("int").alias("word"),
+            F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits"),
+        )
         .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     )
-    bits = np.zeros(1 << (p.filter_bits - 6), np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits.view(_U))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(_U)
+
+
+def _passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    low = keys & _U((1 << bits) - 1)
+    return (bitmap[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1) == 1
+
+
+def candidates(docs: DataFrame, rank, bitmap, p: JaccardParams) -> DataFrame:
+    """(node, n, entries, sketch, text) of the documents with an entry that passes the bitmap.
+    The sketch holds 16-bit hashes of a quarter of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, node = [], []
+            rows, node, n, entries, sketch = [], [], [], [], []
             for c in A.chunks(batch.column(0)):
                 for i, s in enumerate(shingle_sets(c, p)):
-                    h = set_hash(s)
-                    at = h & mask
-                    if len(s) > 1 and int(shared.value[at >> 6]) >> (at & 63) & 1:
-                        keep.append(c.rows.start + i)
-                        node.append(h)
+                    own = signatures(s, rank.value, p)
+                    own = own[_passes(bitmap.value, own, p.filter_bits)]
+                    if len(own):
+                        rows.append(c.rows.start + i)
+                        node.append(set_hash(s))
+                        n.append(len(s))
+                        entries.append(own.view(np.int64))
+                        sketch.append(_sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["node", "text"]
+                [
+                    pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(entries, pa.list_(pa.int64())),
+                    pa.array(sketch, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64())),
+                ],
+                names=["node", "n", "entries", "sketch", "text"],
+            )
+
+    found = docs.select("text").mapInArrow(run, "node long, n int, entries array<long>, sketch binary, text string")
+    return found.groupBy("node").agg(F.first(F.struct("n", "entries", "sketch", "text")).alias("r")).select("node", "r.*")
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    return np.sort((s[s & _U(3) == 0] >> _U(40)).astype(np.uint16)).tobytes()
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Entries that two sorted arrays have in common, repeats included (as many as the rarer has)."""
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    return int((z[1:] == z[:-1]).sum())
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: JaccardParams) -> bool:
+    """False only if the sketches prove that two sets aren't linked: tokens outside the
+    quarter may all be shared, those inside at most as often as their hashes agree."""
+    both = _shared(a, b) + min(n_a - len(a), n_b - len(b))
+    return 100 * both >= p.percent * (n_a + n_b - both)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
+    """The pairs (a, b) that :func:`may_link` leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, x, y, n, m = (c.to_pylist() for c in batch.columns)
+            keep = pa.array(
+                [may_link(np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16), i, j, p) for u, v, i, j in zip(x, y, n, m, strict=True)],
+                pa.bool_(),
             )
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    found = docs.select("text").mapInArrow(run, "node long, text string")
-    return saved(found.groupBy("node").agg(F.min("text").alias("text")), "jaccard-texts")
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_b"))
+    met = pairs.join(left, "a").join(right, "b").where(_sizes_fit(p, "n_a", "n_b"))
+    return met.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by their whole shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [np.empty(0, bool)]
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 left = [s for c in A.chunks(part.column(2), 1 << 40) for s in shingle_sets(c, p)]
                 right = [s for c in A.chunks(part.column(3), 1 << 40) for s in shingle_sets(c, p)]
                 for x, y in zip(left, right, strict=True):
-                    z = np.sort(np.concatenate([x, y]))
-                    same = int((z[1:] == z[:-1]).sum())
+                    same = _shared(x, y)
                     ok.append(np.array([100 * same >= p.percent * (len(x) + len(y) - same)]))
             keep = pa.array(np.concatenate(ok))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left = sets.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    met = plausible(pairs, sets, p).join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -249,18 +288,24 @@ def _sizes_fit(p: JaccardParams, x: str, y: str):
 
 def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
-    nodes = saved(document_nodes(docs, p), "jaccard-nodes")
-    entries = index_entries(docs, token_ranks(docs, p), p)
-    shared = entries.groupBy("entry").agg(F.min("node").alias("center"), F.max("node").alias("_last")).where("center <> _last").drop("_last")
-    members = saved(entries.join(shared, "entry").groupBy("entry", "node", "center").agg(F.first("n").alias("n")), "jaccard-members")
-    texts = node_texts(docs, members, p)
+    spark = docs.sparkSession
+    described = saved(describe(docs, p), "jaccard-nodes")
+    nodes = described.where("node is not null").select("doc_id", "n_shingles", "node")
+    ranks = token_ranks(described.where("bucket is not null").select("bucket", "n"), p)
+    rank = spark.sparkContext.broadcast(ranks)  # 2**count_bits bytes
+    ends = index_entries(docs, rank, p).groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = saved(ends.where("lo <> hi").select("entry"), "jaccard-shared")
+    bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # 2**filter_bits bits
+    sets = saved(candidates(docs, rank, bitmap, p), "jaccard-sets")
+    members = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
     # each node meets the centre with which it shares most entries
+    center = members.groupBy("entry").agg(F.min("node").alias("center"))
     first = (
-        members.where("node <> center").groupBy("node", "center").count()
+        members.join(center, "entry").where("node <> center").groupBy("node", "center").count()
         .groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     )
-    links = saved(verified(first.select(F.col("center").alias("a"), F.col("node").alias("b")), texts, p), "jaccard-links")
-    members = members.select("entry", "node", "n", F.lit(False).alias("done"))
+    links = saved(verified(first.select(F.col("center").alias("a"), F.col("node").alias("b")), sets, p), "jaccard-links")
+    members = members.withColumn("done", F.lit(False))
     slots = 1
     while True:
         labels = connected_components(links)
@@ -278,7 +323,7 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
             members.join(centers, "entry").where((F.col("comp") != F.col("center_comp")) & _sizes_fit(p, "n", "center_n"))
             .select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         )
-        links = saved(links.union(verified(pairs, texts, p)), "jaccard-links")
+        links = saved(links.union(verified(pairs, sets, p)), "jaccard-links")
         met = centers.select("entry", F.col("center").alias("node"), F.lit(True).alias("met"))
         members = members.join(met, ["entry", "node"], "left").withColumn("done", F.col("done") | F.coalesce("met", F.lit(False))).drop("met")
         slots *= 4

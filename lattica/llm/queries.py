@@ -113,7 +113,7 @@ def oracle_sql() -> dict[str, str]:
                      WHERE a.doc_id <> b.doc_id GROUP BY ALL),
             link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
                      WHERE 100 * k >= 75 * (x.n + y.n - k)),
-            rword_rows AS (SELECT doc_id AS a, doc_id AS b FROM documents
+            reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
                       UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
             SELECT r.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
             FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r LEFT JOIN n ON n.doc_id = r.doc_id
