@@ -49,7 +49,7 @@ class JaccardParams:
     percent: int = 75
     #: Buckets of the document counts that order tokens, and bits of the filter of shared entries: fixed sizes.
     count_bits: int = 18
-    filter_bits: int = 27
+    filter_bits: int = 26
     #: A bucket is frequent if its count exceeds the mean by so many and by so many standard deviations.
     frequent: int = 64
     deviations: float = 6.0
@@ -152,9 +152,10 @@ def token_ranks(counts: DataFrame, p: JaccardParams) -> np.ndarray:
     counts = saved(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "jaccard-counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / size
     over = mean + max(p.frequent, p.deviations * mean**0.5)
-    found = counts.where(F.col("n") > over).toPandas()
+    found = counts.where(F.col("n") > over).toArrow()
     rank = np.zeros(size, np.uint8)
-    rank[found["bucket"].to_numpy(np.int64)] = 1 + np.minimum(4 * np.log2(np.maximum(found["n"].to_numpy() - mean, 1)), 250).astype(np.uint8)
+    excess = np.maximum(found.column("n").to_numpy() - mean, 1)
+    rank[found.column("bucket").to_numpy()] = 1 + np.minimum(4 * np.log2(excess), 250).astype(np.uint8)
     return rank
 
 
@@ -183,10 +184,10 @@ def key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
             F.shiftright(F.col(column).bitwiseAND(F.lit(mask)), 6).cast("int").alias("word"),
             F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits"),
         )
-        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(_U)
 
 

@@ -51,6 +51,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.apply_rules(docs, model, ["doc_id"])
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from lattica.llm import byte_bpe as B
+
+    docs = table(spark, sf_dir, "documents")
+    return B.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ["doc_id"]).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_quality_rules,
             op4_jaccard_join,
             op5_language_id,
+            op8_byte_bpe,
             op9_token_counts,
             op10_language_model,
         )
