@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.decontamination import UNITS
 from lattica.llm.tables import fold, table
 
 
@@ -51,6 +52,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.apply_rules(docs, model, ["doc_id"])
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import decontamination as D
+
+    return D.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_quality_rules,
             op4_jaccard_join,
             op5_language_id,
+            op6_decontamination,
             op8_byte_bpe,
             op9_token_counts,
             op10_language_model,
@@ -97,6 +105,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    raw = (
+        r"' ' || regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', '  ', 'g'),"
+        r" '(\\p{N})(\\p{L})', '\\1  \\2', 'g'), '^ +| +$', '', 'g') || ' '"
+    ).replace("\\\\", "\\")
+    temp = (
+        "lower(regexp_replace(regexp_replace(regexp_replace(raw, ' \\p{N}[\\p{L}\\p{N}]* ', ' #n ', 'g'), "
+        f"' #n  (?i:{UNITS}) ', ' #n  #u ', 'g'), ' \\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]* ', ' #p ', 'g'))"
+    )
     return {
         "op2_substring_dedup": f"""
             WITH w AS (SELECT doc_id, {words} AS w FROM documents),
@@ -130,4 +146,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT r.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
             FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r LEFT JOIN n ON n.doc_id = r.doc_id
         """,
+        "op6_decontamination": f"""
+            WITH docs AS (SELECT doc_id, {raw} AS raw FROM documents WHERE doc_id IS NOT NULL),
+            d AS (SELECT doc_id, string_split(trim(lower(raw)), '  ') AS r, string_split(trim({temp}), '  ') AS t FROM docs),
+            bench AS (SELECT item_id, {raw} AS raw FROM benchmark WHERE item_id IS NOT NULL),
+            b AS (SELECT min(item_id) AS item_id, r, t FROM (
+                  SELECT item_id, string_split(trim(lower(raw)), '  ') AS r, string_split(trim({temp}), '  ') AS t FROM bench)
+                  GROUP BY r, t),
+            dw AS (SELECT doc_id, i, array_to_string(t[i:i + 7], ' ') AS k FROM (
+                   SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS i FROM d)),
+            bw AS (SELECT item_id, i, array_to_string(t[i:i + 7], ' ') AS k FROM (
+                   SELECT item_id, t, unnest(range(1, len(t) - 6)) AS i FROM b)),
+            sizes AS (SELECT item_id, count(*) AS n FROM bw GROUP BY item_id),
+            spans AS (SELECT doc_id, item_id, dw.i - bw.i AS shift, list(DISTINCT bw.i) AS places
+                      FROM dw JOIN bw USING (k) GROUP BY ALL),
+            slots AS (SELECT DISTINCT doc_id, item_id, shift, b.t[i] AS kind, b.r[i] AS mine, d.r[i + shift] AS theirs
+                      FROM (SELECT *, unnest(range(list_min(places), list_max(places) + 8)) AS i FROM spans) s
+                      JOIN b USING (item_id) JOIN d USING (doc_id) WHERE b.t[i] LIKE '#%'),
+            bad AS (SELECT doc_id, item_id, shift FROM slots GROUP BY ALL
+                    HAVING count(*) <> count(DISTINCT (kind, mine)) OR count(*) <> count(DISTINCT (kind, theirs))),
+            good AS (SELECT doc_id, item_id, unnest(places) AS i FROM spans ANTI JOIN bad USING (doc_id, item_id, shift)),
+            matched AS (SELECT doc_id, item_id, count(DISTINCT i) AS m FROM good GROUP BY ALL)
+            SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_windows, CAST(m AS BIGINT) AS n_matched
+            FROM matched JOIN sizes USING (item_id) WHERE m * 100 >= n * 50
+        """,
     }
