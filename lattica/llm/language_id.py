@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
@@ -182,6 +182,31 @@ def fit(docs: DataFrame, p: LanguageParams = LanguageParams(), learn=None) -> La
     return train([r[1] for r in rows], [r[2] for r in rows], p)
 
 
+def _predict(text: pa.Array, m: LanguageModel) -> tuple[pa.Array, pa.Array]:
+    """lang_pred and score of each text."""
+    names = np.array([*m.languages, UNDETERMINED], object)
+    best, score = [np.empty(0, np.int64)], [np.empty(0)]
+    for c in A.chunks(text, 1 << 20):
+        ok = has_letter(c)
+        if m.languages:
+            b, s = score_chunk(c, m)
+        else:
+            ok, b, s = np.zeros(c.n, bool), np.zeros(c.n, np.int64), np.zeros(c.n)
+        best.append(np.where(ok, b, len(m.languages)))
+        score.append(np.where(ok, s, 0.0))
+    return pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))
+
+
+def prediction(spark: SparkSession, text: Column, model: LanguageModel) -> Column:
+    """struct(lang_pred, score) of a text column, beside any other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(list(_predict(x, shared.value)), ["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")(text)
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as its parameters say
@@ -190,19 +215,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
-            best, score = [np.empty(0, np.int64)], [np.empty(0)]
-            for c in A.chunks(batch.column(batch.num_columns - 1), 1 << 20):
-                ok = has_letter(c)
-                if m.languages:
-                    b, s = score_chunk(c, m)
-                else:
-                    ok, b, s = np.zeros(c.n, bool), np.zeros(c.n, np.int64), np.zeros(c.n)
-                best.append(np.where(ok, b, len(m.languages)))
-                score.append(np.where(ok, s, 0.0))
+            best, score = _predict(batch.column(batch.num_columns - 1), m)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))],
+                [*batch.columns[:-1], best, score],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 

@@ -324,20 +324,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFram
                         joined.append(b" ".join(text.split()))
                         cut.append(None)
                         continue
-                    change = np.zeros(total + 1, np.int64)
-                    np.add.at(change, lo[a:b], 1)
-                    np.add.at(change, hi[a:b], -1)
-                    stays = np.cumsum(change)[:total] <= 0
+                    stays = _stays(total, lo[a:b], hi[a:b])
                     gone.append(int(total - stays.sum()))
                     joined.append(b" ".join(x for x, k in zip(text.split(), stays, strict=True) if k))
-                    # bytes from a removed word to the next word go
-                    start = w.start[w.first[i] : w.first[i + 1]] - c.offsets[i]
-                    stop = np.append(start[1:], len(text))
-                    parts, at = [], 0
-                    for x, y in _blocks(~stays):
-                        parts.append(text[at : start[x]])
-                        at = int(stop[y - 1])
-                    cut.append(b"".join([*parts, text[at:]]))
+                    cut.append(cut_text(text, w, i, c.offsets[i], stays))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(joined, pa.binary()).cast(pa.string()), pa.array(cut, pa.binary()).cast(pa.string())],
                 names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept_words", "kept_text"],
@@ -346,6 +336,48 @@ def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFram
     return source.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_words string, kept_text string")
 
 
+def cut_text(text: bytes, w: A.Words, i: int, base: int, stays: np.ndarray) -> bytes:
+    """Document ``i`` of a chunk without its removed words and the white space after each."""
+    start = w.start[w.first[i] : w.first[i + 1]] - base
+    stop = np.append(start[1:], len(text))
+    parts, at = [], 0
+    for x, y in _blocks(~stays):
+        parts.append(text[at : start[x]])
+        at = int(stop[y - 1])
+    return b"".join([*parts, text[at:]])
+
+
+def _stays(total: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    change = np.zeros(total + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi, -1)
+    return np.cumsum(change)[:total] <= 0
+
+
+def clean_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, the spans cut out of text; a text that loses all its words is null."""
+    listed = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
+    def run(text: pa.Array, runs: pa.Array) -> pa.Array:
+        all_runs, out = list(_runs(runs)), []
+        for c in A.chunks(text):
+            w = A.words(c)
+            for i in range(c.n):
+                r, own = all_runs[c.rows.start + i], c.text(i)
+                if len(r["start"]):
+                    stays = _stays(int(w.first[i + 1] - w.first[i]), r["start"], r["end"])
+                    out.append(cut_text(own, w, i, c.offsets[i], stays) if stays.any() else None)
+                else:
+                    out.append(own)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    cut = F.arrow_udf(run, "string")(F.col("text"), F.col("_spans"))
+    both = docs.join(listed, F.col("doc_id").cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    both = both.withColumn("_spans", F.coalesce("_spans", none))
+    return both.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))).drop("_spans")
+
+
 def _blocks(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
