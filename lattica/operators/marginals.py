@@ -27,13 +27,16 @@ def pair_domain(spark, n_sites: int, q: int) -> DataFrame:
 
 def pairs_of(codes: Column, n_sites: int) -> Column:
     """array of struct(i, j, a, b) with i < j, built inside the row: no self-join."""
-    return F.flatten(F.array(*[
-        F.transform(
-            F.sequence(F.lit(i + 1), F.lit(n_sites)),
-            lambda j, i=i: F.struct(F.lit(i).alias("i"), j.alias("j"), F.get(codes, F.lit(i - 1)).alias("a"), F.get(codes, j - 1).alias("b")),
-        )
-        for i in range(1, n_sites)
-    ])) if n_sites < 40 else F.flatten(F.transform(
+    def partners(i: int) -> Column:
+        def pair(j: Column) -> Column:
+            return F.struct(F.lit(i).alias("i"), j.alias("j"), F.get(codes, F.lit(i - 1)).alias("a"), F.get(codes, j - 1).alias("b"))
+
+        return F.transform(F.sequence(F.lit(i + 1), F.lit(n_sites)), pair)
+
+    if n_sites < 40:
+        return F.flatten(F.array(*[partners(i) for i in range(1, n_sites)]))
+    # one nested expression instead of a branch per site
+    return F.flatten(F.transform(
         F.sequence(F.lit(1), F.lit(n_sites - 1)),
         lambda i: F.transform(
             F.sequence(i + 1, F.lit(n_sites)),
