@@ -14,11 +14,11 @@ number of sub-classes depends on the size band of a pair; a document near a band
 edge is indexed for both.
 
 Documents with equal sets are one node (64-bit hash of the sorted set). Candidates
-are verified on whole texts. For classes not all pairs are needed: each node first
-meets the first node of its most frequent entry partner; then, as long as an entry
-holds nodes of two classes, more and more of its nodes meet all nodes of other
-classes, until every pair in it has been compared or is in one class. No link is
-lost, and no entry is ever collected or paired with itself.
+are verified on whole texts. For classes not all pairs are needed: in a few turns each
+node meets one node of a larger class with which it shares entries. Then every entry
+that still holds several classes is finished: the pairs of small entries are listed,
+large ones are compared block by block. Every pair that shares an entry has then been
+compared or is in one class, so no link is lost, and no entry is ever collected.
 
 Defined cases: texts with fewer words than a shingle are one shingle; a null text
 or one without words is linked with nothing; repeated rows are equal sets; a null
@@ -53,6 +53,11 @@ class JaccardParams:
     #: A bucket is frequent if its count exceeds the mean by so many and by so many standard deviations.
     frequent: int = 64
     deviations: float = 6.0
+    #: Turns in which each node meets one other, nodes of an entry up to which its pairs
+    #: are listed, and texts of a block beyond that.
+    turns: int = 3
+    pairwise: int = 16
+    block: int = 128
     bands: tuple[int, ...] = tuple(4**k for k in range(2, 16))
 
 
@@ -287,6 +292,98 @@ def _sizes_fit(p: JaccardParams, x: str, y: str):
     return (F.col(x) * 100 >= F.col(y) * p.percent) & (F.col(y) * 100 >= F.col(x) * p.percent)
 
 
+def _best_partners(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), at most one for each node: in each entry a node of its largest class
+    is the centre, another one each turn; a node of another class meets the centre with
+    which it shares most entries. Before the first turn every node is a class."""
+    order = F.xxhash64("node", F.lit(turn))
+    classes = members.groupBy("entry", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("o"), F.col("node"))).alias("c"))
+    center = classes.groupBy("entry").agg(F.max(F.struct("k", F.col("c.node").alias("node"), "comp")).alias("m"))
+    met = members.join(center.select("entry", F.col("m.node").alias("center"), F.col("m.comp").alias("main")), "entry").where("comp <> main")
+    best = met.groupBy("node", "center").count().groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
+    return best.select(F.col("center").alias("a"), F.col("node").alias("b"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the entries that hold more than one class, with the new classes."""
+    rows = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = rows.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("entry")
+    return rows.join(several, "entry")
+
+
+def block_links(members: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
+    """Links (a, b) between classes within large entries, compared in blocks.
+
+    Entries with the same least node are taken together. Their nodes are dealt into
+    blocks of about ``block`` texts; blocks of nodes outside the largest class meet all
+    blocks, as rows of blocks and not of pairs. A block pair is one matrix product and
+    gives at most a spanning forest of its links."""
+    group = members.groupBy("entry").agg(F.min("node").alias("g"))
+    rows = members.join(group, "entry").groupBy("g", "node").agg(F.first("comp").alias("comp"))
+    rows = saved(rows, "jaccard-groups")
+    main = rows.groupBy("g", "comp").count().groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("size"))
+    rows = rows.join(main.select("g", F.col("m.comp").alias("main"), "size"), "g").join(sets.select("node", "text"), "node")
+    own = F.struct("node", "comp", "text")
+    rest = F.when(F.col("comp") != F.col("main"), 1).otherwise(0)
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(p.block)))
+    blocks = saved(rows.groupBy("g", rest.alias("rest"), block.alias("block")).agg(F.collect_list(own).alias("texts")), "jaccard-blocks")
+    left = blocks.where("rest = 1").select("g", F.col("block").alias("x"), F.col("texts").alias("left"))
+    right = blocks.select("g", F.col("block").alias("y"), "rest", F.col("texts").alias("right"))
+    met = left.join(right, "g").where("rest = 0 or x <= y").select("left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _forest(batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten(), p)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _forest(left: pa.StructArray, right: pa.StructArray, p: JaccardParams) -> tuple[list[int], list[int]]:
+    """Links between two blocks that join different classes, each class pair at most once."""
+    sides = []
+    for side in (left, right):
+        own = [s for c in A.chunks(side.field("text"), 1 << 40) for s in shingle_sets(c, p)]
+        sides.append((side.field("node").to_numpy(), side.field("comp").to_numpy(), own))
+    (node_a, comp_a, sets_a), (node_b, comp_b, sets_b) = sides
+    flat = np.concatenate([*sets_a, *sets_b])
+    token = np.unique(flat, return_inverse=True)[1].ravel()
+    n = np.array([len(s) for s in (*sets_a, *sets_b)])
+    row = np.repeat(np.arange(len(n)), n)
+    # a token that only one side has adds nothing to an intersection
+    first = row < len(sets_a)
+    count_a = np.bincount(token[first], minlength=int(token.max(initial=-1)) + 1)
+    count_b = np.bincount(token[~first], minlength=len(count_a))
+    used = np.flatnonzero((count_a > 0) & (count_b > 0))
+    place = np.full(len(count_a), -1)
+    place[used] = np.arange(len(used))
+    same = np.zeros((len(sets_a), len(sets_b)))
+    for lo in range(0, len(used), 16384):
+        at = place[token] - lo
+        ok = (at >= 0) & (at < 16384)
+        hot = np.zeros((len(n), 16384), np.float32)
+        hot[row[ok], at[ok]] = 1
+        same += hot[: len(sets_a)] @ hot[len(sets_a) :].T
+    size_a, size_b = n[: len(sets_a), None], n[len(sets_a) :][None, :]
+    linked = (100 * same >= p.percent * (size_a + size_b - same)) & (comp_a[:, None] != comp_b[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out_a, out_b = [], []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        u, v = root(int(comp_a[i])), root(int(comp_b[j]))
+        if u != v:
+            parent[u] = v
+            out_a.append(int(node_a[i]))
+            out_b.append(int(node_b[j]))
+    return out_a, out_b
+
+
 def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -299,35 +396,22 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # 2**filter_bits bits
     sets = saved(candidates(docs, rank, bitmap, p), "jaccard-sets")
     members = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
-    # each node meets the centre with which it shares most entries
-    center = members.groupBy("entry").agg(F.min("node").alias("center"))
-    first = (
-        members.join(center, "entry").where("node <> center").groupBy("node", "center").count()
-        .groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    )
-    links = saved(verified(first.select(F.col("center").alias("a"), F.col("node").alias("b")), sets, p), "jaccard-links")
-    members = members.withColumn("done", F.lit(False))
-    slots = 1
-    while True:
+    members = members.withColumn("comp", F.col("node"))
+    links = None
+    for turn in range(p.turns):
+        # each node meets the node of a larger class with which it shares most entries
+        found = saved(verified(_best_partners(members, turn), sets, p), "jaccard-links")
+        links = found if links is None else links.union(found)
         labels = connected_components(links)
-        members = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # an entry is open while it holds two classes and a node that hasn't met all others
-        state = members.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("done").alias("all"))
-        members = saved(members.join(state.where("lo <> hi and not all").select("entry"), "entry"), "jaccard-open")
-        if not members.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-        centers = members.where("not done").groupBy("entry", slot.alias("slot")).agg(
-            F.min(F.struct("node", "comp", "n")).alias("c")).select("entry", F.col("c.node").alias("center"), F.col("c.comp").alias("center_comp"), F.col("c.n").alias("center_n"))
-        centers = saved(centers, "jaccard-centers")
-        pairs = (
-            members.join(centers, "entry").where((F.col("comp") != F.col("center_comp")) & _sizes_fit(p, "n", "center_n"))
-            .select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        )
-        links = saved(links.union(verified(pairs, sets, p)), "jaccard-links")
-        met = centers.select("entry", F.col("center").alias("node"), F.lit(True).alias("met"))
-        members = members.join(met, ["entry", "node"], "left").withColumn("done", F.col("done") | F.coalesce("met", F.lit(False))).drop("met")
-        slots *= 4
+        members = saved(_open(members, labels), "jaccard-open")
+    size = members.groupBy("entry").count()
+    few = members.join(size.where(F.col("count") <= p.pairwise).select("entry"), "entry")
+    other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
+    found = verified(pairs.select("a", "b").distinct(), sets, p)
+    many = members.join(size.where(F.col("count") > p.pairwise).select("entry"), "entry")
+    links = links.union(saved(found.union(block_links(many, sets, p)), "jaccard-links"))
+    labels = connected_components(links)
     own = nodes.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
     least = own.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
