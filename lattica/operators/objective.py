@@ -213,7 +213,7 @@ class SparkObjective(Objective):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(parts)), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())], names=["piece", "v"])
 
-        def add(key, table: pa.Table) -> pa.Table:
+        def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(v, float) for v in table.column("v").to_pylist())
             return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 

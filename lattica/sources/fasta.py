@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """(seq_id, value): rows of a text file with their place in it."""
+    raw = raw.select(F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"), "value")
+    sizes = raw.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"))
+    before = sizes.withColumn(
+        "before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    return raw.join(F.broadcast(before), "_part").select((F.col("_at") - F.col("lo") + F.col("before")).alias("seq_id"), "value")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, name, seq): one row for each record, in file order.
 
@@ -15,14 +25,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     lines are joined, carriage returns and blank lines are dropped. A file that
     doesn't begin with ``>`` and records of unequal length are errors.
     """
-    raw = spark.read.text(path, lineSep="\n>").select(
-        F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"), "value"
-    )
-    sizes = raw.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"))
-    before = sizes.withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    rows = raw.join(F.broadcast(before), "_part").select((F.col("_at") - F.col("lo") + F.col("before")).alias("seq_id"), "value")
+    rows = _numbered(spark.read.text(path, lineSep="\n>"))
     first = F.col("seq_id") == 0
     marked = F.when(first & ~F.col("value").startswith(">"), F.raise_error(F.lit("an alignment begins with '>'"))).otherwise(
         F.when(first, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
@@ -47,11 +50,11 @@ def check_lengths(sequences: DataFrame) -> int:
 
 def read_weights(spark: SparkSession, path: str, n_rows: int) -> DataFrame:
     """(seq_id, weight) from a text file with one number for each raw sequence."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "x"))
+    lines = _numbered(spark.read.text(path))
     found = lines.count()
     if found != n_rows:
         raise ValueError(f"{found} weights for {n_rows} sequences")
-    return lines.select(F.col("at").cast("long").alias("seq_id"), F.trim("x").cast("double").alias("weight"))
+    return lines.select("seq_id", F.trim("value").cast("double").alias("weight"))
 
 
 def read_couplings(spark: SparkSession, path: str) -> DataFrame:
