@@ -17,7 +17,7 @@ Documents with equal sets are one node (64-bit hash of the sorted set). Candidat
 are verified on whole texts. For classes not all pairs are needed: in a few turns each
 node meets one node of a larger class with which it shares entries. Then every entry
 that still holds several classes is finished: the pairs of small entries are listed,
-large ones are compared block by block. Every pair that shares an entry has then been
+larger ones are compared block by block (sketches first, or whole texts at once). Every pair that shares an entry has then been
 compared or is in one class, so no link is lost, and no entry is ever collected.
 
 Defined cases: texts with fewer words than a shingle are one shingle; a null text
@@ -53,10 +53,11 @@ class JaccardParams:
     #: A bucket is frequent if its count exceeds the mean by so many and by so many standard deviations.
     frequent: int = 64
     deviations: float = 6.0
-    #: Turns in which each node meets one other, nodes of an entry up to which its pairs
-    #: are listed, and texts of a block beyond that.
+    #: Turns in which each node meets one other; nodes of an entry up to which its pairs are
+    #: listed, and up to which sketches go first; rows of a block.
     turns: int = 3
     pairwise: int = 16
+    sketched: int = 64
     block: int = 128
     bands: tuple[int, ...] = tuple(4**k for k in range(2, 16))
 
@@ -311,61 +312,84 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "entry")
 
 
-def block_links(members: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
-    """Links (a, b) between classes within large entries, compared in blocks.
+def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParams) -> DataFrame:
+    """Pairs (a, b) that ``compare`` finds between classes within entries, block by block.
 
     Entries with the same least node are taken together. Their nodes are dealt into
-    blocks of about ``block`` texts; blocks of nodes outside the largest class meet all
-    blocks, as rows of blocks and not of pairs. A block pair is one matrix product and
-    gives at most a spanning forest of its links."""
+    blocks of about ``block`` rows of ``contents`` (node, n, and a sketch or text); blocks
+    of nodes outside the largest class meet all blocks, as rows of blocks and not of pairs."""
     group = members.groupBy("entry").agg(F.min("node").alias("g"))
     rows = members.join(group, "entry").groupBy("g", "node").agg(F.first("comp").alias("comp"))
     rows = saved(rows, "jaccard-groups")
     main = rows.groupBy("g", "comp").count().groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("size"))
-    rows = rows.join(main.select("g", F.col("m.comp").alias("main"), "size"), "g").join(sets.select("node", "text"), "node")
-    own = F.struct("node", "comp", "text")
+    rows = rows.join(main.select("g", F.col("m.comp").alias("main"), "size"), "g").join(contents, "node")
     rest = F.when(F.col("comp") != F.col("main"), 1).otherwise(0)
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(p.block)))
-    blocks = saved(rows.groupBy("g", rest.alias("rest"), block.alias("block")).agg(F.collect_list(own).alias("texts")), "jaccard-blocks")
-    left = blocks.where("rest = 1").select("g", F.col("block").alias("x"), F.col("texts").alias("left"))
-    right = blocks.select("g", F.col("block").alias("y"), "rest", F.col("texts").alias("right"))
+    own = F.struct("node", "comp", "n", F.col(contents.columns[-1]).alias("content"))
+    blocks = saved(rows.groupBy("g", rest.alias("rest"), block.alias("block")).agg(F.collect_list(own).alias("rows")), "jaccard-blocks")
+    left = blocks.where("rest = 1").select("g", F.col("block").alias("x"), F.col("rows").alias("left"))
+    right = blocks.select("g", F.col("block").alias("y"), "rest", F.col("rows").alias("right"))
     met = left.join(right, "g").where("rest = 0 or x <= y").select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out_a, out_b = [], []
             for i in range(batch.num_rows):
-                a, b = _forest(batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten(), p)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = compare(batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten(), p)
+                out_a += a
+                out_b += b
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
 
-def _forest(left: pa.StructArray, right: pa.StructArray, p: JaccardParams) -> tuple[list[int], list[int]]:
-    """Links between two blocks that join different classes, each class pair at most once."""
-    sides = []
-    for side in (left, right):
-        own = [s for c in A.chunks(side.field("text"), 1 << 40) for s in shingle_sets(c, p)]
-        sides.append((side.field("node").to_numpy(), side.field("comp").to_numpy(), own))
-    (node_a, comp_a, sets_a), (node_b, comp_b, sets_b) = sides
+def _intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by a matrix product."""
     flat = np.concatenate([*sets_a, *sets_b])
     token = np.unique(flat, return_inverse=True)[1].ravel()
     n = np.array([len(s) for s in (*sets_a, *sets_b)])
     row = np.repeat(np.arange(len(n)), n)
     # a token that only one side has adds nothing to an intersection
-    first = row < len(sets_a)
-    count_a = np.bincount(token[first], minlength=int(token.max(initial=-1)) + 1)
-    count_b = np.bincount(token[~first], minlength=len(count_a))
-    used = np.flatnonzero((count_a > 0) & (count_b > 0))
-    place = np.full(len(count_a), -1)
+    first, size = row < len(sets_a), int(token.max(initial=-1)) + 1
+    used = np.flatnonzero((np.bincount(token[first], minlength=size) > 0) & (np.bincount(token[~first], minlength=size) > 0))
+    place = np.full(size, -1)
     place[used] = np.arange(len(used))
-    same = np.zeros((len(sets_a), len(sets_b)))
-    for lo in range(0, len(used), 16384):
-        at = place[token] - lo
-        ok = (at >= 0) & (at < 16384)
-        hot = np.zeros((len(n), 16384), np.float32)
-        hot[row[ok], at[ok]] = 1
+    at = place[token]
+    same, width = np.zeros((len(sets_a), len(sets_b))), 8192
+    for lo in range(0, len(used), width):
+        ok = (at >= lo) & (at < lo + width)
+        hot = np.zeros((len(n), min(width, len(used) - lo)), np.float32)
+        np.add.at(hot, (row[ok], at[ok] - lo), 1)
         same += hot[: len(sets_a)] @ hot[len(sets_a) :].T
-    size_a, size_b = n[: len(sets_a), None], n[len(sets_a) :][None, :]
+    return same
+
+
+def _likely_pairs(left: pa.StructArray, right: pa.StructArray, p: JaccardParams) -> tuple[list[int], list[int]]:
+    """Pairs between different classes that their sketches don't rule out (see :func:`may_link`;
+    repeated hashes count as often as both sides allow, which only raises the bound)."""
+    sides = []
+    for side in (left, right):
+        sketches = [np.frombuffer(x, np.uint16) for x in side.field("content").to_pylist()]
+        sides.append((side.field("node").to_numpy(), side.field("comp").to_numpy(), side.field("n").to_numpy().astype(np.int64), sketches))
+    (node_a, comp_a, n_a, x), (node_b, comp_b, n_b, y) = sides
+    rest_a, rest_b = n_a - [len(s) for s in x], n_b - [len(s) for s in y]
+    both = _intersections(x, y) + np.minimum(rest_a[:, None], rest_b[None, :])
+    ok = (100 * both >= p.percent * (n_a[:, None] + n_b[None, :] - both)) & (comp_a[:, None] != comp_b[None, :])
+    ok &= (100 * n_a[:, None] >= p.percent * n_b[None, :]) & (100 * n_b[None, :] >= p.percent * n_a[:, None])
+    i, j = np.nonzero(ok)
+    a, b = node_a[i], node_b[j]
+    return np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
+
+
+def _forest(left: pa.StructArray, right: pa.StructArray, p: JaccardParams) -> tuple[list[int], list[int]]:
+    """Links between two blocks that join different classes, each class pair at most once."""
+    sides = []
+    for side in (left, right):
+        own = [s for c in A.chunks(side.field("content"), 1 << 40) for s in shingle_sets(c, p)]
+        sides.append((side.field("node").to_numpy(), side.field("comp").to_numpy(), own))
+    (node_a, comp_a, sets_a), (node_b, comp_b, sets_b) = sides
+    same = _intersections(sets_a, sets_b)
+    size_a, size_b = np.array([len(s) for s in sets_a])[:, None], np.array([len(s) for s in sets_b])[None, :]
     linked = (100 * same >= p.percent * (size_a + size_b - same)) & (comp_a[:, None] != comp_b[None, :])
     parent: dict[int, int] = {}
 
@@ -409,8 +433,11 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
     found = verified(pairs.select("a", "b").distinct(), sets, p)
-    many = members.join(size.where(F.col("count") > p.pairwise).select("entry"), "entry")
-    links = links.union(saved(found.union(block_links(many, sets, p)), "jaccard-links"))
+    some = members.join(size.where((F.col("count") > p.pairwise) & (F.col("count") <= p.sketched)).select("entry"), "entry")
+    many = members.join(size.where(F.col("count") > p.sketched).select("entry"), "entry")
+    likely = _blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p).distinct()
+    found = found.union(verified(likely, sets, p)).union(_blockwise(many, sets.select("node", "n", "text"), _forest, p))
+    links = links.union(saved(found, "jaccard-links"))
     labels = connected_components(links)
     own = nodes.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
