@@ -100,6 +100,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TemplateParams = Temp
     values = listed.where("item_at = 0").select("item_id", "item_raw", "item_words")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     met = spans.join(values, "item_id").join(texts, "doc_id").withColumn("doc_raw", words(F.lower(raw_words(F.col("text")))))
+    # written, so that the words are made once for a span and not again for each slot
+    met = saved(met.drop("text"), "template-met")
     lo, hi = F.array_min("places"), F.array_max("places") + p.window - 1
     pairs = F.transform(
         F.sequence(lo, hi),
