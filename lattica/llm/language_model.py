@@ -49,7 +49,7 @@ class LMParams:
     smoothing: float = 0.1
     #: Training tokens for each block of scored documents.
     block_tokens: int = 3_000_000
-    chunk_bytes: int = 6 << 20
+    chunk_bytes: int = 4 << 20
     seed: int = 5
 
 
