@@ -183,23 +183,27 @@ def index_entries(docs: DataFrame, rank, p: JaccardParams) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of ``2**bits`` bits with the low bits of each key: fixed size, no misses."""
-    mask = (1 << bits) - 1
-    words = (
-        keys.select(
-            F.shiftright(F.col(column).bitwiseAND(F.lit(mask)), 6).cast("int").alias("word"),
-            F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits"),
+    """Two bitmaps of ``2**bits`` bits, with the low and the next bits of each key: fixed size, no misses."""
+    mask, halves = (1 << bits) - 1, []
+    for shift in (0, bits):
+        low = F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(mask))
+        words = (
+            keys.select(low.alias("low"))
+            .select(F.shiftright("low", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(low & 63 as int))").alias("bits"))
+            .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         )
-        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(_U)
+        out = np.zeros(1 << (bits - 6), np.int64)
+        out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        halves.append(out.view(_U))
+    return np.stack(halves)
 
 
-def _passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    low = keys & _U((1 << bits) - 1)
-    return (bitmap[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1) == 1
+def _passes(bitmaps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    ok = np.ones(len(keys), bool)
+    for k, bitmap in enumerate(bitmaps):
+        low = (keys >> _U(k * bits)) & _U((1 << bits) - 1)
+        ok &= (bitmap[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1) == 1
+    return ok
 
 
 def candidates(docs: DataFrame, rank, bitmap, p: JaccardParams) -> DataFrame:
@@ -417,7 +421,7 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     rank = spark.sparkContext.broadcast(ranks)  # 2**count_bits bytes
     ends = index_entries(docs, rank, p).groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = saved(ends.where("lo <> hi").select("entry"), "jaccard-shared")
-    bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # 2**filter_bits bits
+    bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # two of 2**filter_bits bits
     sets = saved(candidates(docs, rank, bitmap, p), "jaccard-sets")
     members = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
     members = members.withColumn("comp", F.col("node"))
@@ -432,12 +436,13 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     few = members.join(size.where(F.col("count") <= p.pairwise).select("entry"), "entry")
     other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
-    found = verified(pairs.select("a", "b").distinct(), sets, p)
+    # one query each, so that each one's shuffle files go before the next
+    found = saved(verified(pairs.select("a", "b").distinct(), sets, p), "jaccard-links")
     some = members.join(size.where((F.col("count") > p.pairwise) & (F.col("count") <= p.sketched)).select("entry"), "entry")
+    likely = saved(_blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p).distinct(), "jaccard-likely")
+    links = links.union(found).union(saved(verified(likely, sets, p), "jaccard-links"))
     many = members.join(size.where(F.col("count") > p.sketched).select("entry"), "entry")
-    likely = _blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p).distinct()
-    found = found.union(verified(likely, sets, p)).union(_blockwise(many, sets.select("node", "n", "text"), _forest, p))
-    links = links.union(saved(found, "jaccard-links"))
+    links = links.union(saved(_blockwise(many, sets.select("node", "n", "text"), _forest, p), "jaccard-links"))
     labels = connected_components(links)
     own = nodes.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
