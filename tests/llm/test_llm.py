@@ -336,6 +336,19 @@ def test_decontamination(spark, odd, none, extra):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, few).collect()} == got
 
 
+def test_decontamination_whatever_the_case(spark):
+    item = "Alice Miller met Bob Stone near Lake Como where Carla Weiss and David Brown sold 12 kg of Fuji apples to Erik Holm"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("Alice Miller", "Nora Quist").replace("12", "30")
+    docs = spark.createDataFrame(
+        [(1, item), (2, story(1, 30) + " " + item.upper()), (3, item.lower() + " " + story(2, 30)), (4, item.title()), (5, other),
+         (6, story(4, 90).upper()), (7, "ALICE MILLER MET BOB STONE NEAR LAKE COMO " + story(5, 40))],
+        "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_matched) for r in decontamination.contaminated(docs, bench).collect()}
+    n = len(item.split()) - 7
+    assert got == {d: (n, n) for d in (1, 2, 3, 4, 5)}
+
+
 # 7
 
 
