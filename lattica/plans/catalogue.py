@@ -118,6 +118,36 @@ def focus_offsets(spark, d):
     return spark.createDataFrame([(i + 1, o, x) for i, (o, x) in enumerate(zip(a.offsets, letters, strict=True))], "i int, offset int, letter string")
 
 
+# Whole texts: all their pieces, where the SQL of the queries above has the first 24 characters
+
+def pieces(spark, d) -> DataFrame:
+    return adapters.document_pieces(_read(spark, d, "documents"))
+
+
+def msa_encode_whole(spark, d):
+    rows = AL.encoded(pieces(spark, d), _doc_options())
+    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
+
+
+def msa_valid_rows_whole(spark, d):
+    rows = AL.encoded(pieces(spark, d), _doc_options()).where("valid")
+    folded = fold_case(F.col("codes"), len(adapters.DOCUMENT_LETTERS))
+    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform(folded, lambda c: c.cast("string"))).alias("codes"))
+
+
+def msa_skipped_rows_whole(spark, d):
+    return AL.encoded(pieces(spark, d), _doc_options()).where("not valid").select("s.doc_id", "s.piece")
+
+
+def alignment_lengths_whole(spark, d):
+    return pieces(spark, d).agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def neighbor_counts_documents_whole(spark, d):
+    a = AL.select(pieces(spark, d), _doc_options())
+    return W.neighbor_counts(a.rows, 0.2, a.q).select("s.doc_id", "s.piece", "n")
+
+
 def lineitem_codes(spark, d):
     rows = adapters.lineitem_codes(_read(spark, d, "lineitem"))
     return rows.groupBy(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes")).agg(F.count(F.lit(1)).alias("n"))
@@ -402,6 +432,7 @@ def fit_on_executors(spark, d):
 _QUERIES = (
     msa_encode, msa_valid_rows, msa_skipped_rows, alignment_lengths, focus_columns, focus_offsets, lineitem_codes,
     neighbor_counts, neighbor_counts_segments, neighbor_counts_documents, seq_weights, n_eff, weights_realigned, weights_of_skipped,
+    msa_encode_whole, msa_valid_rows_whole, msa_skipped_rows_whole, alignment_lengths_whole, neighbor_counts_documents_whole,
     cluster_assign, cluster_consensus, cluster_sizes, cluster_neighbors, fast_weights,
     site_marginals, pair_marginals, site_marginals_li, pair_marginals_li, site_marginals_gap, pair_marginals_gap, init_fields,
     column_information, pair_covariances, nll_init, grad_fields_init, grad_couplings_init, potentials, site_conditionals,
