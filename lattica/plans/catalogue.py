@@ -398,6 +398,48 @@ def weighted_sample(spark, d):
     return PM.draw(PM.cumulative(rows), points).select("s", "times")
 
 
+# Whole vectors: as many sites as the vectors have, where the SQL of the queries above has the first 16
+
+def _whole(spark, d):
+    table = _read(spark, d, "embeddings")
+    sites = table.agg(F.max(F.size("embedding"))).first()[0]
+    rows = adapters.embedding_codes(table, sites)
+    return rows.join(W.sequence_weights(rows, THETA, Q), "s").select("s", "codes", "w").cache(), sites
+
+
+def neighbor_counts_whole(spark, d):
+    table = _read(spark, d, "embeddings")
+    return W.neighbor_counts(adapters.embedding_codes(table, table.agg(F.max(F.size("embedding"))).first()[0]), THETA, Q)
+
+
+def seq_weights_whole(spark, d):
+    return _whole(spark, d)[0].select("s", _r(F.col("w") * 2.0).alias("w"))
+
+
+def site_marginals_whole(spark, d):
+    rows, sites = _whole(spark, d)
+    return M.site_marginals(rows, sites, Q, _n_eff(rows)).select("i", "a", _r("f").alias("f"))
+
+
+def pair_marginals_whole(spark, d):
+    rows, sites = _whole(spark, d)
+    return M.pair_marginals(rows, sites, Q, _n_eff(rows)).select("i", "j", "a", "b", _r("f").alias("f"))
+
+
+def coupling_table_whole(spark, d):
+    rows, sites = _whole(spark, d)
+    n = _n_eff(rows)
+    e = M.covariances(M.site_marginals(rows, sites, Q, n), M.pair_marginals(rows, sites, Q, n))
+    table = S.coupling_table(S.apc_scores(S.coupling_norms(e), sites), list(range(1, sites + 1)), None)
+    return table.select("i", "a_i", "j", "a_j", "zero", _r("score").alias("score"))
+
+
+def fit_lbfgs_whole(spark, d):
+    rows, sites = _whole(spark, d)
+    m = PM.fit(rows, sites, Q, Options(lambda_h=LAMBDA_H, lambda_e=LAMBDA_E))
+    return m.scores().select("i", "j", _r("fn", 3).alias("fn"), _r("cn", 3).alias("cn"))
+
+
 # Fits
 
 def _fit(spark, d, **k):
@@ -439,6 +481,7 @@ _QUERIES = (
     objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, group_penalty, parameter_norms,
     coupling_norms, coupling_norms_slice, apc_scores, coupling_table, top_couplings, couplings_above, variance_priors, prior_stats,
     logo_bits, score_stats, mixture_cutoff, weighted_sample, fit_lbfgs, fit_gapreduce, fit_group, fit_twostage, fit_adam, fit_on_executors,
+    neighbor_counts_whole, seq_weights_whole, site_marginals_whole, pair_marginals_whole, coupling_table_whole, fit_lbfgs_whole,
 )
 
 
