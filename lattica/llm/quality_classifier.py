@@ -17,6 +17,7 @@ ties and extra columns change nothing; texts are never cut.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,12 +102,15 @@ def train(texts: list[str], labels: list[int], p: QualityParams = QualityParams(
     if not 0 < share < 1:
         logit = 0.0 if not len(y) else (4.0 if share else -4.0)
         return QualityModel(p, np.zeros(p.buckets, np.float32), logit)
-    total, kept = 0, []
-    for i, t in enumerate(texts):
-        total += len(t.encode())
-        if total > p.max_training_bytes and kept:
-            break
-        kept.append(i)
+    sizes = [len(t.encode()) for t in texts]
+    # the shortest text of each label stays; of the others, in hashed order, all that fit
+    kept = {min((i for i in range(len(y)) if y[i] == label), key=lambda i: (sizes[i], i)) for label in (0, 1)}
+    total = sum(sizes[i] for i in kept)
+    for i in sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode()), i)):
+        if i not in kept and total + sizes[i] <= p.max_training_bytes:
+            total += sizes[i]
+            kept.add(i)
+    kept = sorted(kept)
     bags, y = _bags([texts[i] for i in kept], p), y[kept]
     rng = np.random.RandomState(p.seed)
     vectors = (rng.rand(p.buckets, p.dim).astype(np.float32) - 0.5) * (2.0 / p.dim)

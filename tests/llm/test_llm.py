@@ -110,6 +110,15 @@ def test_quality_learns_and_defines_odd_cases(spark, odd, none, extra):
     assert quality_classifier.fit(odd, one).bias > 0
 
 
+def test_quality_training_skips_what_does_not_fit(monkeypatch):
+    seen = []
+    bags = quality_classifier._bags
+    monkeypatch.setattr(quality_classifier, "_bags", lambda texts, p: seen.extend(texts) or bags(texts, p))
+    texts = ["long text " * 30, "a short good text", "a short bad text", "another good text"]
+    quality_classifier.train(texts, [1, 1, 0, 1], quality_classifier.QualityParams(max_training_bytes=60, epochs=1))
+    assert seen == texts[1:]
+
+
 # 2
 
 
