@@ -104,7 +104,7 @@ def train(texts: list[str], labels: list[int], p: QualityParams = QualityParams(
         return QualityModel(p, np.zeros(p.buckets, np.float32), logit)
     sizes = [len(t.encode()) for t in texts]
     # the shortest text of each label stays; of the others, in hashed order, all that fit
-    kept = {min((i for i in range(len(y)) if y[i] == label), key=lambda i: (sizes[i], i)) for label in (0, 1)}
+    kept = {min((i for i in range(len(y)) if y[i] == label), key=lambda i: (sizes[i], i)) for label in set(y.tolist())}
     total = sum(sizes[i] for i in kept)
     for i in sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode()), i)):
         if i not in kept and total + sizes[i] <= p.max_training_bytes:
