@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-1. An Arrow function splits texts by the vocabulary's pattern and sends each distinct
-   piece of its partition down once, before the first text that uses it; a text
-   becomes the list of its pieces' numbers.
-2. Spark higher-order functions encode the pieces: the bytes of a piece are the
-   initial parts, and a fold merges the adjacent pair of least rank (the leftmost of
+1. An Arrow function splits texts by the vocabulary's pattern, and pieces again where no
+   entry of the vocabulary can cross (see :class:`Cuts`). Each distinct part of its
+   partition is sent down once, before the first text that uses it; a text becomes the
+   list of its parts' numbers.
+2. Spark higher-order functions encode the parts: the bytes of a part are the
+   initial symbols, and a fold merges the adjacent pair of least rank (the leftmost of
    equals) until no pair has a rank. Ranks come from a literal: an array of small
    maps, chosen by the hash of the merged bytes, so that a look-up reads a few
    entries. Bytes are held as the characters U+0000 to U+00FF.
@@ -12,7 +13,9 @@
    concatenating the vocabulary's binary pieces.
 
 All three run in one stage without a shuffle: rows keep their order, a lost task is
-run again as a whole, and memory is bounded by ``distinct`` pieces.
+run again as a whole, and memory is bounded by ``distinct_bytes`` of remembered pieces.
+The fold takes time with the square of a part's length, so a part of more than
+``fold_bytes`` (an unbroken run of letters, say) is merged by a queue in the second function.
 
 Defined cases: a null or empty text has no ids; special strings are ordinary text; a
 byte without a rank is an error of the vocabulary; every whole text is encoded, also
@@ -22,6 +25,7 @@ pieces of any length; repeated rows and extra columns change nothing.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +43,13 @@ NO_RANK = 1 << 30
 
 @dataclass(frozen=True)
 class BpeParams:
-    #: Maps of the literal, and most distinct pieces that a task remembers.
+    #: Maps of the literal, and bytes of distinct pieces that a task remembers at most.
     buckets: int = 1 << 15
-    distinct: int = 1 << 20
+    distinct_bytes: int = 6 << 20
+    #: Longest part that the fold merges.
+    fold_bytes: int = 256
+    #: Bytes of text that are split at once.
+    chunk_bytes: int = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,6 +110,74 @@ def encode_piece(piece: Column, ranks: Column, p: BpeParams) -> Column:
     return F.transform(folded["part"], rank)
 
 
+class Cuts:
+    """Places in a piece that no merge can cross.
+
+    An entry that crosses the place between two bytes is the two bytes alone, or holds them
+    with the byte before or after: where neither the two nor one of the three-byte runs
+    occurs in the vocabulary, both sides merge as if they were pieces of their own."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.two = np.zeros(1 << 16, bool)
+        for x in ranks:
+            if len(x) == 2:
+                self.two[x[0] << 8 | x[1]] = True
+        self.three = np.unique(np.array([x[i] << 16 | x[i + 1] << 8 | x[i + 2] for x in ranks for i in range(len(x) - 2)], np.int64))
+
+    def parts(self, pieces: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes of all pieces, bounds of their parts in these, and by piece the first of its parts."""
+        data = b"".join(pieces)
+        x = np.frombuffer(data, np.uint8).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        cut = np.zeros(len(x) + 1, bool)
+        if len(x) > 1:
+            ends = np.zeros(len(x) + 2, bool)
+            ends[start] = True
+            three = np.zeros(len(x) + 1, bool)  # by first byte; runs over the end of a piece don't count
+            at = np.flatnonzero(~self.two[x[:-1] << 8 | x[1:]] & ~ends[1 : len(x)])
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near + 2 < len(x))]
+            near = near[~ends[near + 1] & ~ends[near + 2]]
+            code = x[near] << 16 | x[near + 1] << 8 | x[near + 2]
+            if len(self.three):
+                three[near] = self.three[np.minimum(np.searchsorted(self.three, code), len(self.three) - 1)] == code
+            cut[at + 1] = ~three[at] & ~(three[at - 1] & (at > 0))
+        cut[start] = True
+        bounds = np.flatnonzero(cut)
+        return data, bounds, np.searchsorted(bounds, start)
+
+
+def merge_by_queue(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one part, as the fold gives them, in time n log n: pairs wait in a queue by
+    rank and place; a pair whose sides have changed meanwhile is passed over."""
+    n = len(data)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by first byte of a symbol
+    live = [True] * n
+
+    def pair(at: int) -> tuple[int, int, int, int] | None:
+        mid = end[at]
+        rank = ranks.get(data[at : end[mid]]) if mid < n else None
+        return None if rank is None else (rank, at, mid, end[mid])
+
+    queue = [x for x in map(pair, range(n)) if x]
+    heapq.heapify(queue)
+    while queue:
+        _, at, mid, to = heapq.heappop(queue)
+        if not (live[at] and end[at] == mid and end[mid] == to):
+            continue
+        live[mid], end[at] = False, to
+        if to < n:
+            before[to] = at
+        for x in (before[at], at):
+            if x >= 0 and (found := pair(x)):
+                heapq.heappush(queue, found)
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[data[at : end[at]]])
+        at = end[at]
+    return out
+
+
 class Decoder:
     """Bytes of ids, all at once."""
 
@@ -138,34 +214,55 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
-        numbers: dict[str, int] = {}
+        find, cuts = regex.compile(pattern).findall, Cuts(shared.value)
+        #: numbers of a piece's parts as 32-bit integers, and of a part
+        numbers: dict[str, bytes] = {}
+        known: dict[bytes, int] = {}
+        remembered = 0
         for batch in batches:
             text = batch.column(width)
-            for c in chunks(text):
-                if len(numbers) > p.distinct:
+            names = [*batch.schema.names[:-1], "_number", "_piece", "_list"]
+            for c in chunks(text, p.chunk_bytes):
+                if remembered > p.distinct_bytes:
                     numbers.clear()
-                known, lists = len(numbers), []
-                for t in text.slice(c.rows.start, c.n).to_pylist():
-                    pieces = find(t) if t else []
-                    for x in set(pieces).difference(numbers):
-                        numbers[x] = len(numbers)
-                    lists.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)).tobytes())
-                new = [x.encode().decode("latin-1") for x in list(numbers)[known:]]
+                    known.clear()
+                    remembered = 0
+                found = [find(t) if t else [] for t in text.slice(c.rows.start, c.n).to_pylist()]
+                new = [x for x in set().union(*found) if x not in numbers]
+                data, bounds, first = cuts.parts([x.encode() for x in new])
+                remembered += len(data)
+                own, fresh = [], []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    part = data[a:b]
+                    number = known.get(part)
+                    if number is None:
+                        number = known[part] = len(known)
+                        fresh.append(part)
+                    own.append(number)
+                own = np.array(own, np.int32)
+                for x, a, b in zip(new, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    numbers[x] = own[a:b].tobytes()
+                lists = [b"".join(map(numbers.__getitem__, x)) for x in found]
+                del found, new, own
                 kept = [batch.column(i).slice(c.rows.start, c.n) for i in range(width)]
-                names = [*batch.schema.names[:-1], "_number", "_piece", "_list"]
-                if new:
+                if fresh:
+                    at = np.arange(len(known) - len(fresh), len(known), dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.nulls(len(new), k.type) for k in kept), pa.array(np.arange(known, known + len(new), dtype=np.int32)), pa.array(new, pa.string()), pa.nulls(len(new), pa.binary())],
+                        [
+                            *(pa.nulls(len(fresh), k.type) for k in kept), pa.array(at),
+                            pa.array([x.decode("latin-1") if len(x) <= p.fold_bytes else None for x in fresh], pa.string()),
+                            pa.array([x if len(x) > p.fold_bytes else None for x in fresh], pa.binary()),
+                        ],
                         names=names,
                     )
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.string()), pa.array(lists, pa.binary())], names=names
                 )
+                del lists, kept, fresh
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(shared.value)
-        flat, start, used = np.empty(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        flat, start, used = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         for batch in batches:
             number, ids, lists = batch.column(width), batch.column(width + 1), batch.column(width + 2)
             # rows of pieces and rows of texts come in turns; each run is handled at once
@@ -181,7 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                     for lo, hi in _restarts(which):
                         if which[lo] == 0:
                             used = 0
-                        own_ids = ids.slice(a + lo, hi - lo)
+                        own_ids = _with_long(ids.slice(a + lo, hi - lo), lists.slice(a + lo, hi - lo), shared.value)
                         values, bounds = own_ids.flatten().to_numpy(), own_ids.offsets.to_numpy()
                         k, at = int(which[lo]), used
                         flat, start = _room(flat, at + len(values)), _room(start, k + hi - lo + 1)
@@ -208,6 +305,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     return coded.mapInArrow(join, f"{own}, n_tokens long, ids binary, decoded binary")
 
 
+def _with_long(ids: pa.Array, data: pa.Array, ranks: dict[bytes, int]) -> pa.Array:
+    """The fold's ids, and those of the parts that were too long for it."""
+    if not ids.null_count:
+        return ids
+    return pa.array([merge_by_queue(d, ranks) if d is not None else x for x, d in zip(ids.to_pylist(), data.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+
 def _restarts(numbers: np.ndarray) -> list[tuple[int, int]]:
     cut = [0, *(np.flatnonzero(np.diff(numbers) != 1) + 1).tolist(), len(numbers)]
     return list(zip(cut[:-1], cut[1:], strict=True))

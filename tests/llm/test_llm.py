@@ -410,7 +410,7 @@ def test_byte_bpe(spark, odd, none, extra, vocabularies):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens={})
     by = {r[0]: r[1] or "" for r in ODD}
-    for docs, p in ((odd, byte_bpe.BpeParams()), (extra, byte_bpe.BpeParams(distinct=3))):
+    for docs, p in ((odd, byte_bpe.BpeParams()), (extra, byte_bpe.BpeParams(distinct_bytes=3, fold_bytes=4))):
         out = byte_bpe.encode(docs.coalesce(1), path, vocabularies.PATTERN, ["doc_id"], p).collect()
         assert len(out) == len(ODD)
         for r in out:
