@@ -48,6 +48,8 @@ class BpeParams:
     distinct_bytes: int = 6 << 20
     #: Longest part that the fold merges.
     fold_bytes: int = 256
+    #: Least text of a task: a task encodes each of its distinct parts once, so small tasks repeat each other's work.
+    task_bytes: int = 64 << 20
     #: Bytes of text that are split at once.
     chunk_bytes: int = 1 << 20
 
@@ -207,7 +209,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     spark = docs.sparkSession
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)  # one vocabulary file
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // p.task_bytes))
+    source = docs.select(*keep, F.col("text").alias("_text")).coalesce(tasks)  # joins neighbours, without a shuffle
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     width = len(keep)
 
@@ -228,7 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                     known.clear()
                     remembered = 0
                 found = [find(t) if t else [] for t in text.slice(c.rows.start, c.n).to_pylist()]
-                new = [x for x in set().union(*found) if x not in numbers]
+                new = set().union(*found).difference(numbers)
                 data, bounds, first = cuts.parts([x.encode() for x in new])
                 remembered += len(data)
                 own, fresh = [], []
