@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.tables import saved
+from lattica.llm.tables import discard, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = saved(both.where("a <> b").distinct(), "cc-edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
         "node", F.least("node", "b").alias("comp")), "cc-0")
+    written = None
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("comp").alias("near"))
@@ -29,7 +30,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = step.join(jump, "comp", "left").select(
             "node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
         step = saved(step, "cc")
+        discard(labels if written is None else written)
         changed = step.where("was <> comp").limit(1).count()
-        labels = step.select("node", "comp")
+        labels, written = step.select("node", "comp"), step
         if not changed:
+            discard(both)
             return labels

@@ -11,7 +11,9 @@ so that two linked documents always share an indexed entry: of two linked sets
 take the one whose prefix ends earlier; its partner lacks too few of the prefix's
 tokens to miss every rare one and to keep fewer than two of every sub-class. The
 number of sub-classes depends on the size band of a pair; a document near a band's
-edge is indexed for both.
+edge is indexed for both. A set of rare tokens is indexed for ``prefix`` percent of it,
+more than one shared token needs: then a link means many shared entries, and a document
+with fewer than these (a passage that others hold too, say) is left out before any text moves.
 
 Documents with equal sets are one node (64-bit hash of the sorted set). Candidates
 are verified on whole texts. For classes not all pairs are needed: in a few turns each
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.components import connected_components
-from lattica.llm.tables import saved
+from lattica.llm.tables import discard, saved
 
 _U = np.uint64
 
@@ -47,6 +50,8 @@ class JaccardParams:
     shingle: int = 5
     #: Linked if percent * |union| <= 100 * |intersection|.
     percent: int = 75
+    #: Percentage of a set's tokens that are indexed where enough of them are rare.
+    prefix: int = 40
     #: Buckets of the document counts that order tokens, and bits of the filter of shared entries: fixed sizes.
     count_bits: int = 18
     filter_bits: int = 26
@@ -59,6 +64,8 @@ class JaccardParams:
     pairwise: int = 16
     sketched: int = 64
     block: int = 128
+    #: Nodes up to which their numbers are broadcast to pick their texts.
+    broadcast_nodes: int = 1 << 20
     bands: tuple[int, ...] = tuple(4**k for k in range(2, 16))
 
 
@@ -92,17 +99,24 @@ def least_overlap(n: int, p: JaccardParams) -> int:
     return -(-p.percent * n // 100)
 
 
-def signatures(s: np.ndarray, rank: np.ndarray, p: JaccardParams) -> np.ndarray:
-    """Index entries of a set: rare tokens of its prefix and pairs of frequent ones."""
+def signatures(s: np.ndarray, rank: np.ndarray, p: JaccardParams) -> tuple[np.ndarray, int]:
+    """Index entries of a set (rare tokens of its prefix and pairs of frequent ones), and how
+    many of them it shares at least with any linked partner.
+
+    Of two linked sets one has the prefix that ends first; the other lacks at most (100 - percent)
+    of 100 of its tokens, so they share at least (prefix - 100 + percent) of 100 of them, and that
+    set isn't smaller than percent of 100 of the other. Where rare tokens are short, one entry is sure."""
     n = len(s)
     if n < 2:
-        return np.empty(0, _U)  # linked with equal sets alone
+        return np.empty(0, _U), 1  # linked with equal sets alone
     need = n - least_overlap(n, p) + 1
     q = rank[(s & _U((1 << p.count_bits) - 1)).astype(np.int64)].astype(_U)
     order = np.argsort((q << _U(56)) | (s >> _U(8)), kind="stable")
     rare = int((q == 0).sum())
     if rare >= need:
-        return s[order[:need]]
+        long = -(-p.prefix * n // 100)
+        least = max(1, (p.prefix - 100 + p.percent) * p.percent * n // 10000) if rare >= long >= need else 1
+        return s[order[: max(need, min(rare, long))]], least
     parts, tokens = [s[order[:rare]]], s[order[rare:]]
     low = 0
     for band, high in enumerate(p.bands):
@@ -121,7 +135,7 @@ def signatures(s: np.ndarray, rank: np.ndarray, p: JaccardParams) -> np.ndarray:
                     t = tokens[group]
                     parts.append(A.mix(t[a] * _U(3) + A.mix(t[b]) + _U(band)))
         low = high
-    return np.concatenate(parts)
+    return np.concatenate(parts), 1
 
 
 def describe(docs: DataFrame, p: JaccardParams) -> DataFrame:
@@ -172,7 +186,7 @@ def index_entries(docs: DataFrame, rank, p: JaccardParams) -> DataFrame:
         for batch in batches:
             for c in A.chunks(batch.column(0)):
                 sets = shingle_sets(c, p)
-                entries = [signatures(s, rank.value, p) for s in sets]
+                entries = [signatures(s, rank.value, p)[0] for s in sets]
                 nodes = np.array([set_hash(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(entries).view(np.int64)), pa.array(np.repeat(nodes, [len(e) for e in entries]))],
@@ -207,17 +221,17 @@ def _passes(bitmaps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, rank, bitmap, p: JaccardParams) -> DataFrame:
-    """(node, n, entries, sketch, text) of the documents with an entry that passes the bitmap.
-    The sketch holds 16-bit hashes of a quarter of the set."""
+    """(node, n, entries, sketch, text) of the documents that have as many entries that pass the
+    bitmap as a link needs. The sketch holds 16-bit hashes of a quarter of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, node, n, entries, sketch = [], [], [], [], []
             for c in A.chunks(batch.column(0)):
                 for i, s in enumerate(shingle_sets(c, p)):
-                    own = signatures(s, rank.value, p)
+                    own, least = signatures(s, rank.value, p)
                     own = own[_passes(bitmap.value, own, p.filter_bits)]
-                    if len(own):
+                    if len(own) >= least:
                         rows.append(c.rows.start + i)
                         node.append(set_hash(s))
                         n.append(len(s))
@@ -287,10 +301,17 @@ def verified(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
             keep = pa.array(np.concatenate(ok))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    met = plausible(pairs, sets, p).join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(run, "a long, b long")
+    likely = saved(plausible(pairs, sets, p), "jaccard-plausible")
+    nodes = saved(likely.select("a").union(likely.select("b")).distinct().select(F.col("a").alias("node")), "jaccard-wanted")
+    few = nodes.limit(p.broadcast_nodes + 1).count() <= p.broadcast_nodes
+    # only texts of these nodes are shuffled
+    texts = sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    met = likely.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    found = saved(met.mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(likely, nodes)
+    return found
 
 
 def _sizes_fit(p: JaccardParams, x: str, y: str):
@@ -316,7 +337,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "entry")
 
 
-def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParams) -> DataFrame:
+def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParams, distinct: bool = False) -> DataFrame:
     """Pairs (a, b) that ``compare`` finds between classes within entries, block by block.
 
     Entries with the same least node are taken together. Their nodes are dealt into
@@ -324,7 +345,7 @@ def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParam
     of nodes outside the largest class meet all blocks, as rows of blocks and not of pairs."""
     group = members.groupBy("entry").agg(F.min("node").alias("g"))
     rows = members.join(group, "entry").groupBy("g", "node").agg(F.first("comp").alias("comp"))
-    rows = saved(rows, "jaccard-groups")
+    groups = rows = saved(rows, "jaccard-groups")
     main = rows.groupBy("g", "comp").count().groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("size"))
     rows = rows.join(main.select("g", F.col("m.comp").alias("main"), "size"), "g").join(contents, "node")
     rest = F.when(F.col("comp") != F.col("main"), 1).otherwise(0)
@@ -344,7 +365,10 @@ def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParam
                 out_b += b
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    found = met.mapInArrow(run, "a long, b long")
+    found = saved(found.distinct() if distinct else found, "jaccard-found")
+    discard(groups, blocks)
+    return found
 
 
 def _intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -423,28 +447,35 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     shared = saved(ends.where("lo <> hi").select("entry"), "jaccard-shared")
     bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # two of 2**filter_bits bits
     sets = saved(candidates(docs, rank, bitmap, p), "jaccard-sets")
-    members = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
-    members = members.withColumn("comp", F.col("node"))
-    links = None
+    written = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
+    discard(shared)
+    members, links = written.withColumn("comp", F.col("node")), []
     for turn in range(p.turns):
         # each node meets the node of a larger class with which it shares most entries
-        found = saved(verified(_best_partners(members, turn), sets, p), "jaccard-links")
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
-        members = saved(_open(members, labels), "jaccard-open")
+        links.append(verified(_best_partners(members, turn), sets, p))
+        labels = connected_components(_all(links))
+        before, members = written, saved(_open(members, labels), "jaccard-open")
+        discard(before)
+        written = members
     size = members.groupBy("entry").count()
     few = members.join(size.where(F.col("count") <= p.pairwise).select("entry"), "entry")
     other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
     # one query each, so that each one's shuffle files go before the next
-    found = saved(verified(pairs.select("a", "b").distinct(), sets, p), "jaccard-links")
+    links.append(verified(pairs.select("a", "b").distinct(), sets, p))
     some = members.join(size.where((F.col("count") > p.pairwise) & (F.col("count") <= p.sketched)).select("entry"), "entry")
-    likely = saved(_blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p).distinct(), "jaccard-likely")
-    links = links.union(found).union(saved(verified(likely, sets, p), "jaccard-links"))
+    likely = _blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p, distinct=True)
+    links.append(verified(likely, sets, p))
     many = members.join(size.where(F.col("count") > p.sketched).select("entry"), "entry")
-    links = links.union(saved(_blockwise(many, sets.select("node", "n", "text"), _forest, p), "jaccard-links"))
-    labels = connected_components(links)
+    links.append(_blockwise(many, sets.select("node", "n", "text"), _forest, p))
+    discard(likely, members, sets)
+    labels = connected_components(_all(links))
+    discard(*links)
     own = nodes.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
     least = own.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, links)

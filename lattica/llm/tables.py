@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,25 +20,47 @@ def fold(column: str, modulus: int):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    folder of its own; a cluster's executors and driver share no local folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"{tempfile.gettempdir()}/lattica-checkpoints").rstrip("/")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete a query's shuffle files when the query has ended; what a
-    later query needs again is in a written table."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders of the tables that :func:`saved` has written and :func:`discard` may delete.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut
-    and any executor can read every part."""
+    and any executor can read every part. Its shuffle files go when it is written."""
     spark = df.sparkSession
-    release_shuffles(spark)
     path = f"{checkpoint_dir(spark)}/lattica-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`saved` that nothing reads any more."""
+    for df in tables:
+        path = _folders.pop(df, None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
