@@ -3,11 +3,12 @@ benchmark leaks, tokens. Each stage takes what its predecessor kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from lattica.llm import byte_bpe, decontamination, jaccard_join, language_id, substring_dedup
-from lattica.llm.tables import fold, release_shuffles, saved, table
+from lattica.llm.tables import fold, saved, table
 
 #: Least probability of the predicted language; a text without a letter has none.
 LEAST_SCORE = 0.3
@@ -22,30 +23,40 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ).select(*docs.columns)
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's plain columns: a private key where doc_ids repeat or are missing."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents stays: the one with the least doc_id.
-    Of rows with one doc_id, one stays; rows without a doc_id have no class and stay."""
-    classes = jaccard_join.similarity_classes(docs.where("doc_id is not null").select("doc_id", "text"))
-    stays = saved(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "pipeline-stays")
-    kept = docs.join(stays.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    """One document of each class of linked documents stays: the one with the least doc_id,
+    of several with that doc_id or without any the one whose row has the least hash. Rows that
+    are the same in all plain columns are one; a text without words is linked with nothing."""
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"))
+    keyed = docs.withColumn("_key", own)
+    classes = jaccard_join.similarity_classes(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    stays = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    stays = saved(stays, "pipeline-stays")
+    kept = keyed.join(stays.select("_id"), F.col("_key") == F.col("_id"), "left_semi")
     if stays.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+        kept = kept.dropDuplicates(["_key"])
+    return kept.drop("_key")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that already occur in an earlier document are cut out; a document that
-    loses every word goes. n_chars follows the text."""
-    release_shuffles(spark)
+    loses every word goes. n_chars follows the text. Rows without a doc_id have no order and keep theirs."""
     cleaned = substring_dedup.clean_texts(docs, substring_dedup.repeated_spans(docs)).where("text is not null")
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as it is or with other values, go."""
-    found = decontamination.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item, as it is or with other values, go; rows count
+    by themselves, with or without a doc_id of their own."""
+    keyed = docs.withColumn("_key", _row_hash(docs))
+    found = decontamination.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = saved(found.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-leaks")
-    return docs.join(leaks, F.col("doc_id") == F.col("_id"), "left_anti")
+    return keyed.join(leaks, F.col("_key") == F.col("_id"), "left_anti").drop("_key")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
