@@ -5,24 +5,22 @@ words also start in a document with a smaller doc_id is removed; windows are
 judged on the input.
 
 1. The least n-gram hash of a window (its anchor) is the same wherever the window
-   occurs. Anchors seen in two documents select candidates, about 1 row in 20 words.
-2. Runs of windows with one anchor are segments. A segment equal to one of a
-   smaller document is settled as a whole; windows of the others are looked up one
-   by one where an anchor has several different segments. Both look-ups are sums
-   over keys (least document and place), so a passage in a third of all documents
-   is pre-aggregated before the shuffle.
-3. The places found become reference shards: at most ``block`` window starts of one
-   document. A suffix automaton is built for each shard and the candidates' words
-   are streamed through it; where the matching statistics reach the window length,
-   the window is removed. Hash look-ups only choose the shard.
-
-Shards meet documents in a join on the shard (Spark splits a hot one and copies the
-shard to each part), because all shards together grow with the corpus and have no
-bound for one broadcast.
+   occurs. Texts without an anchor that two documents have are passed over.
+2. Runs of windows with one anchor are regions, about 1 in 20 words. Equal regions are
+   one region with its first document. Where an anchor has several different
+   regions, windows of one document alone are passed over too.
+3. The regions of an anchor are a reference shard. They are streamed in the order of their
+   first documents through a suffix automaton of the shard, which grows by each region
+   that it doesn't hold yet: where the matching statistics reach the window length,
+   an earlier document has the window. Hashes only choose what is streamed and where to.
+
+Shards are dealt by a shuffle on the anchor and not by a broadcast, because all shards
+together grow with the corpus. A region in a third of all documents is one region: copies
+are summed before the shuffle and take what was found for it.
 
 Defined cases: null and empty texts have no words; rows without a doc_id and rows
-sharing one doc_id aren't compared with each other; shorter texts than a window
-keep all words; texts are never cut.
+sharing one doc_id aren't compared with each other, and each row is cut by its own
+text; shorter texts than a window keep all words; texts are never cut.
 """
 
 from __future__ import annotations
@@ -37,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.suffix_automaton import SuffixAutomaton
-from lattica.llm.tables import saved
+from lattica.llm.tables import discard, saved
 
 _U = np.uint64
 
@@ -46,7 +44,6 @@ _U = np.uint64
 class SpanParams:
     window: int = 50
     gram: int = 10
-    block: int = 512
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -86,31 +83,32 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def anchors(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """(anchor, doc_id): distinct anchors of each text."""
+    """(anchor, doc_id, row): distinct anchors of each text of ``docs`` (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in A.chunks(batch.column(1)):
+            for c in A.chunks(batch.column(2)):
                 s = segments(c, p)[2]
                 order = np.lexsort((s.anchor, s.doc))
                 a, d = s.anchor[order], s.doc[order]
                 keep = np.ones(len(a), bool)
                 keep[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+                at = pa.array(c.rows.start + d[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(a[keep]), pa.array(ids[c.rows][d[keep]].astype(np.int64))], names=["anchor", "doc_id"]
+                    [_signed(a[keep]), batch.column(0).take(at), batch.column(1).take(at)], names=["anchor", "doc_id", "row"]
                 )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(run, "anchor long, doc_id long, row long")
 
 
-def candidate_segments(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """(segment, anchor, doc_id, start, n) of ``docs`` (doc_id, text, anchors): segments whose anchor is listed."""
+def candidate_regions(docs: DataFrame, p: SpanParams) -> DataFrame:
+    """(region, anchor, doc_id, row, start, n) of ``docs`` (doc_id, row, text, anchors): regions whose anchor
+    is listed; ``region`` is a hash of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, listed = batch.column(0).to_numpy(), batch.column(2)
-            for c in A.chunks(batch.column(1)):
+            listed = batch.column(3)
+            for c in A.chunks(batch.column(2)):
                 w, h, s = segments(c, p)
                 own = listed.slice(c.rows.start, c.n)
                 many = np.diff(own.offsets.to_numpy())
@@ -125,21 +123,22 @@ def candidate_segments(docs: DataFrame, p: SpanParams) -> DataFrame:
                 np.cumsum(h * up[:-1], out=run_[1:])
                 end = start + n + p.window - 1
                 digest = A.mix((run_[end] - run_[start]) * down[start] + n.astype(_U))
+                rows = pa.array(c.rows.start + s.doc[hit])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _signed(digest), _signed(s.anchor[hit]), pa.array(ids[c.rows][s.doc[hit]]),
+                        _signed(digest), _signed(s.anchor[hit]), batch.column(0).take(rows), batch.column(1).take(rows),
                         pa.array((start - w.first[s.doc[hit]]).astype(np.int32)), pa.array(n.astype(np.int32)),
                     ],
-                    names=["segment", "anchor", "doc_id", "start", "n"],
+                    names=["region", "anchor", "doc_id", "row", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, "segment long, anchor long, doc_id long, start int, n int")
+    return docs.mapInArrow(run, "region long, anchor long, doc_id long, row long, start int, n int")
 
 
 def _runs(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
     """The arrays of a list-of-structs column, row by row, as numpy fields."""
     offsets, flat = column.offsets.to_numpy(), column.flatten()
-    fields = {f.name: flat.field(i).to_numpy() for i, f in enumerate(flat.type)}
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
     base = offsets[0]
     for a, b in zip(offsets[:-1] - base, offsets[1:] - base, strict=True):
         yield {k: v[a:b] for k, v in fields.items()}
@@ -151,12 +150,12 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def windows_of(docs: DataFrame, p: SpanParams) -> DataFrame:
-    """(hash, doc_id, start) for each window of the runs listed in ``docs`` (doc_id, text, runs)."""
+    """(hash, doc_id, row, start) for each window of the runs listed in ``docs`` (doc_id, row, text, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, runs = batch.column(0).to_numpy(), list(_runs(batch.column(2)))
-            for c in A.chunks(batch.column(1)):
+            runs = list(_runs(batch.column(3)))
+            for c in A.chunks(batch.column(2)):
                 w = A.words(c)
                 all_ = A.sequence_hashes(A.word_hashes(c.buf, w), p.window)
                 at, doc = [], []
@@ -166,141 +165,136 @@ def windows_of(docs: DataFrame, p: SpanParams) -> DataFrame:
                     at.append(own)
                     doc.append(np.full(len(own), i))
                 at, doc = np.concatenate(at), np.concatenate(doc)
+                rows = pa.array(c.rows.start + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(all_[at + w.first[doc]]), pa.array(ids[c.rows][doc]), pa.array(at.astype(np.int32))],
-                    names=["hash", "doc_id", "start"],
+                    [_signed(all_[at + w.first[doc]]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32))],
+                    names=["hash", "doc_id", "row", "start"],
                 )
 
-    return docs.mapInArrow(run, "hash long, doc_id long, start int")
+    return docs.mapInArrow(run, "hash long, doc_id long, row long, start int")
 
 
-def query_runs(found: DataFrame, p: SpanParams) -> DataFrame:
-    """Rows (ref, shard, ref_lo, ref_hi, start, n, text) of ``found`` (doc_id, text, hits):
-    maximal runs of windows that follow one run of a reference shard."""
+def region_words(docs: DataFrame, p: SpanParams) -> DataFrame:
+    """(anchor, region, doc_id, row, at, start, words) of ``docs`` (doc_id, row, text, regions, live): whole regions that
+    have copies, of others the runs of live windows. ``at`` is the region's first window, ``start`` the run's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hits = batch.column(0).to_numpy(), list(_runs(batch.column(2)))
-            for c in A.chunks(batch.column(1)):
+            regions, live = list(_runs(batch.column(3))), batch.column(4)
+            bounds, starts = live.offsets.to_numpy(), live.flatten().to_numpy()
+            bounds = bounds - bounds[0]
+            for c in A.chunks(batch.column(2)):
                 w = A.words(c)
-                rows: list[tuple] = []
+                out: dict[str, list] = {k: [] for k in ("anchor", "region", "rows", "at", "start", "words")}
                 for i in range(c.n):
-                    r = hits[c.rows.start + i]
-                    n = r["n"].astype(np.int64)
-                    at = _spread(r["start"].astype(np.int64), n)
-                    to = _spread(r["ref_start"].astype(np.int64), n)
-                    ref = np.repeat(r["ref"], n)
-                    order = np.lexsort((to, ref, at))
-                    at, to, ref = at[order], to[order], ref[order]
-                    once = np.concatenate([[True], at[1:] != at[:-1]])
-                    at, to, ref = at[once], to[once], ref[once]
-                    cut = np.concatenate([
-                        [True],
-                        (np.diff(at) != 1) | (np.diff(to) != 1) | (ref[1:] != ref[:-1]) | (to[1:] // p.block != to[:-1] // p.block),
-                    ])
-                    first = np.flatnonzero(cut)
-                    last = np.append(first[1:], len(at)) - 1
-                    base = w.first[i]
-                    for a, b in zip(first, last, strict=True):
-                        lo, hi = w.start[base + at[a]], w.end[base + at[b] + p.window - 1]
-                        rows.append((ref[a], to[a] // p.block, to[a], to[b], ids[c.rows][i], at[a], at[b] - at[a] + 1, c.buf[lo:hi].tobytes()))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                    row, base = c.rows.start + i, w.first[i]
+                    own = np.sort(starts[bounds[row] : bounds[row + 1]])
+                    r = regions[row]
+                    for anchor, region, at, n, copies in zip(r["anchor"].tolist(), r["region"].tolist(), r["start"].tolist(), r["n"].tolist(), r["copies"].tolist(), strict=True):
+                        if copies:
+                            parts = [(at, at + n)]
+                        else:
+                            inside = own[np.searchsorted(own, at) : np.searchsorted(own, at + n)]
+                            cut = np.flatnonzero(np.diff(inside) > 1)
+                            parts = list(zip(inside[np.append(0, cut + 1)], inside[np.append(cut, len(inside) - 1)] + 1, strict=True)) if len(inside) else []
+                        for lo, hi in parts:
+                            out["anchor"].append(anchor)
+                            out["region"].append(region)
+                            out["rows"].append(row)
+                            out["at"].append(at)
+                            out["start"].append(lo)
+                            out["words"].append(c.buf[w.start[base + lo] : w.end[base + hi + p.window - 2]].tobytes())
+                rows = pa.array(out["rows"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)],
-                    names=["ref", "shard", "ref_lo", "ref_hi", "doc_id", "start", "n", "words"],
+                    [
+                        pa.array(out["anchor"], pa.int64()), pa.array(out["region"], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows),
+                        pa.array(out["at"], pa.int32()), pa.array(out["start"], pa.int32()), pa.array(out["words"], pa.binary()),
+                    ],
+                    names=["anchor", "region", "doc_id", "row", "at", "start", "words"],
                 )
 
-    return found.mapInArrow(
-        run, "ref long, shard int, ref_lo int, ref_hi int, doc_id long, start int, n int, words binary"
-    )
+    return docs.mapInArrow(run, "anchor long, region long, doc_id long, row long, at int, start int, words binary")
 
 
-def reference_shards(found: DataFrame, p: SpanParams) -> DataFrame:
-    """(ref, shard, reference) of ``found`` (doc_id, text, shards): the words of the needed window starts of each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, shards = batch.column(0).to_numpy(), list(_runs(batch.column(2)))
-            for c in A.chunks(batch.column(1)):
-                w = A.words(c)
-                ref, shard, text = [], [], []
-                for i in range(c.n):
-                    r = shards[c.rows.start + i]
-                    for s, lo, hi in zip(r["shard"], r["lo"], r["hi"], strict=True):
-                        a, b = w.first[i] + lo, w.first[i] + hi + p.window - 1
-                        ref.append(ids[c.rows][i])
-                        shard.append(s)
-                        text.append(c.buf[w.start[a] : w.end[b]].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ref, pa.int64()), pa.array(shard, pa.int32()), pa.array(text, pa.binary())],
-                    names=["ref", "shard", "reference"],
-                )
-
-    return found.mapInArrow(run, "ref long, shard int, reference binary")
+def stream_shards(found: DataFrame, p: SpanParams) -> DataFrame:
+    """(region, row, early, start, end): spans of words that an automaton matches, by streaming
+    ``found`` (anchor, region, doc_id, row, at, start, words) through the automaton of its anchor.
 
-
-def automaton_spans(met: DataFrame, p: SpanParams) -> DataFrame:
-    """(doc_id, start, end): word spans of ``met`` (doc_id, start, words, ref, shard, reference)
-    where the matching statistics against the shard's automaton reach the window length."""
+    ``early`` spans lie in the first document (``row``) and are held by documents before it, ``start``
+    counts from the text. Others are what later holders of the region lose, ``start`` counts from the region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, automaton = None, None
+        shard, automaton, held, waiting = None, SuffixAutomaton(), None, []
         for batch in batches:
-            doc, lo, hi = [], [], []
-            for d, start, words, ref, shard, reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (ref, shard):  # the join sorts by shard, so one automaton serves all its rows
-                    key, automaton = (ref, shard), SuffixAutomaton(reference.split())
-                reached = np.flatnonzero(automaton.matching_statistics(words.split()) >= p.window)
-                if not len(reached):
-                    continue
-                cut = np.flatnonzero(np.diff(reached) > 1)
-                first = reached[np.append(0, cut + 1)]
-                last = reached[np.append(cut, len(reached) - 1)]
-                doc += [d] * len(first)
-                lo += (start + first - p.window + 1).tolist()
-                hi += (start + last + 1).tolist()
+            out: list[tuple] = []
+            for anchor, region, doc, row, at, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != anchor:
+                    shard, automaton, held, waiting = anchor, SuffixAutomaton(), None, []
+                if held != doc:  # regions of one document don't meet each other
+                    for x in waiting:
+                        automaton.extend(x)
+                    held, waiting = doc, []
+                query = words.split()
+                reached = automaton.matching_statistics(query) >= p.window
+                out += [(region, row, True, start + lo - p.window + 1, start + hi) for lo, hi in _blocks(reached)]
+                if not reached[p.window - 1 :].all():
+                    waiting.append(query)
+                # now the shard holds every window of it, so later holders lose all
+                out.append((region, None, False, start - at, start - at + len(query)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "start", "end"]
+                [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["region", "row", "early", "start", "end"]
             )
 
-    columns = met.select("doc_id", "start", "words", "ref", "shard", "reference")
-    return columns.mapInArrow(run, "doc_id long, start int, end int")
+    return found.mapInArrow(run, "region long, row long, early boolean, start int, end int")
+
+
+def row_key():
+    """A private key of a row: rows that share a doc_id are told apart by their texts."""
+    return F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
 
 
 def repeated_spans(docs: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
-    """(doc_id, start, end): spans of words to remove, end excluded; they may overlap."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    """(row, start, end): spans of words to remove, end excluded; they may overlap. ``row`` is :func:`row_key`."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").where("row is not null")
     pairs = anchors(own, p)
     shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    listed = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    listed = saved(listed, "span-anchors")
-    texts = saved(own.join(listed.select("doc_id"), "doc_id"), "span-texts")
-    found = saved(candidate_segments(texts.join(listed, "doc_id").select("doc_id", "text", "anchors"), p), "span-segments")
-    first = found.groupBy("segment").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("anchor").alias("anchor"))
-    first = saved(first.select("segment", "anchor", F.col("f.doc_id").alias("ref"), F.col("f.start").alias("ref_start")), "span-first")
-    settled = found.join(first.drop("anchor"), "segment").where("doc_id > ref").select("doc_id", "start", "n", "ref", "ref_start")
-    several = first.groupBy("anchor").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).where("a <> b").select("anchor")
-    open_ = found.join(first.select("segment", "ref"), "segment").where("doc_id = ref").join(several, "anchor")
-    open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    windows = saved(windows_of(texts.join(open_, "doc_id").select("doc_id", "text", "runs"), p), "span-windows")
-    least = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("hi")).where("f.doc_id < hi")
-    single = windows.join(least.select("hash", F.col("f.doc_id").alias("ref"), F.col("f.start").alias("ref_start")), "hash")
-    single = single.where("doc_id > ref").select("doc_id", "start", F.lit(1).alias("n"), "ref", "ref_start")
-    hits = settled.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias("hits"))
-    runs = saved(query_runs(texts.join(hits, "doc_id").select("doc_id", "text", "hits"), p), "span-runs")
-    shards = runs.groupBy("ref", "shard").agg(F.min("ref_lo").alias("lo"), F.max("ref_hi").alias("hi"))
-    shards = shards.groupBy(F.col("ref").alias("doc_id")).agg(F.collect_list(F.struct("shard", "lo", "hi")).alias("shards"))
-    references = saved(reference_shards(texts.join(shards, "doc_id").select("doc_id", "text", "shards"), p), "span-shards")
-    return saved(automaton_spans(runs.join(references, ["ref", "shard"]), p), "span-removed")
+    listed = saved(pairs.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors")), "span-anchors")
+    # of rows with one doc_id and one text, one is enough
+    texts = saved(own.join(listed, "row").dropDuplicates(["row"]).select("doc_id", "row", "text", "anchors"), "span-texts")
+    found = saved(candidate_regions(texts, p), "span-regions")
+    first = found.groupBy("region").agg(
+        F.min(F.struct("doc_id", "row", "start", "n")).alias("f"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
+    first = saved(first.select("region", "anchor", "f.*", (F.col("last") > F.col("f.doc_id")).alias("copies")), "span-first")
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    open_ = first.join(several, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    plain = texts.select("doc_id", "row", "text")
+    windows = saved(windows_of(plain.join(open_, "row").select("doc_id", "row", "text", "runs"), p), "span-windows")
+    alive = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
+    live = windows.join(alive, "hash", "left_semi").groupBy("row").agg(F.collect_set("start").alias("live"))
+    regions = first.groupBy("row").agg(F.collect_list(F.struct("anchor", "region", "start", "n", "copies")).alias("regions"))
+    none = F.array().cast("array<int>")
+    wanted = plain.join(regions, "row").join(live, "row", "left").select("doc_id", "row", "text", "regions", F.coalesce("live", none).alias("live"))
+    words = saved(region_words(wanted, p), "span-words")
+    discard(windows, texts, listed)
+    # the shards of a partition come one after the other, each by its first documents
+    streamed = saved(stream_shards(words.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), p), "span-streamed")
+    discard(words)
+    early = streamed.where("early").select("row", "start", "end")
+    later = found.join(first.where("copies").select("region", F.col("doc_id").alias("ref")), "region").where("doc_id > ref")
+    later = later.select("region", "row", "start").join(streamed.where("not early").select("region", F.col("start").alias("lo"), F.col("end").alias("hi")), "region")
+    out = saved(early.union(later.select("row", F.col("start") + F.col("lo"), F.col("start") + F.col("hi"))), "span-removed")
+    discard(found, first, streamed)
+    return out
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with n_words, n_removed, kept_words (joined by one
     space) and kept_text (null if nothing was removed; otherwise the text without the
     removed words and the white space after each)."""
-    listed = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    source = docs.select(*keep, F.col("doc_id").cast("long").alias("_key"), F.col("text").alias("_text"))
+    listed = spans.groupBy(F.col("row").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    source = docs.select(*keep, row_key().alias("_key"), F.col("text").alias("_text"))
     source = source.join(listed, F.col("_key") == F.col("_id"), "left").select(*keep, "_spans", "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
 
@@ -356,7 +350,7 @@ def _stays(total: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def clean_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with all its columns, the spans cut out of text; a text that loses all its words is null."""
-    listed = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    listed = spans.groupBy(F.col("row").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
     def run(text: pa.Array, runs: pa.Array) -> pa.Array:
         all_runs, out = list(_runs(runs)), []
@@ -372,7 +366,7 @@ def clean_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pa.array(out, pa.binary()).cast(pa.string())
 
     cut = F.arrow_udf(run, "string")(F.col("text"), F.col("_spans"))
-    both = docs.join(listed, F.col("doc_id").cast("long") == F.col("_span_id"), "left").drop("_span_id")
+    both = docs.withColumn("_span_key", row_key()).join(listed, F.col("_span_key") == F.col("_span_id"), "left").drop("_span_id", "_span_key")
     none = F.array().cast("array<struct<start:int,end:int>>")
     both = both.withColumn("_spans", F.coalesce("_spans", none))
     return both.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))).drop("_spans")

@@ -6,17 +6,21 @@ import numpy as np
 
 
 class SuffixAutomaton:
-    """Accepts every run of consecutive words of its reference.
+    """Accepts every run of consecutive words of its references, which are added one by one.
 
     States are kept in flat lists: longest match length, suffix link and a
     transition dict each; at most two states arise for a word.
     """
 
-    def __init__(self, reference: list[bytes]) -> None:
-        self.length, self.link, self.next = [0], [-1], [{}]
+    def __init__(self, reference: list[bytes] | None = None) -> None:
+        self.length, self.link, self.next, self.last = [0], [-1], [{}], 0
+        self.extend(reference or [])
+
+    def extend(self, reference: list[bytes]) -> None:
+        """Add a reference; a word of its own that no query has parts it from the one before."""
         length, link, nxt = self.length, self.link, self.next
-        last = 0
-        for word in reference:
+        last = self.last
+        for word in (*reference, object()) if reference else ():
             new = len(length)
             length.append(length[last] + 1)
             link.append(0)
@@ -39,6 +43,7 @@ class SuffixAutomaton:
                         at = link[at]
                     link[found] = link[new] = copy
             last = new
+        self.last = last
 
     def matching_statistics(self, query: list[bytes]) -> np.ndarray:
         """For each position of ``query`` the longest run ending there that the reference holds."""
