@@ -37,6 +37,8 @@ class LanguageParams:
     #: Labelled documents and windows of each that training reads at most.
     max_training_docs: int = 2000
     max_training_windows: int = 4
+    #: Bytes of the longest text that training reads.
+    max_text_bytes: int = 64 << 10
     epochs: int = 5
     batch: int = 64
     rate: float = 0.01
@@ -176,9 +178,10 @@ def has_letter(chunk: A.Chunk) -> np.ndarray:
 
 
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams(), learn=None) -> LanguageModel:
-    """Train on text and non-null lang of at most ``max_training_docs`` documents where ``learn`` holds."""
+    """Train on text and non-null lang of at most ``max_training_docs`` documents
+    of at most ``max_text_bytes`` where ``learn`` holds."""
     own = docs.where(F.lit(True) if learn is None else learn).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sorted((r.doc_id, r.text, r.lang) for r in bounded_sample(own, "doc_id", p.max_training_docs).collect())
+    rows = sorted((r.doc_id, r.text, r.lang) for r in bounded_sample(own, "doc_id", p.max_training_docs, p.max_text_bytes).collect())
     return train([r[1] for r in rows], [r[2] for r in rows], p)
 
 

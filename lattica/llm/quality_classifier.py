@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.tables import bounded_sample
+from lattica.llm.tables import labelled_sample
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class QualityParams:
     #: Most labelled documents that training reads, and the bytes of text it learns from at most.
     max_training_docs: int = 3000
     max_training_bytes: int = 48 << 20
+    #: Bytes of the longest text that training reads.
+    max_text_bytes: int = 64 << 10
     threshold: float = 0.3
     seed: int = 7
 
@@ -147,15 +149,10 @@ def score_chunk(chunk: A.Chunk, model: QualityModel) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), learn=None) -> QualityModel:
     """Train on the documents where ``learn`` holds that have a label. At most
-    ``max_training_docs`` labelled rows are read: those with the smallest hashed
-    doc_id. Several labels of one document count as the smallest."""
-    own = docs.where(F.lit(True) if learn is None else learn).select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    marked = (
-        labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
-    )
-    ids = bounded_sample(marked, "_id", p.max_training_docs)
-    rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).limit(p.max_training_docs)
-    rows = sorted((r.doc_id, r.text or "", r._quality) for r in rows.select("doc_id", "text", "_quality").collect())
+    ``max_training_docs`` of these that have at most ``max_text_bytes`` are read: those with the
+    smallest hashed doc_id. Several labels of one document count as the smallest."""
+    own = docs.where(F.lit(True) if learn is None else learn)
+    rows = labelled_sample(own, labels, p.max_training_docs, p.max_text_bytes)
     return train([r[1] for r in rows], [r[2] for r in rows], p)
 
 

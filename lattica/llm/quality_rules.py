@@ -3,10 +3,12 @@ that labels its lines.
 
 Each line with a word is described by binary features (binned shares of
 symbols, capitals, digits and repeated words, lengths, line ends, repeats of an
-earlier line). A linear-chain CRF over a document's lines is trained by exact
-gradients (forward-backward) on lines that take the label of their document;
-Viterbi decoding then marks each line as content or boilerplate, and the share
-of words in content lines decides whether the document is kept.
+earlier line). Labels are known of documents only, so lines are labelled as instances of a
+bag: a logistic regression of the document's label on its lines' features gives each line's
+evidence, the document's label shifts it as a prior, and each document keeps at least one
+line of its own label. A linear-chain CRF over the lines is trained on these labels by exact
+gradients (forward-backward); Viterbi decoding then marks each line as content or
+boilerplate, and the share of words in content lines decides whether the document is kept.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 without labels of both kinds the CRF keeps what the base rules keep; equal
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
 from lattica.llm.language_model import Lockstep
-from lattica.llm.tables import bounded_sample
+from lattica.llm.tables import labelled_sample
 
 BOILERPLATE, CONTENT = 0, 1
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -57,8 +59,11 @@ class RuleParams:
     min_words: int = 50
     max_repeat_percent: int = 50
     content_share: float = 0.5
-    #: Labelled documents that training reads at most.
+    #: Log-odds by which a document's label shifts the labels of its lines in training.
+    prior: float = 1.0
+    #: Labelled documents that training reads at most, and bytes of the longest text that it learns from.
     max_training_docs: int = 2000
+    max_text_bytes: int = 64 << 10
     steps: int = 80
     rate: float = 0.3
     decay: float = 1e-3
@@ -159,6 +164,32 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def evidence(lines: Lines, quality: np.ndarray, p: RuleParams) -> np.ndarray:
+    """Log-odds that a line is of a document of label 1, by its own features alone; each label weighs the same."""
+    x, y = lines.features, np.repeat(quality, np.diff(lines.first))
+    cost = (len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1)))[y]
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, 2 * p.steps + 1):
+        g = x.T @ (cost * (1 / (1 + np.exp(-(x @ w))) - y)) / max(1, len(y)) + p.decay * w
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        w -= p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return x @ w
+
+
+def line_labels(lines: Lines, quality: np.ndarray, p: RuleParams = RuleParams()) -> np.ndarray:
+    """Content or boilerplate for each line of documents with the labels ``quality``."""
+    if len(np.unique(quality)) < 2:
+        return np.repeat(quality, np.diff(lines.first))
+    own = evidence(lines, quality, p) + np.repeat(np.where(quality == 1, p.prior, -p.prior), np.diff(lines.first))
+    labels = (own >= 0).astype(np.int64)
+    for i in np.flatnonzero(np.diff(lines.first)):
+        a, b = lines.first[i], lines.first[i + 1]
+        if not (labels[a:b] == quality[i]).any():
+            labels[a + (np.argmax(own[a:b]) if quality[i] == 1 else np.argmin(own[a:b]))] = quality[i]
+    return labels
+
+
 def train(lines: Lines, labels: np.ndarray, p: RuleParams = RuleParams()) -> LineModel:
     """Maximum likelihood by Adam on exact gradients; ``labels`` marks each line."""
     m = LineModel(p, np.zeros((N_FEATURES, 2)), np.zeros(2), np.zeros((2, 2)), False)
@@ -239,19 +270,13 @@ def content_share(lines: Lines, m: LineModel) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> LineModel:
-    """Train on lines of at most ``max_training_docs`` labelled documents."""
-    marked = (
-        labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
-    )
-    ids = bounded_sample(marked, "_id", p.max_training_docs)
-    own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).limit(p.max_training_docs)
-    rows = sorted((r.doc_id, r.text or "", r._quality) for r in rows.select("doc_id", "text", "_quality").collect())
+    """Train on lines of at most ``max_training_docs`` labelled documents of at most ``max_text_bytes``."""
+    rows = labelled_sample(docs, labels, p.max_training_docs, p.max_text_bytes)
     chunk = next(A.chunks(pa.array([r[1] for r in rows], pa.large_string()), 1 << 40), None)
     if chunk is None:
         return train(Lines(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty((0, N_FEATURES))), np.empty(0), p)
     lines = describe(chunk)[1]
-    return train(lines, np.repeat(np.array([r[2] for r in rows]), np.diff(lines.first)), p)
+    return train(lines, line_labels(lines, np.array([r[2] for r in rows]), p), p)
 
 
 def apply_rules(docs: DataFrame, m: LineModel, keep: list[str]) -> DataFrame:

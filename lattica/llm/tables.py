@@ -63,13 +63,22 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows whose key is among the ``n`` smallest by hash: keys are chosen
-    on a narrow scan first, so at most ``n`` keys are broadcast and only the
-    chosen rows' wide columns are read. Never more than ``n`` rows, even if a
-    key is repeated."""
+def bounded_sample(df: DataFrame, key: str, n: int, most_bytes: int, ids: DataFrame | None = None) -> DataFrame:
+    """At most ``n`` rows of ``df`` (with a column text, of at most ``most_bytes`` bytes): those of the
+    ``n`` keys that are smallest by hash (of ``ids`` where given), and of several rows of these the
+    smallest by hash. Neither the order of rows nor chance decides; keys are chosen on a narrow
+    scan and broadcast, so only the chosen rows' texts are read."""
     keys = (
-        df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+        (df if ids is None else ids).select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
         .orderBy(F.xxhash64("_key"), "_key").limit(n)
     )
-    return df.join(F.broadcast(keys), df[key] == F.col("_key"), "left_semi").limit(n)
+    rows = df.join(F.broadcast(keys), df[key] == F.col("_key"), "left_semi")
+    return rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes).orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, most_bytes: int) -> list[tuple]:
+    """Sorted (doc_id, text, quality) of at most ``n`` labelled documents; several labels of one count as the least."""
+    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rows = bounded_sample(docs.select("doc_id", "text"), "doc_id", n, most_bytes, chosen).join(F.broadcast(chosen), "doc_id")
+    return sorted((r.doc_id, r.text or "", r.quality) for r in rows.select("doc_id", "text", "quality").collect())
