@@ -9,6 +9,9 @@ multi-byte character.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +65,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Return the freed memory of earlier work to the system; Spark uses Python workers again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @dataclass
 class Chunk:
     """Some documents: ``rows`` are their row numbers in the Arrow batch."""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.arrays import chunks
+from lattica.llm.arrays import chunks, give_back
 
 NO_RANK = 1 << 30
 
@@ -45,7 +45,7 @@ NO_RANK = 1 << 30
 class BpeParams:
     #: Maps of the literal, and bytes of distinct pieces that a task remembers at most.
     buckets: int = 1 << 15
-    distinct_bytes: int = 6 << 20
+    distinct_bytes: int = 4 << 20
     #: Longest part that the fold merges.
     fold_bytes: int = 256
     #: Least text of a task: a task encodes each of its distinct parts once, so small tasks repeat each other's work.
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        give_back()
         find, cuts = regex.compile(pattern).findall, Cuts(shared.value)
         #: numbers of a piece's parts as 32-bit integers, and of a part
         numbers: dict[str, bytes] = {}
@@ -265,6 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                 del lists, kept, fresh
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         decode = Decoder(shared.value)
         flat, start, used = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         for batch in batches:
