@@ -156,6 +156,22 @@ def test_substring_dedup(spark, none, extra):
     assert all((words(cleaned[i]) if kept else cleaned[i]) == (words(kept) if kept else None) for i, kept in want.items())
 
 
+def test_substring_dedup_of_rows_that_share_a_doc_id(spark):
+    a, other = story(70, 60), story(71, 60)
+    docs = [(1, a), (2, a + " tail"), (2, other), (2, "short one"), (3, other + " " + a), (3, other + " " + a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_words) for r in substring_dedup.deduplicate(df, ["doc_id"]).collect())
+    assert got == sorted(brute_dedup(docs))
+    cleaned = substring_dedup.clean_texts(df, substring_dedup.repeated_spans(df)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in cleaned) == sorted((i, kept) for i, _, _, kept in brute_dedup(docs))
+
+
+def test_automaton_of_several_references():
+    automaton = SuffixAutomaton([b"a", b"b"])
+    automaton.extend([b"b", b"c"])
+    assert automaton.matching_statistics([b"a", b"b", b"b", b"c", b"a", b"b"]).tolist() == [1, 2, 1, 2, 1, 2]
+
+
 def test_matching_statistics():
     rng = np.random.RandomState(0)
     ref, query = [bytes([x]) for x in rng.randint(65, 68, 80)], [bytes([x]) for x in rng.randint(65, 68, 60)]
@@ -198,6 +214,30 @@ def test_quality_rules(spark, odd, none, extra):
     assert not empty.trained
 
 
+def test_quality_rules_label_lines(spark):
+    text_line, shout = [" ".join(story(k, 12).split()) + "." for k in range(400)], "### *** " * 8
+    good = ["\n".join(text_line[k * 10 : k * 10 + 10]) for k in range(20)]
+    bad = ["\n".join([text_line[200 + k], *[shout] * 8, text_line[300 + k]]) for k in range(20)]
+    rows = [(i, t) for i, t in enumerate([*good, *bad])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    m = quality_rules.fit(docs, labels)
+    mixed = "\n".join([*text_line[380:385], *[shout] * 5, *text_line[385:390]])
+    lines = quality_rules.describe(next(A.chunks(pa.array([mixed]))))[1]
+    assert quality_rules.decode(lines, m).tolist() == [1] * 5 + [0] * 5 + [1] * 5
+    more = docs.union(spark.createDataFrame([(100, mixed), (101, "\n".join([*text_line[380:382], *[shout] * 20]))], docs.schema))
+    e = {r.doc_id: r for r in quality_rules.apply_rules(more, m, ["doc_id"]).collect()}
+    for r in more.collect():  # kept, by every labelling of the lines in turn where there are few, else by one step at a time
+        x = quality_rules.describe(next(A.chunks(pa.array([r.text]))))[1]
+        unary = x.features @ m.weights
+        best = {y: (unary[0, y] + m.start[y], [y]) for y in (0, 1)}
+        for row in unary[1:]:
+            best = {y: max(((v + m.step[z, y] + row[y], [*way, y]) for z, (v, way) in best.items()), key=lambda o: o[0]) for y in (0, 1)}
+        way = np.array(max(best.values(), key=lambda o: o[0])[1])
+        share = x.words[way == 1].sum() / x.words.sum()
+        assert e[r.doc_id].content_share == share and e[r.doc_id].kept == (share >= 0.5 and not e[r.doc_id].base_failed)
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.RandomState(1)
     p = quality_rules.RuleParams()
@@ -261,16 +301,18 @@ def test_jaccard_classes(spark, none, extra, p):
 def test_linked_sets_share_an_index_entry():
     p = jaccard_join.JaccardParams()
     rng = np.random.RandomState(2)
-    rank = (rng.rand(1 << p.count_bits) < 0.7).astype(np.uint8) * 3
+    ranks = [(rng.rand(1 << p.count_bits) < share).astype(np.uint8) * 3 for share in (0.7, 0.62, 0.1, 0.0)]
     for n in [2, 3, 5, 12, 13, 16, 17, 40, 63, 65, 200, 500, 1100]:
-        for _ in range(10):
+        for k in range(20):
+            rank = ranks[k % 4]
             x = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64))
             y = x[rng.permutation(len(x))[: jaccard_join.least_overlap(len(x), p)]]
             add = (len(y) * 100 // p.percent) - len(x)
             y = np.unique(np.concatenate([y, rng.randint(0, 1 << 62, max(0, add)).astype(np.uint64)]))
             same = len(np.intersect1d(x, y))
             if 100 * same >= p.percent * (len(x) + len(y) - same) and len(x) > 1 and len(y) > 1 and set(x) != set(y):
-                assert np.intersect1d(jaccard_join.signatures(x, rank, p), jaccard_join.signatures(y, rank, p)).size
+                (a, least_a), (b, least_b) = jaccard_join.signatures(x, rank, p), jaccard_join.signatures(y, rank, p)
+                assert np.intersect1d(a, b).size >= max(least_a, least_b)
                 assert jaccard_join.may_link(*(np.frombuffer(jaccard_join._sketch(s), np.uint16) for s in (x, y)), len(x), len(y), p)
 
 
@@ -513,3 +555,32 @@ def test_pipeline_stages_keep_columns(spark, odd, sf_dir):
     ids = [r.doc_id for r in docs.collect()]
     assert len(ids) == len(set(ids)) and 4 in ids and 6 in ids and 5 not in ids and 7 not in ids
     assert c.STAGES[-1][1](spark, docs, sf_dir).count() == len(ids)
+
+
+def test_pipeline_rows_without_or_with_one_doc_id(spark, odd, sf_dir):
+    import corpus_pipeline as c
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    own = [story(k, 90, 5000) for k in range(3)]
+    rows = [(None, item), (None, item), (7, item), (1, own[0]), (None, own[0]), (None, own[1]), (2, own[1]), (3, own[2]), (3, own[0] + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    unique = dict(c.STAGES)["n-gram Jaccard join"](spark, docs, sf_dir)
+    assert sorted((r.doc_id, r.text) for r in unique.collect()) == [(1, own[0]), (2, own[1]), (3, own[2]), (7, item)]
+    clean = dict(c.STAGES)["benchmark decontamination"](spark, docs, sf_dir)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(repr, [x for x in rows if x[1] != item]))
+
+
+def test_pipeline_of_no_documents(spark, none, sf_dir):
+    import corpus_pipeline as c
+
+    for _, stage in c.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_sample_is_bounded_and_free_of_order(spark):
+    from lattica.llm.tables import bounded_sample
+
+    rows = [(i % 40, "x" * (i % 90)) for i in range(400)] + [(None, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(tuple, bounded_sample(x, "doc_id", 10, 50).collect())) for x in (df, df.repartition(5).orderBy(F.rand())))
+    assert a == b and 0 < len(a) <= 10 and all(len(t) <= 50 for _, t in a)
