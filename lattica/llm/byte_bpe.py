@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.arrays import chunks, give_back
+from lattica.llm.arrays import chunks, give_back, gives_back
 
 NO_RANK = 1 << 30
 
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     width = len(keep)
 
+    @gives_back
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -265,6 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                 )
                 del lists, kept, fresh
 
+    @gives_back
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         decode = Decoder(shared.value)

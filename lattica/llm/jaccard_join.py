@@ -145,6 +145,7 @@ def describe(docs: DataFrame, p: JaccardParams) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     names = ["doc_id", "n_shingles", "node", "bucket", "n"]
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(size, np.int64), None
         for batch in batches:
@@ -182,6 +183,7 @@ def token_ranks(counts: DataFrame, p: JaccardParams) -> np.ndarray:
 def index_entries(docs: DataFrame, rank, p: JaccardParams) -> DataFrame:
     """(entry, node) rows of the index; equal sets give equal rows."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in A.chunks(batch.column(0)):
@@ -224,6 +226,7 @@ def candidates(docs: DataFrame, rank, bitmap, p: JaccardParams) -> DataFrame:
     """(node, n, entries, sketch, text) of the documents that have as many entries that pass the
     bitmap as a link needs. The sketch holds 16-bit hashes of a quarter of the set."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, node, n, entries, sketch = [], [], [], [], []
@@ -270,6 +273,7 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: JaccardParams)
 def plausible(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) that :func:`may_link` leaves."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, x, y, n, m = (c.to_pylist() for c in batch.columns)
@@ -288,6 +292,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by their whole shingle sets."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [np.empty(0, bool)]
@@ -356,6 +361,7 @@ def _blockwise(members: DataFrame, contents: DataFrame, compare, p: JaccardParam
     right = blocks.select("g", F.col("block").alias("y"), "rest", F.col("rows").alias("right"))
     met = left.join(right, "g").where("rest = 0 or x <= y").select("left", "right")
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []

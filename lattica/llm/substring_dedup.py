@@ -85,6 +85,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def anchors(docs: DataFrame, p: SpanParams) -> DataFrame:
     """(anchor, doc_id, row): distinct anchors of each text of ``docs`` (doc_id, row, text)."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in A.chunks(batch.column(2)):
@@ -105,6 +106,7 @@ def candidate_regions(docs: DataFrame, p: SpanParams) -> DataFrame:
     """(region, anchor, doc_id, row, start, n) of ``docs`` (doc_id, row, text, anchors): regions whose anchor
     is listed; ``region`` is a hash of the words."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column(3)
@@ -152,6 +154,7 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def windows_of(docs: DataFrame, p: SpanParams) -> DataFrame:
     """(hash, doc_id, row, start) for each window of the runs listed in ``docs`` (doc_id, row, text, runs)."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = list(_runs(batch.column(3)))
@@ -178,6 +181,7 @@ def region_words(docs: DataFrame, p: SpanParams) -> DataFrame:
     """(anchor, region, doc_id, row, at, start, words) of ``docs`` (doc_id, row, text, regions, live): whole regions that
     have copies, of others the runs of live windows. ``at`` is the region's first window, ``start`` the run's."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             regions, live = list(_runs(batch.column(3))), batch.column(4)
@@ -223,6 +227,7 @@ def stream_shards(found: DataFrame, p: SpanParams) -> DataFrame:
     ``early`` spans lie in the first document (``row``) and are held by documents before it, ``start``
     counts from the text. Others are what later holders of the region lose, ``start`` counts from the region."""
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, held, waiting = None, SuffixAutomaton(), None, []
         for batch in batches:
@@ -298,6 +303,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, keep: list[str]) -> DataFram
     source = source.join(listed, F.col("_key") == F.col("_id"), "left").select(*keep, "_spans", "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
 
+    @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans_of = batch.column(batch.num_columns - 2)
@@ -363,7 +369,10 @@ def clean_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     out.append(cut_text(own, w, i, c.offsets[i], stays) if stays.any() else None)
                 else:
                     out.append(own)
-        return pa.array(out, pa.binary()).cast(pa.string())
+        found = pa.array(out, pa.binary()).cast(pa.string())
+        del all_runs, out
+        A.give_back()
+        return found
 
     cut = F.arrow_udf(run, "string")(F.col("text"), F.col("_spans"))
     both = docs.withColumn("_span_key", row_key()).join(listed, F.col("_span_key") == F.col("_span_id"), "left").drop("_span_id", "_span_key")
