@@ -45,11 +45,13 @@ NO_RANK = 1 << 30
 class BpeParams:
     #: Maps of the literal, and bytes of distinct pieces that a task remembers at most.
     buckets: int = 1 << 15
-    distinct_bytes: int = 4 << 20
+    distinct_bytes: int = 3 << 20
     #: Longest part that the fold merges.
     fold_bytes: int = 256
     #: Least text of a task: a task encodes each of its distinct parts once, so small tasks repeat each other's work.
     task_bytes: int = 64 << 20
+    #: Texts whose ids are put together at once.
+    joined_rows: int = 256
     #: Bytes of text that are split at once.
     chunk_bytes: int = 1 << 20
 
@@ -276,7 +278,6 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
             # rows of pieces and rows of texts come in turns; each run is handled at once
             is_text = number.is_null().to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(is_text)) + 1, [len(is_text)]])
-            n, coded, plain, rows = [], [], [], []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if a == b:
                     continue
@@ -294,18 +295,19 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                         start[k : k + hi - lo + 1] = bounds - bounds[0] + at
                         used = at + len(values)
                     continue
-                for x in lists.slice(a, b - a).to_pylist():
-                    found = flat[_gather(start, np.frombuffer(x, np.int32))]
-                    n.append(len(found))
-                    coded.append(found.astype("<u4").tobytes())
-                    plain.append(decode(found))
-                rows.append((a, b))
-            if rows:
-                at = pa.array(np.concatenate([np.arange(a, b) for a, b in rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(at) for i in range(width)), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(plain, pa.binary())],
-                    names=[*batch.schema.names[:width], "n_tokens", "ids", "decoded"],
-                )
+                # a few rows at a time, so that no more than these are held beside the batch
+                for lo in range(a, b, p.joined_rows):
+                    hi = min(b, lo + p.joined_rows)
+                    n, coded, plain = [], [], []
+                    for x in lists.slice(lo, hi - lo).to_pylist():
+                        found = flat[_gather(start, np.frombuffer(x, np.int32))]
+                        n.append(len(found))
+                        coded.append(found.astype("<u4").tobytes())
+                        plain.append(decode(found))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(lo, hi - lo) for i in range(width)), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(plain, pa.binary())],
+                        names=[*batch.schema.names[:width], "n_tokens", "ids", "decoded"],
+                    )
 
     pieces = source.mapInArrow(split, f"{own}, _number int, _piece string, _list binary")
     ids = F.when(F.col("_piece").isNotNull(), encode_piece(F.col("_piece"), rank_literal(spark, ranks, p), p))
