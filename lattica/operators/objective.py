@@ -26,10 +26,10 @@ GROUP_SMOOTHING = 0.001
 
 def energies(rows: DataFrame, fields: DataFrame, couplings: DataFrame) -> DataFrame:
     """(s, w, i, a, seen, energy): h_i(a) + sum over j of e_ij(a, code of j) for each row, site
-    and code. ``rows`` is (s, w, codes); parameter tables join by broadcast. Gaps (-1) neither
+    and code. ``rows`` is (s, w, codes); fields join by broadcast, couplings as their size allows. Gaps (-1) neither
     predict nor are predicted."""
     long = rows.select("s", "w", F.posexplode("codes").alias("at", "b")).select("s", "w", (F.col("at") + 1).alias("j"), "b").where("b >= 0")
-    both = F.broadcast(mirrored(couplings.select("i", "j", "a", "b", "e")))
+    both = mirrored(couplings.select("i", "j", "a", "b", "e"))
     pulls = long.join(both, ["j", "b"]).groupBy("s", "i", "a").agg(F.sum("e").alias("pull"))
     own = long.select("s", "w", F.col("j").alias("i"), F.col("b").alias("seen"))
     cells = own.join(F.broadcast(fields), "i")

@@ -53,14 +53,15 @@ def _block(distinct: DataFrame, theta: float, q: int, n_sites: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others, copies = shared.value
-        hot = one_hot(others, q, np.float32)
         for batch in batches:
             mine = _matrix(batch.column(0), n_sites)
             n = np.zeros(len(mine), np.int64)
-            for at in range(0, len(mine), 512):
-                x = one_hot(mine[at : at + 512], q, np.float32)
-                for to in range(0, len(others), 8192):
-                    n[at : at + 512] += (x @ hot[to : to + 8192].T >= least) @ copies[to : to + 8192]
+            # one-hot rows are q times as large as codes: a block of either side at a time
+            for to in range(0, len(others), 2048):
+                hot = one_hot(others[to : to + 2048], q, np.float32)
+                for at in range(0, len(mine), 512):
+                    x = one_hot(mine[at : at + 512], q, np.float32)
+                    n[at : at + 512] += (x @ hot.T >= least) @ copies[to : to + 2048]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["codes", "n"])
 
     parts = max(1, min(distinct.sparkSession.sparkContext.defaultParallelism, len(codes) // 256))

@@ -372,7 +372,8 @@ def variance_priors(spark, d):
 
 def prior_stats(spark, d):
     p = S.variance_priors(S.coupling_variances(_covariances(spark, d)[2]), SITES)
-    return S.prior_statistics(p).select("percent_positive", "percent_within", _r("least", 3).alias("least"), _r("most", 3).alias("most"))
+    return S.prior_statistics(p).select(
+        _r(F.log10("mean_positive"), 3).alias("log10_mean_positive"), "percent_positive", "percent_within", _r("least", 3).alias("least"), _r("most", 3).alias("most"))
 
 
 def logo_bits(spark, d):

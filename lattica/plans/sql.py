@@ -177,7 +177,8 @@ ORACLES: dict[str, str] = {
     "top_couplings": _sql("cn", f"SELECT i, j, {_r('cn')} AS cn FROM (SELECT * FROM cn ORDER BY cn DESC, i, j LIMIT 10)"),
     "couplings_above": _sql("cn", f"SELECT i, j, {_r('cn')} AS cn FROM cn WHERE cn > 0.01"),
     "variance_priors": _sql("pri", f"SELECT i, j, {_r('v', 9)} AS v, {_r('lam', 3)} AS \"lambda\" FROM pri"),
-    "prior_stats": _sql("pri", f"""SELECT avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) * 100 AS percent_positive,
+    "prior_stats": _sql("pri", f"""SELECT {_r('log10(avg(CASE WHEN x > 0 THEN 1 / (2 * x) END))', 3)} AS log10_mean_positive,
+        avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) * 100 AS percent_positive,
         avg(CASE WHEN x > 0 AND 1 / (2 * x) BETWEEN 0.01 AND 10000 THEN 1.0 ELSE 0.0 END) * 100 AS percent_within,
         {_r('min(lam)', 3)} AS least, {_r('max(lam)', 3)} AS most FROM pri"""),
     "logo_bits": _sql("fi", f"""SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY bits, a) AS INT) AS rank, a, {_r('bits')} AS bits FROM (
