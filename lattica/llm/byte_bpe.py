@@ -6,9 +6,9 @@
    list of its parts' numbers.
 2. Spark higher-order functions encode the parts: the bytes of a part are the
    initial symbols, and a fold merges the adjacent pair of least rank (the leftmost of
-   equals) until no pair has a rank. Ranks come from a literal: an array of small
-   maps, chosen by the hash of the merged bytes, so that a look-up reads a few
-   entries. Bytes are held as the characters U+0000 to U+00FF.
+   equals) until no pair has a rank. Ranks come from a literal, the map from two
+   symbols to their merge laid out in arrays (:class:`PairRanks`), so that a look-up
+   reads one entry.
 3. A second Arrow function puts the ids of each text together and decodes them by
    concatenating the vocabulary's binary pieces.
 
@@ -18,7 +18,7 @@ The fold takes time with the square of a part's length, so a part of more than
 ``fold_bytes`` (an unbroken run of letters, say) is merged by a queue in the second function.
 
 Defined cases: a null or empty text has no ids; special strings are ordinary text; a
-byte without a rank is an error of the vocabulary; every whole text is encoded, also
+byte without a rank in the vocabulary is a ValueError; every whole text is encoded, also
 pieces of any length; repeated rows and extra columns change nothing.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 
 from lattica.llm.arrays import chunks, give_back, gives_back
 
-NO_RANK = 1 << 30
+#: No merge has this rank; places in a part that the fold merges have this many bits.
+NO_RANK = 1 << 20
+PLACE_BITS = 9
 
 
 @dataclass(frozen=True)
 class BpeParams:
-    #: Maps of the literal, and bytes of distinct pieces that a task remembers at most.
-    buckets: int = 1 << 15
+    #: Bytes of distinct pieces that a task remembers at most.
     distinct_bytes: int = 3 << 20
-    #: Longest part that the fold merges.
+    #: Longest part that the fold merges (less than 2**PLACE_BITS - 1).
     fold_bytes: int = 256
     #: Least text of a task: a task encodes each of its distinct parts once, so small tasks repeat each other's work.
     task_bytes: int = 64 << 20
@@ -61,57 +62,118 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int], p: BpeParams) -> Column:
-    """The vocabulary as one literal array of maps from byte string to rank."""
-    rows = [(k.decode("latin-1"), v) for k, v in ranks.items()]
-    placed = spark.createDataFrame(rows, "piece string, rank int")
-    maps: list[dict[str, int]] = [{} for _ in range(p.buckets)]
-    for r in placed.select(F.pmod(F.hash("piece"), F.lit(p.buckets)).alias("at"), "piece", "rank").collect():
-        maps[r.at][r.piece] = r.rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _let(value: Column, body) -> Column:
-    """Bind a value once inside a higher-order function."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+@dataclass(frozen=True)
+class PairRanks:
+    """The ranked merges as arrays: symbols ``a`` and ``b`` merge into ``merged[shift[a] + b]``
+    where ``owner[shift[a] + b]`` is ``a``. A symbol's number is its rank, which orders merges too."""
 
+    shift: list[int]
+    owner: list[int]
+    merged: list[int]
 
-def encode_piece(piece: Column, ranks: Column, p: BpeParams) -> Column:
-    """array<int> of the ids of a piece (a string with one character for each byte)."""
-    none = F.array().cast("array<int>")
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> PairRanks:
+        size = max(ranks.values(), default=0) + 1
+        if size > NO_RANK:
+            raise ValueError(f"ranks must be less than {NO_RANK}")
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for x, i in ranks.items():
+            for k in range(1, len(x)):
+                left, right = ranks.get(x[:k]), ranks.get(x[k:])
+                if left is not None and right is not None:
+                    rows.setdefault(left, []).append((right, i))
+        span = 1 << (4 * sum(map(len, rows.values())) + size).bit_length()
+        owner, merged = np.full(span, -1, np.int64), np.full(span, -1, np.int64)
+        shift = np.full(size, span, np.int64)  # out of the arrays where a symbol begins no merge
+        draw = np.random.RandomState(7)
+        # symbols with many merges find room first; each takes a shift at which all its places are free
+        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            right, tries = np.array([x for x, _ in row]), 16
+            while True:
+                at = draw.randint(0, span - size, tries)
+                for x in right.tolist():
+                    at = at[owner[at + x] < 0]
+                    if not len(at):
+                        break
+                if len(at):
+                    break
+                tries = min(2 * tries, 1 << 20)
+            shift[left] = at[0]
+            owner[at[0] + right] = left
+            merged[at[0] + right] = [i for _, i in row]
+        return cls(shift.tolist(), owner.tolist(), merged.tolist())
+
+
+def _literal(numbers: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), "array<int>")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: the finish of a fold over nothing. An item of a one-entry array does
+    so too, but looks up the type of its whole body at each call."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
+
+
+def encode_part(symbols: Column, ranks: PairRanks) -> Column:
+    """array<int> of the ids of a part: ``symbols`` are the numbers of its bytes between two -1.
+
+    The state of the fold is the list of symbols and, for each two neighbours, one key: the rank of
+    their merge above, the place of the left one among the bytes of the part below. The least
+    key is thus the leftmost merge of least rank, and the number of keys up to its place is its position."""
     rest = F.lit(NO_RANK)
+    place_bits = F.lit((1 << PLACE_BITS) - 1)
+
+    def place(key: Column) -> Column:
+        return key.bitwiseAND(place_bits)
+
+    def fold(shift: Column, owner: Column, merged: Column) -> Column:
+        def key(left: Column, right: Column, at: Column) -> Column:
+            slot = F.get(shift, left) + right
+            rank = F.when(F.get(owner, slot) == left, F.get(merged, slot))
+            return F.shiftleft(F.coalesce(rank, rest), PLACE_BITS).bitwiseOR(at)
+
+        def step(state: Column, _: Column) -> Column:
+            part, pair = state["part"], state["pair"]
+
+            def merge(low: Column) -> Column:
+                def put(at: Column) -> Column:
+                    new = F.shiftright(low, PLACE_BITS)
+                    before = F.get(pair, at - 2)
+                    return F.struct(
+                        F.concat(F.slice(part, F.lit(1), at - 1), F.array(new), F.slice(part, at + 2, rest)).alias("part"),
+                        F.concat(
+                            F.slice(pair, F.lit(1), at - 2),
+                            F.array(key(F.get(part, at - 2), new, place(before)), key(new, F.get(part, at + 1), place(low))),
+                            F.slice(pair, at + 2, rest),
+                        ).alias("pair"),
+                    )
 
-    def rank(x: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(ranks, F.pmod(F.hash(x), F.lit(p.buckets))), x), rest)
-
-    n = F.length(piece)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))).otherwise(none)
+                at = F.size(F.filter(pair, lambda x: place(x) <= place(low)))
+                return F.when(low >= F.lit(NO_RANK << PLACE_BITS), state).otherwise(_let(at, put))
 
-    def step(state: Column, _: Column) -> Column:
-        part, pair = state["part"], state["pair"]
+            return _let(F.array_min(pair), merge)
 
-        def merge(at: Column) -> Column:
-            def put(merged: Column) -> Column:
-                left = F.when(
-                    at > 1,
-                    F.concat(F.slice(pair, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(rank(F.concat(F.get(part, at - 2), merged)))),
-                ).otherwise(none)
-                right = F.when(
-                    at < F.size(pair), F.concat(F.array(rank(F.concat(merged, F.get(part, at + 1)))), F.slice(pair, at + 2, rest))
-                ).otherwise(none)
-                joined = F.concat(F.slice(part, F.lit(1), at - 1), F.array(merged), F.slice(part, at + 2, rest))
-                return F.struct(joined.alias("part"), F.concat(left, right).alias("pair"))
+        pairs = F.transform(F.slice(symbols, F.lit(2), rest), lambda x, i: key(F.get(symbols, i), x, i))
+        merges = F.slice(symbols, F.lit(1), F.greatest(F.size(symbols) - 3, F.lit(0)))  # as many as there can be
+        folded = F.aggregate(merges, F.struct(symbols.alias("part"), pairs.alias("pair")), step, lambda x: x["part"])
+        return _let(folded, lambda x: F.slice(x, F.lit(2), F.size(x) - 2))
 
-            return _let(F.concat(F.get(part, at - 1), F.get(part, at)), put)
+    # the tables are in the plan once, however often the fold names them
+    tables = F.struct(*(_literal(getattr(ranks, x)).alias(x) for x in ("shift", "owner", "merged")))
+    return _let(tables, lambda t: fold(t["shift"], t["owner"], t["merged"]))
 
-        return _let(
-            F.array_min(pair),
-            lambda low: F.when(low.isNull() | (low == rest), state).otherwise(_let(F.array_position(pair, low).cast("int"), merge)),
-        )
 
-    folded = F.aggregate(F.sequence(F.lit(1), n), F.struct(parts.alias("part"), pairs.alias("pair")), step)
-    return F.transform(folded["part"], rank)
+def byte_symbols(parts: list[bytes | None], number: np.ndarray) -> pa.Array:
+    """What :func:`encode_part` takes; null for a null."""
+    data = np.frombuffer(b"".join(x for x in parts if x is not None), np.uint8)
+    n = np.array([0 if x is None else len(x) + 2 for x in parts], np.int64)
+    edge = np.concatenate([[0], np.cumsum(n)])
+    values = np.full(edge[-1], -1, np.int32)
+    inside = np.ones(edge[-1], bool)
+    own = n > 0
+    inside[edge[:-1][own]] = inside[edge[1:][own] - 1] = False
+    values[inside] = number[data]
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values), mask=pa.array(~own) if not own.all() else None)
 
 
 class Cuts:
@@ -214,6 +276,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // p.task_bytes))
     source = docs.select(*keep, F.col("text").alias("_text")).coalesce(tasks)  # joins neighbours, without a shuffle
+    byte_number = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+    if (byte_number < 0).any():
+        raise ValueError("a byte has no rank in " + path)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     width = len(keep)
 
@@ -229,7 +294,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
         remembered = 0
         for batch in batches:
             text = batch.column(width)
-            names = [*batch.schema.names[:-1], "_number", "_piece", "_list"]
+            names = [*batch.schema.names[:-1], "_number", "_symbols", "_list"]
             for c in chunks(text, p.chunk_bytes):
                 if remembered > p.distinct_bytes:
                     numbers.clear()
@@ -258,13 +323,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(pa.nulls(len(fresh), k.type) for k in kept), pa.array(at),
-                            pa.array([x.decode("latin-1") if len(x) <= p.fold_bytes else None for x in fresh], pa.string()),
+                            byte_symbols([x if len(x) <= p.fold_bytes else None for x in fresh], byte_number),
                             pa.array([x if len(x) > p.fold_bytes else None for x in fresh], pa.binary()),
                         ],
                         names=names,
                     )
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.string()), pa.array(lists, pa.binary())], names=names
+                    [*kept, pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.list_(pa.int32())), pa.array(lists, pa.binary())], names=names
                 )
                 del lists, kept, fresh
 
@@ -309,8 +374,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                         names=[*batch.schema.names[:width], "n_tokens", "ids", "decoded"],
                     )
 
-    pieces = source.mapInArrow(split, f"{own}, _number int, _piece string, _list binary")
-    ids = F.when(F.col("_piece").isNotNull(), encode_piece(F.col("_piece"), rank_literal(spark, ranks, p), p))
+    pieces = source.mapInArrow(split, f"{own}, _number int, _symbols array<int>, _list binary")
+    ids = F.when(F.col("_symbols").isNotNull(), encode_part(F.col("_symbols"), PairRanks.of(ranks)))
     coded = pieces.select(*keep, "_number", ids.alias("_ids"), "_list")
     return coded.mapInArrow(join, f"{own}, n_tokens long, ids binary, decoded binary")
 
