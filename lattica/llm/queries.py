@@ -100,6 +100,32 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.score(docs, model, counts, ["doc_id", "held_out"])
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text): with h the crc32 of the decimal doc_id and g = h div 10, a text of n > 0 words whose h is
+    a multiple of 10 gets, from word a = g mod n on, the next p = 1 + (n - a) div (3 + g mod 8) words over and over.
+    A row without a doc_id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.withColumn("_g", F.floor(h / 10)).withColumn(
+        "_w", F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    cut = cut.withColumn("_n", F.size("_w").cast("long"))
+    cut = cut.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    rest = F.flatten(F.array_repeat(F.slice("_w", (F.col("_a") + 1).cast("int"), F.col("_p").cast("int")), F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")))
+    whole = F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), rest), F.lit(1), F.col("_n").cast("int"))
+    return cut.select("doc_id", F.when(F.col("_n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import periodic_runs as R
+
+    found = R.find_runs(with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n")))
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"), F.col("_best.length").alias("length"),
+        (-F.col("_best.p")).alias("period"), F.expr("(1000 * _best.length) div (-_best.p)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -114,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_byte_bpe,
             op9_token_counts,
             op10_language_model,
+            op13_periodic_runs,
         )
     }
 
