@@ -100,6 +100,16 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.score(docs, model, counts, ["doc_id", "held_out"])
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import conversation_repair as C
+
+    turns = table(spark, sf_dir, "conversations")
+    found = C.report(*C.repair(C.damaged(turns))).withColumnRenamed("conv_id", "_id")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def with_planted_period(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text): with h the crc32 of the decimal doc_id and g = h div 10, a text of n > 0 words whose h is
     a multiple of 10 gets, from word a = g mod n on, the next p = 1 + (n - a) div (3 + g mod 8) words over and over.
@@ -140,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_byte_bpe,
             op9_token_counts,
             op10_language_model,
+            op12_conversation_repair,
             op13_periodic_runs,
         )
     }
