@@ -100,6 +100,15 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.score(docs, model, counts, ["doc_id", "held_out"])
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import secret_scan as S
+
+    found = S.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *counts, F.sha2(S.joined("assign", "access", "hex"), 256).alias("base_sha256"), S.joined(*S.KINDS).alias("spans"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import conversation_repair as C
 
@@ -150,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_byte_bpe,
             op9_token_counts,
             op10_language_model,
+            op11_secret_scan,
             op12_conversation_repair,
             op13_periodic_runs,
         )
