@@ -20,7 +20,8 @@ are summed before the shuffle and take what was found for it.
 
 Defined cases: null and empty texts have no words; rows without a doc_id and rows
 sharing one doc_id aren't compared with each other, and each row is cut by its own
-text; shorter texts than a window keep all words; texts are never cut.
+text; a passage that a document repeats goes from all its places or from none, as earlier documents
+have it or not; shorter texts than a window keep all words; texts are never cut.
 """
 
 from __future__ import annotations
@@ -221,18 +222,18 @@ def region_words(docs: DataFrame, p: SpanParams) -> DataFrame:
 
 
 def stream_shards(found: DataFrame, p: SpanParams) -> DataFrame:
-    """(region, row, early, start, end): spans of words that an automaton matches, by streaming
+    """(region, early, start, end): spans of words that an automaton matches, by streaming
     ``found`` (anchor, region, doc_id, row, at, start, words) through the automaton of its anchor.
 
-    ``early`` spans lie in the first document (``row``) and are held by documents before it, ``start``
-    counts from the text. Others are what later holders of the region lose, ``start`` counts from the region."""
+    ``start`` counts from the region. ``early`` spans are held by documents before the region's first one, so that it
+    loses them wherever it holds the region; others are what later holders of the region lose."""
 
     @A.gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, held, waiting = None, SuffixAutomaton(), None, []
         for batch in batches:
             out: list[tuple] = []
-            for anchor, region, doc, row, at, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, region, doc, _, at, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != anchor:
                     shard, automaton, held, waiting = anchor, SuffixAutomaton(), None, []
                 if held != doc:  # regions of one document don't meet each other
@@ -241,18 +242,18 @@ def stream_shards(found: DataFrame, p: SpanParams) -> DataFrame:
                     held, waiting = doc, []
                 query = words.split()
                 reached = automaton.matching_statistics(query) >= p.window
-                out += [(region, row, True, start + lo - p.window + 1, start + hi) for lo, hi in _blocks(reached)]
+                out += [(region, True, start - at + lo - p.window + 1, start - at + hi) for lo, hi in _blocks(reached)]
                 if not reached[p.window - 1 :].all():
                     waiting.append(query)
                 # now the shard holds every window of it, so later holders lose all
-                out.append((region, None, False, start - at, start - at + len(query)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+                out.append((region, False, start - at, start - at + len(query)))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["region", "row", "early", "start", "end"]
+                [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["region", "early", "start", "end"]
             )
 
-    return found.mapInArrow(run, "region long, row long, early boolean, start int, end int")
+    return found.mapInArrow(run, "region long, early boolean, start int, end int")
 
 
 def row_key():
@@ -277,6 +278,8 @@ def repeated_spans(docs: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
     plain = texts.select("doc_id", "row", "text")
     windows = saved(windows_of(plain.join(open_, "row").select("doc_id", "row", "text", "runs"), p), "span-windows")
     alive = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot one
+    alive = saved(alive, "span-alive")
     live = windows.join(alive, "hash", "left_semi").groupBy("row").agg(F.collect_set("start").alias("live"))
     regions = first.groupBy("row").agg(F.collect_list(F.struct("anchor", "region", "start", "n", "copies")).alias("regions"))
     none = F.array().cast("array<int>")
@@ -286,11 +289,12 @@ def repeated_spans(docs: DataFrame, p: SpanParams = SpanParams()) -> DataFrame:
     # the shards of a partition come one after the other, each by its first documents
     streamed = saved(stream_shards(words.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), p), "span-streamed")
     discard(words)
-    early = streamed.where("early").select("row", "start", "end")
-    later = found.join(first.where("copies").select("region", F.col("doc_id").alias("ref")), "region").where("doc_id > ref")
-    later = later.select("region", "row", "start").join(streamed.where("not early").select("region", F.col("start").alias("lo"), F.col("end").alias("hi")), "region")
-    out = saved(early.union(later.select("row", F.col("start") + F.col("lo"), F.col("start") + F.col("hi"))), "span-removed")
-    discard(found, first, streamed)
+    # all occurrences in the region's first document lose what earlier documents have, all others what the region has
+    held = found.join(first.select("region", F.col("doc_id").alias("ref")), "region").select(
+        "region", "row", F.col("start").alias("at"), (F.col("doc_id") == F.col("ref")).alias("early"))
+    out = held.join(streamed, ["region", "early"]).select("row", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    out = saved(out, "span-removed")
+    discard(found, first, streamed, alive)
     return out
 
 
