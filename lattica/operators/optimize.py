@@ -1,9 +1,5 @@
-"""Optimizers on the driver: limited-memory BFGS and Adam.
-
-The line search follows More and Thuente, "Line search algorithms with guaranteed
-sufficient decrease" (1994): an interval that holds a suitable step is narrowed by safeguarded
-cubic and quadratic interpolation until the strong Wolfe conditions hold.
-"""
+"""Optimizers on the driver, for models of few parameters: limited-memory BFGS and Adam.
+Larger models are fitted by :mod:`lattica.operators.tiled`."""
 
 from __future__ import annotations
 
@@ -14,6 +10,8 @@ from enum import Enum
 
 import numpy as np
 
+from lattica.operators.line_search import Search, backtracking, strong_wolfe
+
 Function = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -33,142 +31,29 @@ class Result:
     history: list[dict] = field(default_factory=list)
 
 
-@dataclass(frozen=True)
-class Search:
-    decrease: float = 1e-4
-    curvature: float = 0.9
-    width: float = 1e-16
-    trials: int = 40
-    least: float = 1e-20
-    most: float = 1e20
-
-
-@dataclass
-class _Point:
-    step: float
-    f: float
-    d: float  # slope along the search direction
-
-
-def _cubic(p: _Point, q: _Point) -> float:
-    """Minimiser of the cubic through values and slopes of both points (nan if it has none)."""
-    a = 3 * (p.f - q.f) / (q.step - p.step) + p.d + q.d
-    size = max(abs(a), abs(p.d), abs(q.d)) or 1.0
-    inside = (a / size) ** 2 - (p.d / size) * (q.d / size)
-    if inside < 0:
-        return float("nan")
-    root = size * np.sqrt(inside) * (1 if q.step > p.step else -1)
-    bottom = q.d - p.d + 2 * root
-    return q.step - (q.step - p.step) * (q.d + root - a) / bottom if bottom else float("nan")
-
-
-def _secant(p: _Point, q: _Point) -> float:
-    return q.step - q.d * (q.step - p.step) / (q.d - p.d) if q.d != p.d else float("nan")
+def _along(fn: Function, x: np.ndarray, direction: np.ndarray, seen: dict):
+    """Value and slope of ``fn`` along a direction; the last point stays in ``seen``."""
+    def phi(step: float) -> tuple[float, float]:
+        seen["x"] = x + step * direction
+        seen["f"], seen["g"] = fn(seen["x"])
+        return seen["f"], float(seen["g"] @ direction)
 
+    return phi
 
-def _parabola(p: _Point, q: _Point) -> float:
-    """Minimiser of the parabola through both values and the slope of p."""
-    return p.step + p.d / ((p.f - q.f) / (q.step - p.step) + p.d) / 2 * (q.step - p.step)
 
+def _step(search, fn: Function, x: np.ndarray, f: float, g: np.ndarray, direction: np.ndarray, step: float):
+    """(x, f, g, step, evaluations), or None."""
+    seen: dict = {}
+    found = search(_along(fn, x, direction, seen), f, float(g @ direction), step)
+    return found and (seen["x"], seen["f"], seen["g"], *found)
 
-def _next_trial(best: _Point, other: _Point, now: _Point, bracketed: bool, lo: float, hi: float) -> tuple[_Point, _Point, float, bool]:
-    """New interval ends and trial step from the present ones (cases 1 to 4 of the paper)."""
-    bound = False
-    if now.f > best.f:  # 1: a minimum lies between
-        c, s = _cubic(best, now), _parabola(best, now)
-        trial = c if abs(c - best.step) < abs(s - best.step) else c + (s - c) / 2
-        bracketed, bound = True, True
-    elif now.d * best.d < 0:  # 2: slopes differ in sign
-        c, s = _cubic(best, now), _secant(best, now)
-        trial = c if abs(c - now.step) >= abs(s - now.step) else s
-        bracketed = True
-    elif abs(now.d) < abs(best.d):  # 3: the slope flattens
-        c, s = _cubic(best, now), _secant(best, now)
-        if not np.isfinite(c) or (c - now.step) * (now.step - best.step) < 0:
-            c = hi if now.step > best.step else lo
-        nearer = abs(c - now.step) < abs(s - now.step)
-        trial = c if nearer == bracketed else s
-        bound = True
-    elif bracketed:  # 4: the slope doesn't flatten
-        trial = _cubic(other, now)
-    else:
-        trial = hi if now.step > best.step else lo
-    if now.f > best.f:
-        other = now
-    else:
-        if now.d * best.d < 0:
-            other = best
-        best = now
-    trial = trial if np.isfinite(trial) else (best.step + other.step) / 2
-    trial = min(hi, max(lo, trial))
-    if bracketed and bound:
-        edge = best.step + 0.66 * (other.step - best.step)
-        trial = min(trial, edge) if other.step > best.step else max(trial, edge)
-    return best, other, trial, bracketed
 
+def wolfe_step(fn: Function, x: np.ndarray, f: float, g: np.ndarray, direction: np.ndarray, step: float):
+    return _step(strong_wolfe, fn, x, f, g, direction, step)
 
-def wolfe_step(fn: Function, x: np.ndarray, f: float, g: np.ndarray, direction: np.ndarray, step: float, p: Search = Search()):
-    """(x, f, g, step, evaluations) that satisfies the strong Wolfe conditions, or None."""
-    slope = float(g @ direction)
-    if slope >= 0 or step <= 0:
-        return None
-    best = other = _Point(0.0, f, slope)
-    bracketed, first_stage = False, True
-    width, before = p.most - p.least, 2 * (p.most - p.least)
-    for n in range(1, p.trials + 1):
-        lo, hi = (min(best.step, other.step), max(best.step, other.step)) if bracketed else (best.step, step + 4 * (step - best.step))
-        step = min(max(step, p.least), p.most)
-        stuck = bracketed and (step <= lo or step >= hi or hi - lo <= p.width * hi)
-        if stuck:
-            step = best.step
-        at = x + step * direction
-        value, grad = fn(at)
-        d = float(grad @ direction)
-        ceiling = f + step * p.decrease * slope
-        if value <= ceiling and abs(d) <= p.curvature * -slope:
-            return at, value, grad, step, n
-        if stuck or n == p.trials or (step == p.least and (value > ceiling or d >= p.decrease * slope)):
-            return None
-        if first_stage and value <= ceiling and d >= min(p.decrease, p.curvature) * slope:
-            first_stage = False
-        if first_stage and ceiling < value <= best.f:
-            # work on the function less its allowed decrease
-            cut = p.decrease * slope
-            shift = lambda q, k: _Point(q.step, q.f - k * q.step * cut, q.d - k * cut)
-            best, other, step, bracketed = _next_trial(
-                shift(best, 1), shift(other, 1), shift(_Point(step, value, d), 1), bracketed, lo, hi)
-            best, other = shift(_undo(best, cut), 0), shift(_undo(other, cut), 0)
-        else:
-            best, other, step, bracketed = _next_trial(best, other, _Point(step, value, d), bracketed, lo, hi)
-        if bracketed:
-            if abs(other.step - best.step) >= 0.66 * before:
-                step = best.step + 0.5 * (other.step - best.step)
-            before, width = width, abs(other.step - best.step)
-    return None
-
-
-def _undo(q: _Point, cut: float) -> _Point:
-    return _Point(q.step, q.f + q.step * cut, q.d + cut)
 
-
-def backtracking_step(fn: Function, x: np.ndarray, f: float, g: np.ndarray, direction: np.ndarray, step: float, p: Search = Search(), wolfe: str = "armijo"):
-    """The same result by shrinking and growing a step; ``wolfe`` is armijo, weak or strong."""
-    slope = float(g @ direction)
-    if slope >= 0:
-        return None
-    for n in range(1, p.trials + 1):
-        at = x + step * direction
-        value, grad = fn(at)
-        d = float(grad @ direction)
-        if value > f + step * p.decrease * slope:
-            step *= 0.5
-        elif wolfe == "armijo" or (d >= p.curvature * slope and (wolfe == "weak" or d <= -p.curvature * slope)):
-            return at, value, grad, step, n
-        else:
-            step *= 2.1 if d < p.curvature * slope else 0.5
-        if not p.least <= step <= p.most:
-            return None
-    return None
+def backtracking_step(fn: Function, x: np.ndarray, f: float, g: np.ndarray, direction: np.ndarray, step: float):
+    return _step(backtracking, fn, x, f, g, direction, step)
 
 
 def lbfgs(fn: Function, x: np.ndarray, max_iter: int = 0, epsilon: float = 1e-3, memory: int = 6, search=wolfe_step, l1: float = 0.0, l1_from: int = 0) -> Result:
