@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lattica.operators import marginals as M
 from lattica.operators import scores as S
-from lattica.operators.objective import LocalObjective, Objective, Shape, SparkObjective, likelihood
+from lattica.operators import tiled as T
+from lattica.operators.objective import LocalObjective, Objective, Shape, likelihood
 from lattica.operators.optimize import Result, adam, lbfgs
 from lattica.operators.weights import _matrix
 from lattica.options import Options
@@ -60,6 +61,20 @@ class PairModel:
         return M.site_marginals(self.rows, n, q, self.n_eff), M.pair_marginals(self.rows, n, q, self.n_eff)
 
 
+@dataclass
+class TiledModel(PairModel):
+    """A model whose parameters stay in a table of tiles; ``x`` is empty."""
+
+    layout: T.Layout
+    tiles: DataFrame
+
+    def fields(self) -> DataFrame:
+        return T.field_rows(self.tiles, self.layout)
+
+    def couplings(self) -> DataFrame:
+        return T.coupling_rows(self.tiles, self.layout)
+
+
 def start(sites: DataFrame, shape: Shape, n_eff: float, fields: bool = True) -> np.ndarray:
     """Fields from the marginals, couplings zero."""
     x = np.zeros(shape.n)
@@ -78,10 +93,12 @@ def fit(rows: DataFrame, n_sites: int, q: int, o: Options = Options()) -> PairMo
     n_eff = float(rows.agg(F.sum("w")).first()[0] or 0)
     lambda_h, lambda_e = np.full(n_sites, o.lambda_h), np.full(len(shape.i), o.lambda_e)
     if o.stochastic:
-        objective: Objective = Bootstrap(rows, o, shape, lambda_h, lambda_e)
+        objective: Objective | None = Bootstrap(rows, o, shape, lambda_h, lambda_e)
     else:
         objective = _objective(rows, o, shape, lambda_h, lambda_e)
     sites = M.site_marginals_gap(rows, n_sites, q) if o.gap_reduce else M.site_marginals(rows, n_sites, q, n_eff)
+    if not o.stochastic and objective is None:
+        return fit_tiled(rows, sites, shape, n_eff, o)
     model = PairModel(rows, shape, o, n_eff, np.zeros(0), Result(np.zeros(0), 0.0, None))
     x = start(sites, shape, n_eff, fields=not o.two_stage)
     if o.stochastic:
@@ -102,13 +119,41 @@ def fit(rows: DataFrame, n_sites: int, q: int, o: Options = Options()) -> PairMo
     return model
 
 
-def _objective(rows: DataFrame, o: Options, shape: Shape, lambda_h, lambda_e) -> Objective:
-    """Distinct rows on the driver while they are few, else on the executors."""
+def _objective(rows: DataFrame, o: Options, shape: Shape, lambda_h, lambda_e) -> Objective | None:
+    """Distinct rows on the driver while they and the parameters are few, else None."""
+    if shape.n > o.local_parameters:
+        return None
     distinct = M.by_vector(rows).cache()
-    if distinct.count() * shape.n_sites <= o.local_cells:
+    try:
+        if distinct.count() * shape.n_sites > o.local_cells:
+            return None
         found = distinct.orderBy("codes").toArrow()
-        return LocalObjective(_matrix(found.column("codes"), shape.n_sites), found.column("w").to_numpy(), shape, lambda_h, lambda_e, o.lambda_group)
-    return SparkObjective(distinct, shape, lambda_h, lambda_e, o.lambda_group)
+    finally:
+        distinct.unpersist()
+    return LocalObjective(_matrix(found.column("codes"), shape.n_sites), found.column("w").to_numpy(), shape, lambda_h, lambda_e, o.lambda_group)
+
+
+def fit_tiled(rows: DataFrame, sites: DataFrame, shape: Shape, n_eff: float, o: Options) -> TiledModel:
+    """The fit with parameters and rows on the executors; ``sites`` are the site marginals."""
+    spark = rows.sparkSession
+    layout = T.Layout.of(shape.n_sites, shape.q, o.site_block)
+    objective = T.TiledObjective(rows, layout, o.lambda_h, o.lambda_group)
+    fields = M.initial_fields(sites, n_eff)
+
+    def run(precisions: DataFrame | None = None, with_fields: bool = True) -> T.TiledResult:
+        begun = T.tiles_of(spark, layout, fields if with_fields else None, precisions, o.lambda_e)
+        return T.minimise(objective, begun, o.max_iter, o.epsilon, o.history)
+
+    objective.frozen = o.two_stage
+    found = run(with_fields=not o.two_stage)
+    if o.two_stage:
+        objective.frozen = False
+        priors = S.variance_priors(S.coupling_variances(T.coupling_rows(found.table.df, layout)), shape.n_sites)
+        before, found = found, run(priors.select("i", "j", "lambda"))
+        before.table.drop()
+    objective.release()
+    result = Result(np.zeros(0), found.value, found.status, found.history)
+    return TiledModel(rows, shape, o, n_eff, np.zeros(0), result, layout, found.table.df)
 
 
 class Bootstrap(Objective):

@@ -6,16 +6,14 @@ from all others, and both predictions of a pair share its couplings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.scores import mirrored
-from lattica.operators.weights import _matrix, one_hot
+from lattica.operators.weights import one_hot
 
 #: Smoothing of the group penalty's square root.
 GROUP_SMOOTHING = 0.001
@@ -145,7 +143,7 @@ def likelihood(codes: np.ndarray, w: np.ndarray, x: np.ndarray, shape: Shape, bl
 
 class Objective:
     """Value and gradient for an optimizer. ``lambda_h`` is one number per site, ``lambda_e``
-    one per pair. Rows stay on the executors unless they are few."""
+    one per pair."""
 
     def __init__(self, shape: Shape, lambda_h: np.ndarray, lambda_e: np.ndarray, lambda_group: float = 0.0) -> None:
         self.shape, self.lambda_h, self.lambda_e, self.lambda_group = shape, lambda_h, lambda_e, lambda_group
@@ -186,39 +184,3 @@ class LocalObjective(Objective):
 
     def data(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         return likelihood(self.codes, self.w, x, self.shape)
-
-
-class SparkObjective(Objective):
-    """Over a table (codes, w). Parameters are broadcast for each evaluation; each task
-    sends its gradient in pieces, which are summed by piece."""
-
-    PIECE = 1 << 16
-
-    def __init__(self, rows: DataFrame, *args, **kwargs) -> None:
-        super().__init__(*args, **kwargs)
-        self.rows = rows
-
-    def data(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        shape, piece = self.shape, self.PIECE
-        shared = self.rows.sparkSession.sparkContext.broadcast(x)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shape.n + 1)
-            for batch in batches:
-                codes = _matrix(batch.column(0), shape.n_sites)
-                f, g = likelihood(codes, batch.column(1).to_numpy(), shared.value, shape)
-                total[0] += f
-                total[1:] += g
-            parts = [total[at : at + piece] for at in range(0, len(total), piece)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())], names=["piece", "v"])
-
-        def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(v, float) for v in table.column("v").to_pylist())
-            return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
-
-        parts = self.rows.select("codes", "w").mapInArrow(run, "piece int, v binary")
-        found = parts.groupBy("piece").applyInArrow(add, "piece int, v binary").collect()
-        shared.unpersist()
-        total = np.concatenate([np.frombuffer(r.v, float) for r in sorted(found, key=lambda r: r.piece)])
-        return float(total[0]), total[1:].copy()

@@ -37,12 +37,20 @@ class Run:
             fi[r.i - 1, r.a] = r.f
         for r in pairs.toLocalIterator():
             fij[at[r.i - 1, r.j - 1], r.a, r.b] = r.f
+        if len(m.x):
+            hi, eij = m.shape.fields(m.x), m.shape.couplings(m.x)
+        else:
+            hi, eij = np.zeros((n, q)), np.zeros_like(fij)
+            for r in m.fields().toLocalIterator():
+                hi[r.i - 1, r.a] = r.h
+            for r in m.couplings().toLocalIterator():
+                eij[at[r.i - 1, r.j - 1], r.a, r.b] = r.e
         n_seqs = a.raw.where("valid").count()
         letters = a.letters[1:] if o.gap_reduce else a.letters
         return sinks.Parameters(
             n_seqs, a.raw.count() - n_seqs, o.max_iter, o.theta, o.lambda_h, o.lambda_e, o.lambda_group, m.n_eff, letters,
             sinks.neighbor_column(self.weights, o.scale, o.compat), "".join(a.focus_letters or [a.letters[0]] * n), np.array(a.offsets),
-            fi, m.shape.fields(m.x), fij, m.shape.couplings(m.x),
+            fi, hi, fij, eij,
         )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+#: Gap and amino acids by letter; a fixed value.
 DEFAULT_LETTERS = "-ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -34,9 +35,11 @@ class Options:
     history: int = 6
     seed: int = 42
     compat: bool = False
-    #: Codes times sites up to which a fit runs on the driver.
+    #: Codes times sites, and parameters, up to which a fit runs on the driver; beyond either, by tiles on the executors.
     local_cells: int = 20_000_000
-    extra: dict = field(default_factory=dict)
+    local_parameters: int = 2_000_000
+    #: Sites in a block of a tiled fit, None for as many as the bound on a block row allows.
+    site_block: int | None = None
 
     @property
     def alphabet(self) -> str:

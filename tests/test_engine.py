@@ -98,15 +98,6 @@ def test_gradient_by_differences(gaps):
         assert abs((fn(x + d)[0] - fn(x - d)[0]) / 2e-5 - g[k]) < 1e-5
 
 
-def test_executors_and_driver_agree(spark):
-    codes, w, shape, x = random_model()
-    table = spark.createDataFrame([(c.tolist(), float(v)) for c, v in zip(codes, w)], "codes array<int>, w double").repartition(3)
-    args = shape, np.full(4, 0.1), np.full(6, 0.2)
-    f, g = O.SparkObjective(table, *args)(x)
-    want_f, want_g = O.LocalObjective(codes, w, *args)(x)
-    assert np.isclose(f, want_f) and np.allclose(g, want_g)
-
-
 def test_optimizers_reach_one_minimum():
     codes, w, shape, x = random_model()
     fn = O.LocalObjective(codes, w, shape, np.full(4, 0.1), np.full(6, 0.2))
