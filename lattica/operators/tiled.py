@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica.operators.line_search import Search, strong_wolfe
@@ -117,9 +117,10 @@ class TiledObjective:
     def at(self, points: DataFrame) -> Evaluation:
         """``points`` is (i, j, lam, x, d): parameters, and the direction whose slope is wanted."""
         self.calls += 1
-        table = Stored(self._summed(points, self._sent(points)), "fit-trial")
-        sums = table.df.agg(F.sum("value").alias("value"), F.sum("slope").alias("slope")).first()
-        return Evaluation(table, sums.value, sums.slope)
+        # both sums are taken while the tiles are written
+        sums = Observation()
+        table = Stored(self._summed(points, self._sent(points)).observe(sums, F.sum("value").alias("value"), F.sum("slope").alias("slope")), "fit-trial")
+        return Evaluation(table, sums.get["value"], sums.get["slope"])
 
     def _sent(self, points: DataFrame) -> DataFrame:
         """(i, j, kind, task, x, d, lam, value): gradient tiles of each block of sites and part of the rows."""
@@ -263,8 +264,11 @@ class BlockRow:
 # Parameters ------------------------------------------------------------------------------
 
 
-def tiles_of(spark, layout: Layout, fields: DataFrame | None = None, precisions: DataFrame | None = None, lambda_e: float = 0.0) -> DataFrame:
-    """(i, j, lam, x): start of a fit, couplings zero. ``fields`` is (i, a, h), sites from 1; ``precisions`` (i, j, lambda), else all are ``lambda_e``."""
+def tiles_of(
+    spark, layout: Layout, fields: DataFrame | None = None, precisions: DataFrame | None = None, lambda_e: float = 0.0, couplings: DataFrame | None = None,
+) -> DataFrame:
+    """(i, j, lam, x): parameters as tiles. ``fields`` is (i, a, h), sites from 1; ``couplings`` (i, j, a, b, e), else they are zero;
+    ``precisions`` (i, j, lambda), else all are ``lambda_e``."""
     n, block = layout.n_blocks, layout.block
     tiles = spark.range(n * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")).where("i <= j")
 
@@ -284,12 +288,21 @@ def tiles_of(spark, layout: Layout, fields: DataFrame | None = None, precisions:
     else:
         tiles = tiles.withColumn("precisions", F.array().cast("array<struct<i:int,j:int,v:double>>"))
 
+    if couplings is not None:
+        bi, bj = (F.floor((F.col(c) - 1) / block).cast("int") for c in ("i", "j"))
+        own = listed(couplings, [bi.alias("ci"), bj.alias("cj")], F.struct((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "a", "b", "e"), "couplings")
+        tiles = tiles.join(own, (F.col("i") == F.col("ci")) & (F.col("j") == F.col("cj")), "left").drop("ci", "cj")
+    else:
+        tiles = tiles.withColumn("couplings", F.array().cast("array<struct<i:int,j:int,a:int,b:int,e:double>>"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 i, j = r["i"], r["j"]
                 x, lam = np.zeros(layout.length(i, j)), np.full((layout.size(i), layout.size(j)), lambda_e)
-                h, _ = layout.split(x, i, j)
+                h, e = layout.split(x, i, j)
+                for c in r["couplings"] or ():
+                    e[c["i"] - layout.sites(i).start, c["a"], c["j"] - layout.sites(j).start, c["b"]] = c["e"]
                 for c in r["fields"] or ():
                     h[c["site"] - layout.sites(i).start, c["a"]] = c["h"]
                 for c in r["precisions"] or ():

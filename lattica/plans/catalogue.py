@@ -1,7 +1,7 @@
 """The registered queries and the SQL that checks them.
 
-Tables become alignments by the adapters: ``embeddings`` (16 sites, 3 codes), the first 24
-characters of ``documents`` (29 letters) and ``lineitem`` (6 sites, 11 codes)."""
+Tables become alignments by the adapters: ``embeddings`` (all 64 dimensions, 3 codes), all pieces of 24
+characters of ``documents`` (29 letters) and ``lineitem`` (6 sites, 11 codes). All queries read whole tables."""
 
 from __future__ import annotations
 
@@ -16,12 +16,13 @@ from lattica.operators import marginals as M
 from lattica.operators import model as PM
 from lattica.operators import objective as O
 from lattica.operators import scores as S
+from lattica.operators import tiled as T
 from lattica.operators import weights as W
 from lattica.options import Options
 from lattica.plans.sql import ORACLES
 from lattica.sources import adapters
 
-SITES, Q, THETA = 16, 3, 0.4
+SITES, Q, THETA = 64, 3, 0.4
 LAMBDA_H, LAMBDA_E, LAMBDA_GROUP = 0.01, 1.0, 0.5
 
 
@@ -52,7 +53,7 @@ def _doc_options(**k) -> Options:
 
 
 def docs(spark, d) -> DataFrame:
-    return adapters.document_sequences(_read(spark, d, "documents"))
+    return adapters.document_pieces(_read(spark, d, "documents"))
 
 
 def _n_eff(rows) -> float:
@@ -77,26 +78,39 @@ def _fixed_model(spark, d):
     return rows, h, e
 
 
-def _predicted(spark, d):
-    rows, h, e = _fixed_model(spark, d)
-    return O.conditionals(O.energies(rows, h, e)), rows, h, e
+def _evaluated(rows, h, e, q=Q, lambda_h=0.0, lambda_e=0.0):
+    """Value and gradient at given parameters, by tiles; ``e`` None for couplings of zero."""
+    layout = T.Layout.of(SITES, q)
+    objective = T.TiledObjective(rows, layout, lambda_h)
+    points = T.tiles_of(rows.sparkSession, layout, h, None, lambda_e, e)
+    found = objective.at(points.withColumn("d", F.lit(None).cast("binary")))
+    objective.release()
+    return found, layout
+
+
+def _field_gradient(found, layout):
+    return T.field_rows(found.table.df, layout, "g").select("i", "a", _r("h").alias("g"))
+
+
+def _coupling_gradient(found, layout):
+    return T.coupling_rows(found.table.df, layout, "g").select("i", "j", "a", "b", _r("e").alias("g"))
 
 
 # Encoding and selection
 
 def msa_encode(spark, d):
     rows = AL.encoded(docs(spark, d), _doc_options())
-    return rows.select("s", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
+    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
 
 
 def msa_valid_rows(spark, d):
     rows = AL.encoded(docs(spark, d), _doc_options()).where("valid")
     folded = fold_case(F.col("codes"), len(adapters.DOCUMENT_LETTERS))
-    return rows.select("s", F.concat_ws(",", F.transform(folded, lambda c: c.cast("string"))).alias("codes"))
+    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform(folded, lambda c: c.cast("string"))).alias("codes"))
 
 
 def msa_skipped_rows(spark, d):
-    return AL.encoded(docs(spark, d), _doc_options()).where("not valid").select("s")
+    return AL.encoded(docs(spark, d), _doc_options()).where("not valid").select("s.doc_id", "s.piece")
 
 
 def alignment_lengths(spark, d):
@@ -118,36 +132,6 @@ def focus_offsets(spark, d):
     return spark.createDataFrame([(i + 1, o, x) for i, (o, x) in enumerate(zip(a.offsets, letters, strict=True))], "i int, offset int, letter string")
 
 
-# Whole texts: all their pieces, where the SQL of the queries above has the first 24 characters
-
-def pieces(spark, d) -> DataFrame:
-    return adapters.document_pieces(_read(spark, d, "documents"))
-
-
-def msa_encode_whole(spark, d):
-    rows = AL.encoded(pieces(spark, d), _doc_options())
-    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
-
-
-def msa_valid_rows_whole(spark, d):
-    rows = AL.encoded(pieces(spark, d), _doc_options()).where("valid")
-    folded = fold_case(F.col("codes"), len(adapters.DOCUMENT_LETTERS))
-    return rows.select("s.doc_id", "s.piece", F.concat_ws(",", F.transform(folded, lambda c: c.cast("string"))).alias("codes"))
-
-
-def msa_skipped_rows_whole(spark, d):
-    return AL.encoded(pieces(spark, d), _doc_options()).where("not valid").select("s.doc_id", "s.piece")
-
-
-def alignment_lengths_whole(spark, d):
-    return pieces(spark, d).agg(F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most"), F.count(F.lit(1)).alias("n"))
-
-
-def neighbor_counts_documents_whole(spark, d):
-    a = AL.select(pieces(spark, d), _doc_options())
-    return W.neighbor_counts(a.rows, 0.2, a.q).select("s.doc_id", "s.piece", "n")
-
-
 def lineitem_codes(spark, d):
     rows = adapters.lineitem_codes(_read(spark, d, "lineitem"))
     return rows.groupBy(F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +149,7 @@ def neighbor_counts_segments(spark, d):
 
 def neighbor_counts_documents(spark, d):
     a = AL.select(docs(spark, d), _doc_options())
-    return W.neighbor_counts(a.rows, 0.2, a.q)
+    return W.neighbor_counts(a.rows, 0.2, a.q).select("s.doc_id", "s.piece", "n")
 
 
 def seq_weights(spark, d):
@@ -178,13 +162,13 @@ def n_eff(spark, d):
 
 def weights_realigned(spark, d):
     a = AL.select(docs(spark, d), _doc_options())
-    return AL.realigned(a, W.sequence_weights(a.rows, 0.2, a.q)).select("s", _r("weight").alias("weight"))
+    return AL.realigned(a, W.sequence_weights(a.rows, 0.2, a.q)).select("s.doc_id", "s.piece", _r("weight").alias("weight"))
 
 
 def weights_of_skipped(spark, d):
     a = AL.select(docs(spark, d), _doc_options())
-    listed = a.raw.select(F.col("s").alias("seq_id"), F.when(F.col("s") % 2 == 0, 1.0).otherwise(0.0).alias("weight"))
-    return AL.skipped_with_weight(a, listed)
+    listed = a.raw.select(F.col("s").alias("seq_id"), F.when((F.col("s.doc_id") + F.col("s.piece")) % 2 == 0, 1.0).otherwise(0.0).alias("weight"))
+    return AL.skipped_with_weight(a, listed).select("s.doc_id", "s.piece", "weight")
 
 
 def _clusters(spark, d):
@@ -221,7 +205,7 @@ def cluster_neighbors(spark, d):
 
 
 def fast_weights(spark, d):
-    return W.clustered_weights(emb(spark, d), THETA, 20, rounds=3).select("s", _r("w").alias("w"))
+    return W.clustered_weights(emb(spark, d), THETA, 100).select("s", _r("w").alias("w"))
 
 
 # Marginals
@@ -269,25 +253,21 @@ def pair_covariances(spark, d):
 
 # Objective
 
-def _init(spark, d):
-    rows, fi, fij, n = _marginals(spark, d)
-    zero = fij.select("i", "j", "a", "b", F.lit(0.0).alias("e"))
-    h = M.initial_fields(fi, n)
-    return O.conditionals(O.energies(rows, h, zero)), rows, h, zero
+def _at_start(spark, d, lambda_h=0.0):
+    rows, fi, _, n = _marginals(spark, d)
+    return _evaluated(rows, M.initial_fields(fi, n), None, lambda_h=lambda_h)
 
 
 def nll_init(spark, d):
-    return O.negative_log_likelihood(_init(spark, d)[0]).select(_r("nll", 4).alias("nll"))
+    return spark.createDataFrame([(_at_start(spark, d)[0].value,)], "nll double").select(_r("nll", 4).alias("nll"))
 
 
 def grad_fields_init(spark, d):
-    p, _, h, _ = _init(spark, d)
-    return O.field_gradient(p, h, LAMBDA_H).select("i", "a", _r("g").alias("g"))
+    return _field_gradient(*_at_start(spark, d, LAMBDA_H))
 
 
 def grad_couplings_init(spark, d):
-    p, rows, _, e = _init(spark, d)
-    return O.coupling_gradient(p, rows, e, LAMBDA_E).select("i", "j", "a", "b", _r("g").alias("g"))
+    return _coupling_gradient(*_at_start(spark, d))
 
 
 def potentials(spark, d):
@@ -296,31 +276,53 @@ def potentials(spark, d):
 
 
 def site_conditionals(spark, d):
-    return _predicted(spark, d)[0].select("s", "i", "a", _r("p").alias("p"))
+    rows, h, e = _fixed_model(spark, d)
+    return O.conditionals(O.energies(rows, h, e)).select("s", "i", "a", _r("p").alias("p"))
 
 
 def objective_fixed_params(spark, d):
-    p, _, h, e = _predicted(spark, d)
-    return O.negative_log_likelihood(p).join(O.penalty(h, e, LAMBDA_H, LAMBDA_E)).select(
+    rows, h, e = _fixed_model(spark, d)
+    value = _evaluated(rows, h, e)[0].value
+    return O.penalty(h, e, LAMBDA_H, LAMBDA_E).withColumn("nll", F.lit(value)).select(
         _r("nll", 4).alias("nll"), _r("penalty", 4).alias("penalty"), _r(F.col("nll") + F.col("penalty"), 4).alias("objective"))
 
 
+def _fixed_gradient(spark, d):
+    return _evaluated(*_fixed_model(spark, d), lambda_h=LAMBDA_H, lambda_e=LAMBDA_E)
+
+
 def grad_fixed_fields(spark, d):
-    p, _, h, _ = _predicted(spark, d)
-    return O.field_gradient(p, h, LAMBDA_H).select("i", "a", _r("g").alias("g"))
+    return _field_gradient(*_fixed_gradient(spark, d))
 
 
 def grad_fixed_couplings(spark, d):
-    p, rows, _, e = _predicted(spark, d)
-    return O.coupling_gradient(p, rows, e, LAMBDA_E).select("i", "j", "a", "b", _r("g").alias("g"))
+    return _coupling_gradient(*_fixed_gradient(spark, d))
 
 
-def objective_gap(spark, d):
+def gradient_norms(spark, d):
+    found, layout = _fixed_gradient(spark, d)
+    norm = lambda rows, c: rows.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c))
+    return norm(T.field_rows(found.table.df, layout, "g"), "h").join(norm(T.coupling_rows(found.table.df, layout, "g"), "e")).select(
+        _r("h", 4).alias("h_gradient"), _r("e", 4).alias("e_gradient"))
+
+
+def _gap_gradient(spark, d, lambda_h=LAMBDA_H, lambda_e=LAMBDA_E):
     rows = _gapped(spark, d)
     fi = M.site_marginals_gap(rows, SITES, Q - 1)
     e = M.covariances(fi, M.pair_marginals_gap(rows, SITES, Q - 1))
-    h = M.initial_fields(fi, _n_eff(rows))
-    return O.negative_log_likelihood(O.conditionals(O.energies(rows, h, e))).select(_r("nll", 4).alias("nll"))
+    return _evaluated(rows, M.initial_fields(fi, _n_eff(rows)), e, Q - 1, lambda_h, lambda_e)
+
+
+def objective_gap(spark, d):
+    return spark.createDataFrame([(_gap_gradient(spark, d, 0.0, 0.0)[0].value,)], "nll double").select(_r("nll", 4).alias("nll"))
+
+
+def grad_gap_fields(spark, d):
+    return _field_gradient(*_gap_gradient(spark, d))
+
+
+def grad_gap_couplings(spark, d):
+    return _coupling_gradient(*_gap_gradient(spark, d))
 
 
 def group_penalty(spark, d):
@@ -399,48 +401,6 @@ def weighted_sample(spark, d):
     return PM.draw(PM.cumulative(rows), points).select("s", "times")
 
 
-# Whole vectors: as many sites as the vectors have, where the SQL of the queries above has the first 16
-
-def _whole(spark, d):
-    table = _read(spark, d, "embeddings")
-    sites = table.agg(F.max(F.size("embedding"))).first()[0]
-    rows = adapters.embedding_codes(table, sites)
-    return rows.join(W.sequence_weights(rows, THETA, Q), "s").select("s", "codes", "w").cache(), sites
-
-
-def neighbor_counts_whole(spark, d):
-    table = _read(spark, d, "embeddings")
-    return W.neighbor_counts(adapters.embedding_codes(table, table.agg(F.max(F.size("embedding"))).first()[0]), THETA, Q)
-
-
-def seq_weights_whole(spark, d):
-    return _whole(spark, d)[0].select("s", _r(F.col("w") * 2.0).alias("w"))
-
-
-def site_marginals_whole(spark, d):
-    rows, sites = _whole(spark, d)
-    return M.site_marginals(rows, sites, Q, _n_eff(rows)).select("i", "a", _r("f").alias("f"))
-
-
-def pair_marginals_whole(spark, d):
-    rows, sites = _whole(spark, d)
-    return M.pair_marginals(rows, sites, Q, _n_eff(rows)).select("i", "j", "a", "b", _r("f").alias("f"))
-
-
-def coupling_table_whole(spark, d):
-    rows, sites = _whole(spark, d)
-    n = _n_eff(rows)
-    e = M.covariances(M.site_marginals(rows, sites, Q, n), M.pair_marginals(rows, sites, Q, n))
-    table = S.coupling_table(S.apc_scores(S.coupling_norms(e), sites), list(range(1, sites + 1)), None)
-    return table.select("i", "a_i", "j", "a_j", "zero", _r("score").alias("score"))
-
-
-def fit_lbfgs_whole(spark, d):
-    rows, sites = _whole(spark, d)
-    m = PM.fit(rows, sites, Q, Options(lambda_h=LAMBDA_H, lambda_e=LAMBDA_E))
-    return m.scores().select("i", "j", _r("fn", 3).alias("fn"), _r("cn", 3).alias("cn"))
-
-
 # Fits
 
 def _fit(spark, d, **k):
@@ -461,33 +421,40 @@ def fit_group(spark, d):
 
 
 def fit_twostage(spark, d):
-    return _fit(spark, d, two_stage=True, max_iter=50)
+    return _fit(spark, d, two_stage=True)
 
 
 def fit_adam(spark, d):
-    return _fit(spark, d, stochastic=True, max_iter=20, batch=256)
+    return _fit(spark, d, stochastic=True, max_iter=50)
 
 
 def fit_on_executors(spark, d):
-    return _fit(spark, d, local_cells=0, max_iter=3)
+    """To the optimum by tiles, with the default settings."""
+    m = PM.fit(emb_w(spark, d), SITES, Q, Options(local_cells=0))
+    return m.scores().select("i", "j", _r("fn", 3).alias("fn"), _r("cn", 3).alias("cn"))
 
 
 _QUERIES = (
     msa_encode, msa_valid_rows, msa_skipped_rows, alignment_lengths, focus_columns, focus_offsets, lineitem_codes,
     neighbor_counts, neighbor_counts_segments, neighbor_counts_documents, seq_weights, n_eff, weights_realigned, weights_of_skipped,
-    msa_encode_whole, msa_valid_rows_whole, msa_skipped_rows_whole, alignment_lengths_whole, neighbor_counts_documents_whole,
     cluster_assign, cluster_consensus, cluster_sizes, cluster_neighbors, fast_weights,
     site_marginals, pair_marginals, site_marginals_li, pair_marginals_li, site_marginals_gap, pair_marginals_gap, init_fields,
     column_information, pair_covariances, nll_init, grad_fields_init, grad_couplings_init, potentials, site_conditionals,
-    objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, group_penalty, parameter_norms,
+    objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, grad_gap_fields, grad_gap_couplings, gradient_norms, group_penalty, parameter_norms,
     coupling_norms, coupling_norms_slice, apc_scores, coupling_table, top_couplings, couplings_above, variance_priors, prior_stats,
     logo_bits, score_stats, mixture_cutoff, weighted_sample, fit_lbfgs, fit_gapreduce, fit_group, fit_twostage, fit_adam, fit_on_executors,
-    neighbor_counts_whole, seq_weights_whole, site_marginals_whole, pair_marginals_whole, coupling_table_whole, fit_lbfgs_whole,
+)
+
+
+#: Queries that a second name has had since they read part of their tables only.
+_WHOLE = (
+    msa_encode, msa_valid_rows, msa_skipped_rows, alignment_lengths, neighbor_counts_documents, neighbor_counts, seq_weights, site_marginals,
+    pair_marginals, coupling_table, fit_lbfgs,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {f"{f.__name__}_whole": f for f in _WHOLE}
 
 
 def oracle_sql() -> dict[str, str]:

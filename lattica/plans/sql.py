@@ -12,12 +12,12 @@ LETTERS = " ABCDEFGHIJKLMNOPQRSTUVWXYZ.,"
 #: Common table expressions, each with those that it needs.
 _CTE: dict[str, tuple[str, str]] = {
     "emb": ("", """SELECT s, i, CASE WHEN v < -0.05 THEN 0 WHEN v <= 0.05 THEN 1 ELSE 2 END AS a FROM (
-        SELECT vec_id AS s, CAST(unnest(range(1, 17)) AS INT) AS i, CAST(unnest(embedding[1:16]) AS DOUBLE) AS v FROM embeddings)"""),
+        SELECT vec_id AS s, CAST(unnest(range(1, 65)) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""),
     "nbr": ("emb", """SELECT s, count(*) AS n FROM (SELECT x.s, y.s AS t FROM emb x JOIN emb y USING (i, a) GROUP BY ALL
-        HAVING count(*) >= (1 - CAST(0.4 AS DOUBLE)) * 16) GROUP BY s"""),
+        HAVING count(*) >= (1 - CAST(0.4 AS DOUBLE)) * 64) GROUP BY s"""),
     "w": ("nbr", "SELECT s, CAST(1.0 AS DOUBLE) / n AS w FROM nbr"),
     "ne": ("w", "SELECT sum(w) AS neff FROM w"),
-    "sites": ("", "SELECT CAST(i AS INT) AS i, CAST(a AS INT) AS a FROM range(1, 17) r(i), range(0, 3) q(a)"),
+    "sites": ("", "SELECT CAST(i AS INT) AS i, CAST(a AS INT) AS a FROM range(1, 65) r(i), range(0, 3) q(a)"),
     "cells": ("sites", "SELECT x.i, y.i AS j, x.a, y.a AS b FROM sites x JOIN sites y ON x.i < y.i"),
     "fi": ("emb w ne sites", """SELECT i, a, coalesce(n, 0.0) / (SELECT neff FROM ne) AS f FROM sites
         LEFT JOIN (SELECT i, a, sum(w) AS n FROM emb JOIN w USING (s) GROUP BY ALL) USING (i, a)"""),
@@ -37,22 +37,29 @@ _CTE: dict[str, tuple[str, str]] = {
         FROM emb o JOIN h ON h.i = o.i"""),
     "fn": ("e", "SELECT i, j, sqrt(sum(e * e)) AS fn FROM e GROUP BY i, j"),
     "sym": ("fn", "SELECT i, fn FROM fn UNION ALL SELECT j, fn FROM fn"),
-    "mean": ("sym", "SELECT i, sum(fn) / 15 AS m FROM sym GROUP BY i"),
+    "mean": ("sym", "SELECT i, sum(fn) / 63 AS m FROM sym GROUP BY i"),
     "cn": ("fn mean", """SELECT fn.i, fn.j, fn.fn, fn.fn - x.m * y.m / (SELECT avg(fn) FROM fn) AS cn FROM fn
         JOIN mean x ON x.i = fn.i JOIN mean y ON y.i = fn.j"""),
     "v": ("e", "SELECT i, j, var_pop(e) AS v FROM e GROUP BY i, j"),
-    "vm": ("v", "SELECT i, sum(v) / 15 AS m FROM (SELECT i, v FROM v UNION ALL SELECT j, v FROM v) GROUP BY i"),
+    "vm": ("v", "SELECT i, sum(v) / 63 AS m FROM (SELECT i, v FROM v UNION ALL SELECT j, v FROM v) GROUP BY i"),
     "pri": ("v vm", """SELECT i, j, v, x, CASE WHEN x > 0 THEN least(greatest(1 / (2 * x), 0.01), 10000.0) ELSE 10000.0 END AS lam FROM (
         SELECT v.i, v.j, v.v, v.v - x.m * y.m / (SELECT avg(v) FROM v) AS x FROM v JOIN vm x ON x.i = v.i JOIN vm y ON y.i = v.j)"""),
-    "seq": ("", "SELECT doc_id AS s, CAST(doc_id AS VARCHAR) AS name, substring(text, 1, 24) AS seq FROM documents WHERE length(text) >= 24"),
+    "seq": ("", """SELECT {'doc_id': doc_id, 'piece': piece} AS s, doc_id || '/' || piece AS name, rpad(substring(text, piece * 24 + 1, 24), 24, ' ') AS seq
+        FROM (SELECT doc_id, text, CAST(unnest(range(0, CAST(ceil(length(text) / 24.0) AS BIGINT))) AS INT) AS piece FROM documents)"""),
     "let": ("seq", f"""SELECT s, i, CASE WHEN instr('{LETTERS}', c) > 0 THEN instr('{LETTERS}', c) - 1
         WHEN c BETWEEN 'a' AND 'z' THEN instr('{LETTERS}', chr(ascii(c) - 32)) - 1 - 29 ELSE 29 END AS c
         FROM (SELECT s, CAST(unnest(range(1, 25)) AS INT) AS i, unnest(string_split(seq, '')) AS c FROM seq)"""),
     "bad": ("let", "SELECT DISTINCT s FROM let WHERE c = 29"),
     "ok": ("let bad", "SELECT s, i, CASE WHEN c < 0 THEN c + 29 ELSE c END AS a FROM let ANTI JOIN bad USING (s)"),
-    "okn": ("ok", """SELECT s, count(*) AS n FROM (SELECT x.s, y.s AS t FROM ok x JOIN ok y USING (i, a) GROUP BY ALL
-        HAVING count(*) >= (1 - CAST(0.2 AS DOUBLE)) * 24) GROUP BY s"""),
-    "target": ("seq let", """SELECT i, c FROM let WHERE s = (SELECT min(s) FROM seq WHERE name LIKE '1%') AND c NOT IN (0, -29)"""),
+    # at most 4 of 24 letters differ, so one of 5 segments agrees; equal pieces are summed first
+    "okw": ("seq", """SELECT s, translate(seq, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u FROM seq WHERE regexp_full_match(seq, '[A-Za-z ., ]*')"""),
+    "okd": ("okw", "SELECT u, count(*) AS n FROM okw GROUP BY u"),
+    "okg": ("okd", "SELECT u, n, k, substring(u, a, b) AS part FROM okd, (VALUES (0, 1, 4), (1, 5, 5), (2, 10, 5), (3, 15, 5), (4, 20, 5)) g(k, a, b)"),
+    "okp": ("okg", """SELECT DISTINCT x.u AS u, y.u AS v, y.n FROM okg x JOIN okg y USING (k, part)
+        WHERE 24 - hamming(x.u, y.u) >= (1 - CAST(0.2 AS DOUBLE)) * 24"""),
+    "okn": ("okw okp", "SELECT s, CAST(t AS BIGINT) AS n FROM okw JOIN (SELECT u, sum(n) AS t FROM okp GROUP BY u) USING (u)"),
+    "aim": ("seq", "SELECT s, name FROM seq WHERE name LIKE '1%' ORDER BY s LIMIT 1"),
+    "target": ("aim let", """SELECT i, c FROM let WHERE s = (SELECT s FROM aim) AND c NOT IN (0, -29)"""),
     "li": ("", """SELECT row_number() OVER () AS s, [instr('ANR', l_returnflag) - 1, instr('FO', l_linestatus) - 1, l_linenumber - 1,
         CAST(round(l_discount * 100) AS INT), CAST(round(l_tax * 100) AS INT), CAST(quarter(l_shipdate) AS INT) - 1] AS c FROM lineitem"""),
     "lil": ("li", "SELECT s, CAST(unnest(range(1, 7)) AS INT) AS i, CAST(unnest(c) AS INT) AS a FROM li"),
@@ -74,13 +81,15 @@ _CTE: dict[str, tuple[str, str]] = {
     "gen": ("gap gh ges", """SELECT o.s, o.i, gh.a, o.a AS seen, gh.h + coalesce(sum(ges.e), 0.0) AS energy
         FROM gap o JOIN gh ON gh.i = o.i LEFT JOIN gap t ON t.s = o.s AND t.i <> o.i
         LEFT JOIN ges ON ges.i = o.i AND ges.a = gh.a AND ges.j = t.i AND ges.b = t.a GROUP BY o.s, o.i, gh.a, o.a, gh.h"""),
+    "gpr": ("gen", """SELECT *, exp(energy - z) AS p FROM (SELECT *, m + ln(sum(exp(energy - m)) OVER (PARTITION BY s, i)) AS z FROM (
+        SELECT *, max(energy) OVER (PARTITION BY s, i) AS m FROM gen))"""),
     "ctr": ("emb", "SELECT dense_rank() OVER (ORDER BY s) - 1 AS cluster, i, a FROM emb WHERE s IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 8)"),
     "asg": ("emb ctr", """SELECT s, arg_max(cluster, (m, -cluster)) AS cluster FROM (
         SELECT s, cluster, sum(CAST(x.a = y.a AS INT)) AS m FROM emb x JOIN ctr y USING (i) GROUP BY s, cluster) GROUP BY s"""),
     "con": ("emb asg", """SELECT cluster, i, arg_max(a, (n, -a)) AS a, max(n) AS n FROM (
         SELECT cluster, i, a, count(*) AS n FROM emb JOIN asg USING (s) GROUP BY ALL) GROUP BY cluster, i"""),
     "near": ("con", """SELECT x.cluster AS c, y.cluster AS d FROM con x JOIN con y USING (i) GROUP BY ALL
-        HAVING sum(CAST(x.a = y.a AS INT)) >= CAST(0.9 AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE)) * 16"""),
+        HAVING sum(CAST(x.a = y.a AS INT)) >= CAST(0.9 AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE)) * 64"""),
 }
 
 
@@ -117,23 +126,24 @@ def _coupling_gradient(p: str, plus: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "msa_encode": _sql("let", "SELECT s, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS codes FROM let GROUP BY s"),
-    "msa_valid_rows": _sql("ok", "SELECT s, string_agg(CAST(a AS VARCHAR), ',' ORDER BY i) AS codes FROM ok GROUP BY s"),
-    "msa_skipped_rows": _sql("bad", "SELECT s FROM bad"),
+    "msa_encode": _sql("let", "SELECT s.doc_id AS doc_id, s.piece AS piece, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS codes FROM let GROUP BY s"),
+    "msa_valid_rows": _sql("ok", "SELECT s.doc_id AS doc_id, s.piece AS piece, string_agg(CAST(a AS VARCHAR), ',' ORDER BY i) AS codes FROM ok GROUP BY s"),
+    "msa_skipped_rows": _sql("bad", "SELECT s.doc_id AS doc_id, s.piece AS piece FROM bad"),
     "alignment_lengths": _sql("seq", "SELECT CAST(min(length(seq)) AS INT) AS least, CAST(max(length(seq)) AS INT) AS most, count(*) AS n FROM seq"),
     "focus_columns": _sql("target", "SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS i, i AS source_column FROM target"),
-    "focus_offsets": _sql("target bad seq let", f"""SELECT CAST(row_number() OVER (ORDER BY t.i) AS INT) AS i, t.i AS "offset",
+    "focus_offsets": _sql("target bad seq let aim", f"""SELECT CAST(row_number() OVER (ORDER BY t.i) AS INT) AS i,
+        CAST(t.i - 1 + coalesce(TRY_CAST(regexp_extract((SELECT name FROM aim), '^1/([0-9]+)', 1) AS INT), 1) AS INT) AS "offset",
         coalesce('{LETTERS}'[CASE WHEN k.c < 0 THEN k.c + 29 ELSE k.c END + 1], '-') AS letter FROM target t LEFT JOIN let k ON k.i = t.i
-        AND k.s = (SELECT max(s) FROM seq WHERE s <= (SELECT min(s) FROM seq WHERE name LIKE '1%') AND s NOT IN (SELECT s FROM bad))"""),
+        AND k.s = (SELECT seq.s FROM seq ANTI JOIN bad USING (s) WHERE seq.s <= (SELECT s FROM aim) ORDER BY seq.s DESC LIMIT 1)"""),
     "lineitem_codes": _sql("li", "SELECT array_to_string(c, ',') AS codes, count(*) AS n FROM li GROUP BY ALL"),
     "neighbor_counts": _sql("nbr", "SELECT s, n FROM nbr"),
     "neighbor_counts_segments": _sql("emb", """SELECT s, count(*) AS n FROM (SELECT x.s, y.s AS t FROM emb x JOIN emb y USING (i, a)
-        GROUP BY ALL HAVING count(*) >= (1 - CAST(0.2 AS DOUBLE)) * 16) GROUP BY s"""),
-    "neighbor_counts_documents": _sql("okn", "SELECT s, n FROM okn"),
+        GROUP BY ALL HAVING count(*) >= (1 - CAST(0.2 AS DOUBLE)) * 64) GROUP BY s"""),
+    "neighbor_counts_documents": _sql("okn", "SELECT s.doc_id AS doc_id, s.piece AS piece, n FROM okn"),
     "seq_weights": _sql("nbr", f"SELECT s, {_r('CAST(2.0 AS DOUBLE) / n')} AS w FROM nbr"),
     "n_eff": _sql("ne", f"SELECT {_r('neff')} AS n_eff FROM ne"),
-    "weights_realigned": _sql("seq okn", f"SELECT s, {_r('coalesce(CAST(1.0 AS DOUBLE) / n, 0.0)')} AS weight FROM seq LEFT JOIN okn USING (s)"),
-    "weights_of_skipped": _sql("bad", "SELECT s, CAST(1.0 AS DOUBLE) AS weight FROM bad WHERE s % 2 = 0 ORDER BY s LIMIT 64"),
+    "weights_realigned": _sql("seq okn", f"SELECT s.doc_id AS doc_id, s.piece AS piece, {_r('coalesce(CAST(1.0 AS DOUBLE) / n, 0.0)')} AS weight FROM seq LEFT JOIN okn USING (s)"),
+    "weights_of_skipped": _sql("bad", "SELECT s.doc_id AS doc_id, s.piece AS piece, CAST(1.0 AS DOUBLE) AS weight FROM bad WHERE (s.doc_id + s.piece) % 2 = 0 ORDER BY s LIMIT 64"),
     "cluster_assign": _sql("asg", "SELECT s, CAST(cluster AS INT) AS cluster FROM asg"),
     "cluster_consensus": _sql("con", "SELECT CAST(cluster AS INT) AS cluster, i, a, n FROM con"),
     "cluster_sizes": _sql("asg", """SELECT CAST(cluster AS INT) AS cluster, n, CAST(sum(n) OVER (ORDER BY cluster) - n AS BIGINT) AS start,
@@ -141,7 +151,7 @@ ORACLES: dict[str, str] = {
     "cluster_neighbors": _sql("emb asg near", """SELECT s, count(*) AS n FROM (
         SELECT x.s, y.s AS t FROM emb x JOIN emb y ON x.i = y.i AND x.a = y.a JOIN asg k ON k.s = x.s JOIN asg l ON l.s = y.s
         JOIN near ON near.c = k.cluster AND near.d = l.cluster GROUP BY ALL
-        HAVING count(*) >= (1 - CAST(0.4 AS DOUBLE)) * 16) GROUP BY s"""),
+        HAVING count(*) >= (1 - CAST(0.4 AS DOUBLE)) * 64) GROUP BY s"""),
     "site_marginals": _sql("fi", f"SELECT i, a, {_r('f')} AS f FROM fi"),
     "pair_marginals": _sql("fij", f"SELECT i, j, a, b, {_r('f')} AS f FROM fij"),
     "site_marginals_li": _sql("lil lis", f"""SELECT i, a, {_r('coalesce(n, 0.0) / (SELECT count(*) FROM lineitem)')} AS f FROM lis
@@ -166,6 +176,15 @@ ORACLES: dict[str, str] = {
     "grad_fixed_couplings": _sql("p w e emb cells", _coupling_gradient("p", "2 * e")),
     "objective_gap": _sql("gen w", f"""SELECT {_r('sum(w * (z - energy))', 4)} AS nll FROM (
         SELECT *, ln(sum(exp(energy)) OVER (PARTITION BY s, i)) AS z FROM gen) JOIN w USING (s) WHERE a = seen"""),
+    "grad_gap_fields": _sql("gpr w gh", f"""SELECT i, a, {_r("coalesce(g, 0.0) + 2 * CAST(0.01 AS DOUBLE) * h")} AS g FROM gh LEFT JOIN (
+        SELECT i, a, sum(w * (p - CAST(a = seen AS INT))) AS g FROM gpr JOIN w USING (s) GROUP BY i, a) USING (i, a)"""),
+    "grad_gap_couplings": _sql("gpr w ge gap", f"""SELECT ge.i, ge.j, ge.a, ge.b, {_r("coalesce(g, 0.0) + 2 * e")} AS g FROM ge LEFT JOIN (
+        SELECT i, j, a, b, sum(r) AS g FROM (
+            SELECT least(q.i, t.i) AS i, greatest(q.i, t.i) AS j, CASE WHEN q.i < t.i THEN q.a ELSE t.a END AS a,
+                   CASE WHEN q.i < t.i THEN t.a ELSE q.a END AS b, w * (p - CAST(q.a = seen AS INT)) AS r
+            FROM gpr q JOIN w ON w.s = q.s JOIN gap t ON t.s = q.s AND t.i <> q.i) GROUP BY i, j, a, b) USING (i, j, a, b)"""),
+    "gradient_norms": _sql("p w h e emb cells", f"""SELECT {_r("(SELECT sqrt(sum(g * g)) FROM (" + "HG" + "))", 4)} AS h_gradient,
+        {_r("(SELECT sqrt(sum(g * g)) FROM (" + "EG" + "))", 4)} AS e_gradient""").replace("HG", _field_gradient("p")).replace("EG", _coupling_gradient("p", "2 * e")),
     "group_penalty": _sql("e", f"""SELECT {_r('CAST(0.5 AS DOUBLE) * sum(x)')} AS penalty FROM (
         SELECT sqrt(0.001 + sum(e * e)) AS x FROM e GROUP BY i, j)"""),
     "parameter_norms": _sql("h e", f"""SELECT {_r('(SELECT sqrt(sum(h * h)) FROM h)')} AS h_norm, {_r('(SELECT sqrt(sum(e * e)) FROM e)')} AS e_norm,
@@ -190,3 +209,8 @@ ORACLES: dict[str, str] = {
         SELECT s, sum(w) OVER (ORDER BY s) - w AS lo, sum(w) OVER (ORDER BY s) AS hi FROM w)
         JOIN (SELECT (k - CAST(0.5 AS DOUBLE)) / 64 * (SELECT neff FROM ne) AS u FROM range(1, 65) r(k)) ON u > lo AND u <= hi GROUP BY s"""),
 }
+
+#: Queries of the same rows under a second name.
+for _name in ("msa_encode", "msa_valid_rows", "msa_skipped_rows", "alignment_lengths", "neighbor_counts_documents", "neighbor_counts", "seq_weights",
+              "site_marginals", "pair_marginals", "coupling_table"):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name]
