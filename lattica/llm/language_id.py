@@ -7,8 +7,8 @@ document's log probabilities are the mean over all its windows, weighted by
 their bytes. The network is trained in numpy on labelled text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
-without any labelled text everything is ``und``; every byte of long texts is
-read; rows are scored one by one, so repeated rows, ties and extra columns
+without any labelled text everything is ``und``, with one labelled language every text with a letter is of it; every byte of long
+texts is read; rows are scored one by one, so repeated rows, ties and extra columns
 change nothing.
 """
 
@@ -34,11 +34,11 @@ class LanguageParams:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 12
     dim: int = 6
-    #: Labelled documents and windows of each that training reads at most.
-    max_training_docs: int = 2000
+    #: Labelled documents of each language that training reads at most, and windows of each, evenly over the text.
+    max_training_docs: int = 500
     max_training_windows: int = 4
-    #: Bytes of the longest text that training reads.
-    max_text_bytes: int = 64 << 10
+    #: Characters that training holds of a text at most; of longer ones, stretches from all over it.
+    training_chars: int = 8192
     epochs: int = 5
     batch: int = 64
     rate: float = 0.01
@@ -97,7 +97,7 @@ def train(texts: list[str], langs: list[str], p: LanguageParams = LanguageParams
         if not len(data):
             continue
         own = cut_windows(A.Chunk(slice(0, 1), data, np.array([0, len(data)])), p.window)[0]
-        own = own[rng.permutation(len(own))[: p.max_training_windows]]
+        own = own[np.unique(np.linspace(0, len(own) - 1, p.max_training_windows).round().astype(int))]
         xs.append(own)
         # short pieces too, so that short texts are known
         cut = own[:1].copy()
@@ -178,10 +178,10 @@ def has_letter(chunk: A.Chunk) -> np.ndarray:
 
 
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams(), learn=None) -> LanguageModel:
-    """Train on text and non-null lang of at most ``max_training_docs`` documents
-    of at most ``max_text_bytes`` where ``learn`` holds."""
-    own = docs.where(F.lit(True) if learn is None else learn).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sorted((r.doc_id, r.text, r.lang) for r in bounded_sample(own, "doc_id", p.max_training_docs, p.max_text_bytes).collect())
+    """Train on text and non-null lang of at most ``max_training_docs`` documents of each language where ``learn`` holds;
+    texts of any length are learnt from."""
+    own = docs.where(F.lit(True) if learn is None else learn).select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
+    rows = sorted((r.doc_id, r.text, r.lang) for r in bounded_sample(own, p.max_training_docs, p.training_chars, "lang").collect())
     return train([r[1] for r in rows], [r[2] for r in rows], p)
 
 

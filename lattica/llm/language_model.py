@@ -41,9 +41,10 @@ class LMParams:
     states: int = 6
     own_classes: int = 2000
     suffix_classes: int = 2048
-    #: Documents of the sample that gives the starting point, bytes of the longest, and passes over it.
+    #: Documents of the sample that gives the starting point, characters held of each (of longer ones, stretches from all
+    #: over the text), and passes over it.
     sample_docs: int = 400
-    sample_text_bytes: int = 256 << 10
+    sample_chars: int = 256 << 10
     sample_passes: int = 15
     #: Passes of Baum-Welch over all training documents.
     passes: int = 2
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, p: LMParams = LMParams()) -> tuple[LanguageModel, DataF
     )
     if not ends:
         return m, counts.select("word", "n")
-    sample = sorted((r.doc_id, r.text or "") for r in bounded_sample(docs.select("doc_id", "text"), "doc_id", p.sample_docs, p.sample_text_bytes).collect())
+    sample = sorted((r.doc_id, r.text) for r in bounded_sample(docs.select("doc_id", "text"), p.sample_docs, p.sample_chars).collect())
     chunk = next(A.chunks(pa.array([t for _, t in sample], pa.large_string()), 1 << 40), None)
     if chunk is not None:
         cls, first, _, _ = sequences(chunk, m)

@@ -40,8 +40,8 @@ class QualityParams:
     #: Most labelled documents that training reads, and the bytes of text it learns from at most.
     max_training_docs: int = 3000
     max_training_bytes: int = 48 << 20
-    #: Bytes of the longest text that training reads.
-    max_text_bytes: int = 64 << 10
+    #: Characters that training holds of a text at most; of longer ones, stretches from all over it.
+    training_chars: int = 64 << 10
     threshold: float = 0.3
     seed: int = 7
 
@@ -149,10 +149,10 @@ def score_chunk(chunk: A.Chunk, model: QualityModel) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), learn=None) -> QualityModel:
     """Train on the documents where ``learn`` holds that have a label. At most
-    ``max_training_docs`` of these that have at most ``max_text_bytes`` are read: those with the
-    smallest hashed doc_id. Several labels of one document count as the smallest."""
+    ``max_training_docs`` of these are read: those with the smallest hashed doc_id. Several labels of one document
+    count as the smallest."""
     own = docs.where(F.lit(True) if learn is None else learn)
-    rows = labelled_sample(own, labels, p.max_training_docs, p.max_text_bytes)
+    rows = labelled_sample(own, labels, p.max_training_docs, p.training_chars)
     return train([r[1] for r in rows], [r[2] for r in rows], p)
 
 

@@ -61,9 +61,9 @@ class RuleParams:
     content_share: float = 0.5
     #: Log-odds by which a document's label shifts the labels of its lines in training.
     prior: float = 1.0
-    #: Labelled documents that training reads at most, and bytes of the longest text that it learns from.
+    #: Labelled documents that training reads at most, and characters that it holds of a text; of longer ones, stretches from all over it.
     max_training_docs: int = 2000
-    max_text_bytes: int = 64 << 10
+    training_chars: int = 64 << 10
     steps: int = 80
     rate: float = 0.3
     decay: float = 1e-3
@@ -270,8 +270,8 @@ def content_share(lines: Lines, m: LineModel) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams()) -> LineModel:
-    """Train on lines of at most ``max_training_docs`` labelled documents of at most ``max_text_bytes``."""
-    rows = labelled_sample(docs, labels, p.max_training_docs, p.max_text_bytes)
+    """Train on lines of at most ``max_training_docs`` labelled documents."""
+    rows = labelled_sample(docs, labels, p.max_training_docs, p.training_chars)
     chunk = next(A.chunks(pa.array([r[1] for r in rows], pa.large_string()), 1 << 40), None)
     if chunk is None:
         return train(Lines(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty((0, N_FEATURES))), np.empty(0), p)

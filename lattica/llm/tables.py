@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,22 +63,33 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, most_bytes: int, ids: DataFrame | None = None) -> DataFrame:
-    """At most ``n`` rows of ``df`` (with a column text, of at most ``most_bytes`` bytes): those of the
-    ``n`` keys that are smallest by hash (of ``ids`` where given), and of several rows of these the
-    smallest by hash. Neither the order of rows nor chance decides; keys are chosen on a narrow
-    scan and broadcast, so only the chosen rows' texts are read."""
-    keys = (
-        (df if ids is None else ids).select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-        .orderBy(F.xxhash64("_key"), "_key").limit(n)
-    )
-    rows = df.join(F.broadcast(keys), df[key] == F.col("_key"), "left_semi")
-    return rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes).orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, most_bytes: int) -> list[tuple]:
-    """Sorted (doc_id, text, quality) of at most ``n`` labelled documents; several labels of one count as the least."""
-    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = bounded_sample(docs.select("doc_id", "text"), "doc_id", n, most_bytes, chosen).join(F.broadcast(chosen), "doc_id")
-    return sorted((r.doc_id, r.text or "", r.quality) for r in rows.select("doc_id", "text", "quality").collect())
+def spread(text: Column, most: int, parts: int = 16) -> Column:
+    """A text of at most ``most`` characters as it is; of a longer one ``parts`` stretches, evenly from its first character
+    to its last, joined by a line end. So training reads all of a text's length and holds no more than ``most``."""
+    size = F.length(text)
+    piece = most // parts - 1
+    starts = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.floor(k * (size - piece) / (parts - 1)).cast("int") + 1)
+    return F.when(size > most, F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(piece))), "\n")).otherwise(text)
+
+
+def bounded_sample(df: DataFrame, n: int, most: int, by: str | None = None) -> DataFrame:
+    """At most ``n`` rows of ``df`` (doc_id, text and others), of each value of ``by`` where given: those whose doc_id and
+    then whose other columns have the smallest hashes. Rows without a doc_id or with an empty text don't count, so rows are
+    found wherever there are any. Neither the order of rows nor chance decides. Texts are :func:`spread`."""
+    usable = df.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("_hash", F.xxhash64(*df.columns))
+    usable = usable.withColumn("text", spread(F.col("text"), most))  # before rows are held to be ordered
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_hash")]
+    if by is None:
+        return usable.orderBy(*order).limit(n).drop("_hash")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return usable.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_hash")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, most: int) -> list[tuple]:
+    """Sorted (doc_id, text, quality) of at most ``n`` labelled rows of ``docs``, chosen among all that have a label;
+    several labels of one doc_id count as the least."""
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = docs.select("doc_id").join(marked, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").withColumn("_hash", F.xxhash64("text"))
+    rows = rows.withColumn("text", spread(F.col("text"), most)).orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(n)
+    return sorted((r.doc_id, r.text, r.quality) for r in rows.collect())

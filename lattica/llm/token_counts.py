@@ -76,7 +76,7 @@ class PartCounter:
         for part in [*parts, None]:
             if part is not None:
                 batch.append(part)
-                size += len(part)
+                size += len(part.encode())
             if batch and (part is None or size >= self.p.batch_bytes):
                 for x, n in zip(batch, self.counter(batch), strict=True):
                     (self.known if len(x) <= self.p.remembered_chars else long)[x] = n
@@ -84,11 +84,11 @@ class PartCounter:
         return long
 
     def __call__(self, texts: list[str]) -> list[int]:
-        if not self.split:
-            long = self._learn(set(texts))
-            return [self.known.get(t, long.get(t)) for t in texts]
         if len(self.known) > self.p.remembered:
             self.known.clear()
+        if not self.split:
+            long = self._learn(set(texts).difference(self.known))
+            return [self.known[t] if t in self.known else long[t] for t in texts]
         parts = [_SAFE.split(t) for t in texts]
         long = self._learn(set().union(*parts).difference(self.known))
         if long:
