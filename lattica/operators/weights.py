@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.alphabet import matches
 
-#: Bytes of distinct code rows that may be broadcast to the blocked kernel.
+#: Bytes of distinct code rows, one a code up to 127 codes, that may be broadcast to the blocked kernel.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -40,14 +40,17 @@ def neighbor_counts(rows: DataFrame, theta: float, q: int, strategy: str = "auto
     shape = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("codes")).alias("sites")).first()
     n_sites = shape.sites or 0
     if strategy == "auto":
-        strategy = "block" if shape.n * n_sites <= BROADCAST_BYTES else "segments"
+        cell = 1 if q <= 127 else 4
+        strategy = "block" if shape.n * n_sites * cell <= BROADCAST_BYTES else "segments"
     counted = _block(distinct, theta, q, n_sites) if strategy == "block" else _segments(distinct, theta, n_sites)
     return rows.join(counted, "codes").select("s", "n")
 
 
 def _block(distinct: DataFrame, theta: float, q: int, n_sites: int) -> DataFrame:
-    table = distinct.toArrow()
-    codes = _matrix(table.column("codes"), n_sites)
+    kind = np.int8 if q <= 127 else np.int32
+    packed = distinct.select(F.transform("codes", lambda c: c.cast("tinyint" if q <= 127 else "int")).alias("codes"), "copies")
+    table = packed.toArrow()
+    codes = _matrix(table.column("codes"), n_sites).astype(kind, copy=False)
     shared = distinct.sparkSession.sparkContext.broadcast((codes, table.column("copies").to_numpy()))
     least = (1 - theta) * n_sites
 
@@ -58,7 +61,7 @@ def _block(distinct: DataFrame, theta: float, q: int, n_sites: int) -> DataFrame
             n = np.zeros(len(mine), np.int64)
             # one-hot rows are q times as large as codes: a block of either side at a time
             for to in range(0, len(others), 2048):
-                hot = one_hot(others[to : to + 2048], q, np.float32)
+                hot = one_hot(others[to : to + 2048].astype(np.int64), q, np.float32)
                 for at in range(0, len(mine), 512):
                     x = one_hot(mine[at : at + 512], q, np.float32)
                     n[at : at + 512] += (x @ hot.T >= least) @ copies[to : to + 2048]
@@ -83,9 +86,29 @@ def one_hot(codes: np.ndarray, q: int, kind=np.float64) -> np.ndarray:
     return out
 
 
-def _segments(distinct: DataFrame, theta: float, n_sites: int) -> DataFrame:
-    """With at most d disagreeing sites one of d + 1 segments agrees: join on segments, keep
-    a pair at its first agreeing one, then compare whole rows."""
+#: Rows with one join key; a key of more is split further.
+KEY_ROWS = 4096
+#: Keys of more rows that may be broadcast.
+BROADCAST_KEYS = 1 << 20
+
+
+def _segments(distinct: DataFrame, theta: float, n_sites: int, most: int = KEY_ROWS) -> DataFrame:
+    """With at most d disagreeing sites one of d + 1 segments agrees: join on segments, keep a pair where it first
+    agrees, then compare whole rows."""
+    near = matches(F.col("x"), F.col("y")) >= F.lit(float((1 - theta) * n_sites))
+    found = None
+    for left, right, first in segment_joins(distinct, theta, n_sites, most):
+        met = left.join(right, "key").where(first & near).select("x", "copies")
+        found = met if found is None else found.union(met)
+    return found.groupBy(F.col("x").alias("codes")).agg(F.sum("copies").alias("n"))
+
+
+def segment_joins(distinct: DataFrame, theta: float, n_sites: int, most: int = KEY_ROWS) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """(left, right, condition) of the joins on ``key`` that meet each near pair of rows x and y once.
+
+    Keys are segments. Rows of a segment that more than ``most`` rows share differ in the other sites, at most d of
+    them, so these are cut into d + 1 segments in turn. Rows that share both are dealt to blocks, and each two
+    blocks are a key: no key has many more rows than ``most``."""
     d = max(0, n_sites - max(0, least_matches(theta, n_sites)))
     cuts = np.linspace(0, n_sites, min(d + 1, max(1, n_sites)) + 1).astype(int)
     spans = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -93,12 +116,57 @@ def _segments(distinct: DataFrame, theta: float, n_sites: int) -> DataFrame:
         spans = [(0, 0)]
     key = F.array(*[F.struct(F.lit(k).alias("k"), F.slice("codes", a + 1, b - a).alias("part")) for k, (a, b) in enumerate(spans)])
     cut = distinct.select("codes", "copies", F.explode(key).alias("key"))
-    left, right = cut.select("key", F.col("codes").alias("x")), cut.select("key", F.col("codes").alias("y"), "copies")
-    met = left.join(right, "key")
-    earlier = [F.when((F.col("key.k") > k) & (F.slice("x", a + 1, b - a) == F.slice("y", a + 1, b - a)), True) for k, (a, b) in enumerate(spans)]
+    plain, crowded = _parted(cut, most)
+    earlier = [F.when((F.col("at") > k) & (F.slice("x", a + 1, b - a) == F.slice("y", a + 1, b - a)), True) for k, (a, b) in enumerate(spans)]
     first = F.coalesce(*earlier, F.lit(False)) == F.lit(False)
-    near = matches(F.col("x"), F.col("y")) >= F.lit(float((1 - theta) * n_sites))
-    return met.where(first & near).groupBy(F.col("x").alias("codes")).agg(F.sum("copies").alias("n"))
+    out = [(*_sides(plain, F.col("key.k")), first)]
+    if crowded is None:
+        return out
+    # the other sites of crowded segments, and their segments
+    lo = F.element_at(F.array(*[F.lit(a) for a, _ in spans]), F.col("key.k") + 1)
+    hi = F.element_at(F.array(*[F.lit(b) for _, b in spans]), F.col("key.k") + 1)
+    rest = F.concat(F.slice("codes", F.lit(1), lo), F.slice("codes", hi + 1, F.lit(n_sites)))
+    pieces = d + 1
+
+    def piece(sites: Column, j: Column) -> Column:
+        start = F.floor(j * F.size(sites) / pieces).cast("int")
+        return F.slice(sites, start + 1, F.floor((j + 1) * F.size(sites) / pieces).cast("int") - start)
+
+    inner = F.transform(F.sequence(F.lit(0), F.lit(d)), lambda j: F.struct(j.alias("j"), piece(F.col("rest"), j).alias("piece")))
+    again = crowded.withColumn("rest", rest).select("codes", "copies", "rest", F.col("key").alias("outer"), F.explode(inner).alias("inner"))
+    again = again.select("codes", "copies", "rest", F.struct("outer", "inner").alias("key"))
+    plain, crowded = _parted(again, most)
+    earlier_inside = F.exists(
+        F.sequence(F.lit(0), F.lit(d)), lambda j: (j < F.col("inside")) & (piece(F.col("x_rest"), j) == piece(F.col("y_rest"), j)))
+    once = first & ~earlier_inside
+    place = F.col("key.outer.k"), F.col("key.inner.j")
+    out.append((*_sides(plain, *place), once))
+    if crowded is not None:
+        block = F.pmod(F.xxhash64("codes"), F.col("blocks"))
+        own = crowded.withColumn("blocks", (F.ceil(F.col("n") / most) * 2).cast("long")).withColumn("own", block)
+        left = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        right = left.withColumn("key", F.struct("key", F.col("other").alias("l"), F.col("own").alias("r")))
+        left = left.withColumn("key", F.struct("key", F.col("own").alias("l"), F.col("other").alias("r")))
+        place = F.col("key.key.outer.k"), F.col("key.key.inner.j")
+        out.append((_sides(left, *place)[0], _sides(right, *place)[1], once))
+    return out
+
+
+def _parted(cut: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key at most ``most`` rows share, and the others (None if there are none) with n, how many do."""
+    crowded = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).cache()
+    many = crowded.limit(BROADCAST_KEYS + 1).count()
+    if not many:
+        return cut, None
+    keys = F.broadcast(crowded) if many <= BROADCAST_KEYS else crowded
+    return cut.join(keys.select("key"), "key", "left_anti"), cut.join(keys, "key")
+
+
+def _sides(rows: DataFrame, at: Column, inside: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    extra = [] if inside is None else [inside.alias("inside"), F.col("rest").alias("x_rest")]
+    left = rows.select("key", F.col("codes").alias("x"), at.alias("at"), *extra)
+    right = rows.select("key", F.col("codes").alias("y"), "copies", *([] if inside is None else [F.col("rest").alias("y_rest")]))
+    return left, right
 
 
 def sequence_weights(rows: DataFrame, theta: float, q: int, scale: float = 1.0, strategy: str = "auto") -> DataFrame:
