@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from lattica.operators.objective import LocalObjective, Objective, Shape, likeli
 from lattica.operators.optimize import Result, adam, lbfgs
 from lattica.operators.weights import _matrix
 from lattica.options import Options
+from lattica.sources.stored import Stored
 
 
 @dataclass
@@ -103,6 +106,7 @@ def fit(rows: DataFrame, n_sites: int, q: int, o: Options = Options()) -> PairMo
     x = start(sites, shape, n_eff, fields=not o.two_stage)
     if o.stochastic:
         result = adam(objective, x, o.max_iter, o.compat)
+        objective.index.release()
     else:
         objective.frozen = o.two_stage
         result = lbfgs(objective, x, o.max_iter, o.epsilon, o.history)
@@ -157,50 +161,76 @@ def fit_tiled(rows: DataFrame, sites: DataFrame, shape: Shape, n_eff: float, o:
 
 
 class Bootstrap(Objective):
-    """Objective of weighted draws of rows with replacement, scaled to all rows. Draws look up
-    uniform numbers in the cumulative weights on the executors; only the drawn rows come back."""
+    """Objective of weighted draws of rows with replacement, scaled to all rows. Only the drawn rows come to the driver."""
 
     def __init__(self, rows: DataFrame, o: Options, shape: Shape, lambda_h, lambda_e) -> None:
         super().__init__(shape, lambda_h, lambda_e, o.lambda_group)
         self.o = o
         self.raw = np.random.RandomState(o.seed)
-        self.total = float(rows.agg(F.sum("w")).first()[0])
-        self.placed = cumulative(rows).cache()
+        self.index = SampleIndex(rows)
 
     def data(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        n = self.o.batch
-        u = self.raw.random_sample(n)
-        drawn = draw(self.placed, u * self.total).toArrow()
+        n, total = self.o.batch, self.index.total
+        drawn = self.index.draw(self.raw.random_sample(n) * total).toArrow()
         f, g = likelihood(_matrix(drawn.column("codes"), self.shape.n_sites), drawn.column("times").to_numpy().astype(float), x, self.shape)
-        return f * self.total / n, g * self.total / n
-
-
-def cumulative(rows: DataFrame) -> DataFrame:
-    """``rows`` with lo and hi: each row's stretch of the running sum of weights in order of s.
-    Sums run within range partitions; their totals are few and are added by broadcast."""
-    from pyspark.sql import Window
-
-    parts = rows.repartitionByRange("s").withColumn("_p", F.spark_partition_id()).cache()
-    inside = F.sum("w").over(Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    sizes = parts.groupBy("_p").agg(F.sum("w").alias("t"))
-    base = sizes.select("_p", F.coalesce(F.sum("t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    placed = parts.withColumn("hi", inside).join(F.broadcast(base), "_p")
-    return placed.withColumn("hi", F.col("hi") + F.col("base")).withColumn("lo", F.col("hi") - F.col("w")).drop("_p", "base")
-
-
-def draw(placed: DataFrame, points: np.ndarray) -> DataFrame:
-    """``placed`` rows whose stretch (lo, hi] holds one of ``points`` (a fixed batch), and how many."""
-    shared = np.sort(points)
-    spark = placed.sparkSession
-    both = spark.sparkContext.broadcast(shared)
-
-    def run(batches):
-        p = both.value
-        for batch in batches:
-            lo, hi = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            times = np.searchsorted(p, hi, side="right") - np.searchsorted(p, lo, side="right")
-            keep = pa.array(times > 0)
-            yield pa.RecordBatch.from_arrays(
-                [*(c.filter(keep) for c in batch.columns[:-2]), pa.array(times[times > 0])], names=[*batch.schema.names[:-2], "times"])
-
-    return placed.select("s", "codes", "lo", "hi").mapInArrow(run, f"s {placed.schema['s'].dataType.simpleString()}, codes array<int>, times long")
+        return f * total / n, g * total / n
+
+
+class SampleIndex:
+    """Rows (s, codes, w) in buckets by order of s, each in a folder of its own. A point of the running sum of all
+    weights is looked up in the buckets' totals first; then only the buckets that are hit are read."""
+
+    def __init__(self, rows: DataFrame, bucket_rows: int = 4096, most_buckets: int = 4096) -> None:
+        n = rows.count()
+        size = max(bucket_rows, -(-n // most_buckets))
+        kind = rows.schema["s"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, row, total = TaskContext.get().partitionId() << 20, 0, 0.0
+            for batch in batches:
+                w, at = batch.column(2).to_numpy(), np.arange(row, row + batch.num_rows)
+                hi, lo = np.empty(len(w)), np.empty(len(w))
+                for bucket in np.unique(at // size):
+                    own = at // size == bucket
+                    start = total if row and own[0] and row % size else 0.0
+                    hi[own] = start + np.cumsum(w[own])
+                    lo[own] = np.concatenate([[start], hi[own][:-1]])
+                if len(w):
+                    total = float(hi[-1])
+                row += batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], pa.array(lo), pa.array(hi), pa.array(part + at // size, pa.int64())], names=["s", "codes", "lo", "hi", "bucket"])
+
+        placed = rows.select("s", "codes", "w").repartitionByRange("s").sortWithinPartitions("s")
+        self.stored = Stored(placed.mapInArrow(run, f"s {kind}, codes array<int>, lo double, hi double, bucket long"), "fit-samples", "bucket")
+        sums = sorted((r.bucket, r.t) for r in self.stored.df.groupBy("bucket").agg(F.max("hi").alias("t")).collect())
+        self.buckets = np.array([b for b, _ in sums], np.int64)
+        self.ends = np.cumsum([t for _, t in sums])
+        self.total = float(self.ends[-1]) if sums else 0.0
+
+    def draw(self, points: np.ndarray) -> DataFrame:
+        """(s, codes, times): rows whose stretch (lo, hi] of the running sum holds one of ``points`` (a fixed batch), and how many."""
+        points = np.sort(points)
+        at = np.minimum(np.searchsorted(self.ends, points, side="left"), len(self.ends) - 1)
+        hit, first = np.unique(at, return_index=True)
+        base = np.concatenate([[0.0], self.ends])
+        # what each bucket that is hit looks up, from its own start
+        own = {int(self.buckets[b]): x - base[b] for b, x in zip(hit, np.split(points, first[1:]), strict=True)} if len(points) else {}
+        rows = self.stored.df.where(F.col("bucket").isin([*own]) if own else F.lit(False))
+        shared = rows.sparkSession.sparkContext.broadcast(own)
+        kind = rows.schema["s"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lo, hi, bucket = (batch.column(k).to_numpy() for k in (2, 3, 4))
+                times = np.zeros(batch.num_rows, np.int64)
+                for b in np.unique(bucket):
+                    mine, p = bucket == b, shared.value[int(b)]
+                    times[mine] = np.searchsorted(p, hi[mine], side="right") - np.searchsorted(p, lo[mine], side="right")
+                keep = pa.array(times > 0)
+                yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:2]), pa.array(times[times > 0])], names=["s", "codes", "times"])
+
+        return rows.select("s", "codes", "lo", "hi", "bucket").mapInArrow(run, f"s {kind}, codes array<int>, times long")
+
+    def release(self) -> None:
+        self.stored.drop()

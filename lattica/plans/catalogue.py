@@ -398,7 +398,7 @@ def weighted_sample(spark, d):
 
     rows = emb_w(spark, d)
     points = (np.arange(1, 65) - 0.5) / 64 * _n_eff(rows)
-    return PM.draw(PM.cumulative(rows), points).select("s", "times")
+    return PM.SampleIndex(rows).draw(points).select("s", "times")
 
 
 # Fits

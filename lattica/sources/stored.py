@@ -19,10 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
 class Stored:
     """A table on disk: it has no lineage, any executor reads any part, and it can be dropped when it has been replaced."""
 
-    def __init__(self, df: DataFrame, what: str) -> None:
+    def __init__(self, df: DataFrame, what: str, folders_by: str | None = None) -> None:
+        """``folders_by``: a column whose values get folders of their own, so that a filter on it reads only these."""
         spark = df.sparkSession
         self.path = f"{shared_folder(spark)}/lattica-{what}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.partitionBy(folders_by) if folders_by else df.write).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -192,5 +192,27 @@ def test_pairs_of_many_sites(spark):
 
 def test_draws_are_those_of_the_cumulative_weights(spark):
     rows = spark.createDataFrame([(i, [i], float(i)) for i in range(1, 5)], "s long, codes array<int>, w double")
-    got = {r.s: r.times for r in PM.draw(PM.cumulative(rows), np.array([0.5, 1.5, 2.5, 9.5])).collect()}
+    got = {r.s: r.times for r in PM.SampleIndex(rows).draw(np.array([0.5, 1.5, 2.5, 9.5])).collect()}
     assert got == {1: 1, 2: 2, 4: 1}
+
+
+def test_draws_read_the_buckets_that_they_hit(spark):
+    rng = np.random.RandomState(0)
+    w = rng.rand(500) * (rng.rand(500) < 0.9)
+    rows = spark.createDataFrame([(int(k), [int(k)], float(v)) for k, v in enumerate(w)], "s long, codes array<int>, w double").repartition(4)
+    index = PM.SampleIndex(rows, bucket_rows=20)
+    assert len(index.buckets) >= 25 and np.isclose(index.total, w.sum())
+    ends = np.cumsum(w)
+    for n in (3, 200):
+        points = rng.random_sample(n) * w.sum()
+        want = np.bincount(np.searchsorted(ends, points), minlength=500)
+        drawn = index.draw(points)
+        assert {r.s: r.times for r in drawn.collect()} == {k: c for k, c in enumerate(want) if c}
+    few = index.draw(np.array([0.1, 0.2, ends[-1] - 0.1]))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and len(few.inputFiles()) >= 1
+    few.collect()
+    scanned = [p for p in few._jdf.queryExecution().executedPlan().collectLeaves().mkString().split("PartitionFilters")]
+    assert len(scanned) > 1 and "bucket" in scanned[1]
+    assert index.draw(np.array([])).count() == 0
+    index.release()
