@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.alphabet import matches
+from lattica.sources.stored import Stored
 
 #: Bytes of distinct code rows, one a code up to 127 codes, that may be broadcast to the blocked kernel.
 BROADCAST_BYTES = 64 << 20
@@ -184,16 +186,34 @@ def effective_count(weights: DataFrame) -> float:
 
 
 def assign_clusters(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """(s, codes, cluster): the centre with most agreeing sites; a row's present cluster wins
-    ties, then the least cluster. ``centers`` (cluster, center) has a fixed number of rows."""
-    near = matches(F.col("codes"), F.col("center"))
-    current = F.when(F.col("cluster") == F.col("was"), 1).otherwise(0) if "was" in rows.columns else F.lit(0)
+    """``rows`` (s, codes, perhaps was) with cluster: the centre with most agreeing sites; a row's present cluster ``was``
+    wins ties, then the least cluster. ``centers`` (cluster, center) has a fixed number of rows; they are
+    broadcast, and rows meet them in place."""
+    found = sorted((r.cluster, r.center) for r in centers.collect())
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([c for c, _ in found], np.int32), np.array([x for _, x in found], np.int64)))
     keep = [c for c in rows.columns if c != "was"]
-    listed = centers.agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("centers"))
-    both = rows.join(F.broadcast(listed)).withColumn("c", F.explode("centers"))
-    both = both.select(*rows.columns, F.col("c.cluster").alias("cluster"), F.col("c.center").alias("center"))
-    best = F.max_by("cluster", F.struct(near, current, -F.col("cluster")))
-    return both.groupBy(*keep).agg(best.alias("cluster"))
+    present = F.col("was") if "was" in rows.columns else F.lit(None)
+    source = rows.select(*keep, present.cast("int").alias("_was"))
+    codes_at = keep.index("codes")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, center = shared.value
+        q = int(center.max(initial=0)) + 1
+        hot = one_hot(center, q, np.float32)
+        for batch in batches:
+            codes = _matrix(batch.column(codes_at), center.shape[1]).astype(np.int64)
+            was = batch.column(len(keep)).fill_null(-1).to_numpy()
+            best = np.empty(len(codes), np.int32)
+            for at in range(0, len(codes), 4096):
+                own = codes[at : at + 4096]
+                # a code that no centre has agrees with none of them
+                agree = one_hot(np.where(own < q, own, -1), q, np.float32) @ hot.T
+                agree = 2 * agree + (numbers[None] == was[at : at + 4096, None])
+                best[at : at + 4096] = numbers[agree.argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best)], names=[*keep, "cluster"])
+
+    return source.mapInArrow(run, f"{schema}, cluster int")
 
 
 def consensus(assigned: DataFrame) -> DataFrame:
@@ -222,7 +242,7 @@ def clustered_counts(assigned: DataFrame, centers: DataFrame, theta: float, n_si
 
 
 def reservoir(n: int, k: int, seed: int, compat: bool) -> list[int]:
-    """k of n row numbers by reservoir sampling; ``compat`` draws from one number too few."""
+    """k of n row numbers by reservoir sampling from one stream of numbers, row by row; ``compat`` draws from one number too few."""
     raw = np.random.MT19937()
     raw._legacy_seeding(seed)
     kept = list(range(min(k, n)))
@@ -233,27 +253,57 @@ def reservoir(n: int, k: int, seed: int, compat: bool) -> list[int]:
     return kept
 
 
+def sample_rows(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """(cluster, codes): k rows by priority: those whose keys have the least hashes. Each partition keeps its own k at most,
+    so partitions merge in any order and the rows' order doesn't matter."""
+    picked = rows.select("s", "codes").orderBy(F.xxhash64("s", F.lit(seed)), "s").limit(k).collect()
+    return rows.sparkSession.createDataFrame([(c, list(r.codes)) for c, r in enumerate(picked)], "cluster int, center array<int>")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``at``, their place by s from 0: places inside range partitions, and the sizes of those before."""
+    kept = rows.columns
+    sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n))], names=[*kept, "_part", "_row"])
+            row += n
+
+    placed = Stored(rows.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(run, f"{sql}, _part int, _row long"), "numbered").df
+    before, start = {}, 0
+    for r in sorted(placed.groupBy("_part").count().collect()):
+        before[r["_part"]] = start
+        start += r["count"]
+    base = rows.sparkSession.createDataFrame(sorted(before.items()), "_part int, _base long")
+    return placed.join(F.broadcast(base), "_part").select(*kept, (F.col("_row") + F.col("_base")).alias("at"))
+
+
 def clustered_weights(rows: DataFrame, theta: float, k: int, scale: float = 1.0, rounds: int = 10, seed: int = 42, compat: bool = False) -> DataFrame:
     """(s, w) by k-consensus clustering. Only the k centres reach the driver; with k rows or
-    fewer the exact counts are used."""
-    from pyspark.sql import Window
-
+    fewer the exact counts are used. ``compat`` starts from the rows that the reference's stream of numbers picks,
+    which is drawn row by row; else rows are picked by priority."""
     n = rows.count()
-    order = rows.select("s", (F.row_number().over(Window.orderBy("s")) - 1).alias("at"))
-    picked = reservoir(n, k, seed, compat)
-    at = rows.sparkSession.createDataFrame([(c, int(r)) for c, r in enumerate(picked)], "cluster int, at long")
-    centers = rows.join(order.join(F.broadcast(at), "at"), "s").select("cluster", F.col("codes").alias("center"))
-    centers = _fixed(centers)
-    assigned = rows
-    for r in range(rounds):
-        assigned = assign_clusters(assigned, centers)
-        if r + 1 < rounds:
-            # an empty cluster keeps its centre
-            new = as_centers(consensus(assigned)).withColumnRenamed("center", "new")
-            centers = _fixed(centers.join(new, "cluster", "left").select("cluster", F.coalesce("new", "center").alias("center")))
-            assigned = assigned.withColumnRenamed("cluster", "was")
+    if n <= k:
+        q = (rows.agg(F.max(F.array_max("codes"))).first()[0] or 0) + 1
+        return sequence_weights(rows, theta, q, scale)
+    if compat:
+        picked = rows.sparkSession.createDataFrame([(c, int(r)) for c, r in enumerate(reservoir(n, k, seed, True))], "cluster int, at long")
+        centers = _fixed(numbered(rows).join(F.broadcast(picked), "at").select("cluster", F.col("codes").alias("center")))
+    else:
+        centers = sample_rows(rows, k, seed)
+    assigned = Stored(assign_clusters(rows.select("s", "codes"), centers), "clusters")
+    for _ in range(rounds - 1):
+        # an empty cluster keeps its centre
+        new = as_centers(consensus(assigned.df)).withColumnRenamed("center", "new")
+        centers = _fixed(centers.join(new, "cluster", "left").select("cluster", F.coalesce("new", "center").alias("center")))
+        before, assigned = assigned, Stored(assign_clusters(assigned.df.withColumnRenamed("cluster", "was"), centers), "clusters")
+        before.drop()
     n_sites = len(centers.first().center)
-    counts = clustered_counts(assigned, centers, theta, n_sites)
+    counts = clustered_counts(assigned.df, centers, theta, n_sites)
     return counts.select("s", (F.lit(float(scale)) / F.col("n")).alias("w"))
 
 
