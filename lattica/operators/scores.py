@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.optimize import lbfgs
+
 
 def coupling_norms(couplings: DataFrame, codes: list[int] | None = None) -> DataFrame:
     """(i, j, fn): Frobenius norm of each pair's matrix, over a subset of codes if given."""
@@ -97,78 +99,110 @@ def score_quantile(scores: DataFrame, column: str, share: float) -> DataFrame:
 # Mixture of background and signal --------------------------------------------------------
 
 
-def _phi(z: np.ndarray) -> np.ndarray:
-    return np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+def _log_phi(z: np.ndarray) -> np.ndarray:
+    return -0.5 * z * z - 0.5 * math.log(2 * math.pi)
+
 
+def _log_cdf(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the normal distribution function, also far in the lower tail."""
+    out = np.empty_like(z)
+    far = z < -8
+    out[~far] = np.log(0.5 * np.array([math.erfc(v) for v in (-z[~far] / math.sqrt(2)).tolist()]))
+    t = z[far]
+    out[far] = _log_phi(t) - np.log(-t) + np.log1p(-1 / t**2 + 3 / t**4)
+    return out
 
-def _cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
 
+def zero_mean_place(width: float, skew: float) -> float:
+    """Where a skew-normal density with mean zero has its place."""
+    return -width * skew / math.sqrt(1 + skew * skew) * math.sqrt(2 / math.pi)
 
-def skew_normal(x: np.ndarray, at: float, width: float, skew: float) -> np.ndarray:
-    z = (x - at) / width
-    return 2 / width * _phi(z) * _cdf(skew * z)
+
+def log_skew_normal(x: np.ndarray, width: float, skew: float) -> np.ndarray:
+    """Of mean zero."""
+    z = (x - zero_mean_place(width, skew)) / width
+    return math.log(2 / width) + _log_phi(z) + _log_cdf(skew * z)
 
 
 def log_normal(x: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     out = np.zeros_like(x)
     ok = x > 0
-    out[ok] = _phi((np.log(x[ok]) - mu) / sigma) / (x[ok] * sigma)
+    out[ok] = np.exp(_log_phi((np.log(x[ok]) - mu) / sigma)) / (x[ok] * sigma)
     return out
 
 
 class Mixture:
-    """Skew-normal background and log-normal signal, fitted by expectation maximisation to
-    one score per pair of sites."""
+    """Skew-normal background of mean zero and log-normal signal, fitted by maximum likelihood to one score per pair of
+    sites, by expectation maximisation. Share, mu and sigma have closed forms; width and skew of the background are
+    found by minimising their weighted negative log likelihood, so the likelihood never falls."""
+
+    #: Least sigma: a signal of one point would have any likelihood.
+    LEAST_SIGMA = 0.02
 
-    def __init__(self, scores: np.ndarray, rounds: int = 200) -> None:
+    def __init__(self, scores: np.ndarray, rounds: int = 200, tolerance: float = 1e-4) -> None:
         x = np.sort(np.asarray(scores, float))
         n = len(x)
-        top = np.interp(0.99 * n + 0.5, np.arange(1, n + 1), x)
-        tail = x[x >= top]
-        tail = tail[tail > 0] if (tail > 0).any() else np.array([abs(x[-1]) + 1e-6])
-        self.share = 0.99
-        self.at, self.width, self.skew = float(np.median(x)), float(x.std(ddof=1)) or 1e-6, 0.0
-        self.mu, self.sigma = float(np.log(tail).mean()), max(float(np.log(tail).std()), 0.1)
-        last = -np.inf
+        sd = float(x.std(ddof=1)) or 1e-6
+        top = float(np.interp(0.99 * n + 0.5, np.arange(1, n + 1), x))
+        top = top if top > 0 else abs(float(x[-1])) or 1e-6
+        tail = np.log(x[x >= top]) if x[-1] > 0 else np.zeros(1)
+        # even shares with the signal at the 99th percentile, and the upper hundredth as the signal: the likelier end stays
+        starts = [(0.5, sd, 0.0, math.log(top), 0.1), (0.99, sd, 0.0, float(tail.mean()), max(float(tail.std()), 0.1))]
+        self._best(max((self._fitted(x, s, rounds, tolerance) for s in starts), key=lambda r: r[1][-1]))
+
+    def _best(self, found: tuple[tuple, list[float]]) -> None:
+        (self.share, self.width, self.skew, self.mu, self.sigma), self.likelihoods = found
+
+    def _fitted(self, x: np.ndarray, start: tuple, rounds: int, tolerance: float) -> tuple[tuple, list[float]]:
+        self.share, self.width, self.skew, self.mu, self.sigma = start
+        reached = [self.log_likelihood(x)]
         for _ in range(rounds):
             own = 1 - self.posterior(x)
-            self._background(x, own)
-            rest = (1 - own) * (x > 0)
+            self.share = float(own.mean())
+            rest, logs = (1 - own)[x > 0], np.log(x[x > 0])
             if rest.sum() > 1e-9:
-                logs = np.log(np.where(x > 0, x, 1.0))
                 self.mu = float((rest * logs).sum() / rest.sum())
-                self.sigma = max(math.sqrt(float((rest * (logs - self.mu) ** 2).sum() / rest.sum())), 1e-3)
-            self.share = float(own.mean())
-            now = float(np.log(np.maximum(self.density(x), 1e-300)).sum())
-            if abs(now - last) < 1e-8 * abs(now):
+                self.sigma = max(math.sqrt(float((rest * (logs - self.mu) ** 2).sum() / rest.sum())), self.LEAST_SIGMA)
+            self._background(x, own)
+            reached.append(self.log_likelihood(x))
+            if reached[-1] - reached[-2] <= tolerance:
                 break
-            last = now
+        return (self.share, self.width, self.skew, self.mu, self.sigma), reached
 
     def _background(self, x: np.ndarray, own: np.ndarray) -> None:
-        """Moments of the weighted background give place, width and skew."""
-        total = own.sum()
-        mean = float((own * x).sum() / total)
-        sd = math.sqrt(float((own * (x - mean) ** 2).sum() / total)) or 1e-9
-        g = float((own * ((x - mean) / sd) ** 3).sum() / total)
-        g = max(-0.99, min(0.99, g))
-        c = (abs(g) * 2 / (4 - math.pi)) ** (2 / 3)
-        delta = math.copysign(min(math.sqrt(math.pi / 2 * c / (1 + c)), 0.999), g)
-        self.skew = delta / math.sqrt(1 - delta * delta)
-        self.width = sd / math.sqrt(1 - 2 * delta * delta / math.pi)
-        self.at = mean - self.width * delta * math.sqrt(2 / math.pi)
-
-    def density(self, x: np.ndarray) -> np.ndarray:
-        return self.share * skew_normal(x, self.at, self.width, self.skew) + (1 - self.share) * log_normal(x, self.mu, self.sigma)
+        """Width (by its logarithm, so that it stays positive) and skew."""
+        total = max(float(own.sum()), 1e-12)
+
+        def weighted(p: np.ndarray) -> tuple[float, np.ndarray]:
+            width, skew = math.exp(p[0]), float(p[1])
+            z = (x - zero_mean_place(width, skew)) / width
+            tail = _log_cdf(skew * z)
+            mills = np.exp(_log_phi(skew * z) - tail)
+            by_width, by_skew = -x / width, math.sqrt(2 / math.pi) * (1 + skew * skew) ** -1.5
+            value = -(own * (math.log(2) - p[0] + _log_phi(z) + tail)).sum()
+            g0 = (own * (1 + z * by_width - mills * skew * by_width)).sum()
+            g1 = (own * (z * by_skew - mills * (skew * by_skew + z))).sum()
+            return float(value) / total, np.array([g0, g1]) / total
+
+        # no skew is a stationary point whatever the scores, so both sides of it are tried
+        starts = [self.skew] if self.skew else [0.0, 1.0, -1.0]
+        found = min((lbfgs(weighted, np.array([math.log(self.width), k]), 100, 1e-8) for k in starts), key=lambda r: r.value)
+        self.width, self.skew = math.exp(found.x[0]), float(found.x[1])
+
+    def background(self, x: np.ndarray) -> np.ndarray:
+        return self.share * np.exp(log_skew_normal(x, self.width, self.skew))
+
+    def log_likelihood(self, x: np.ndarray) -> float:
+        return float(np.log(np.maximum(self.background(x) + (1 - self.share) * log_normal(x, self.mu, self.sigma), 1e-300)).sum())
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         """Probability that a score is signal."""
         signal = (1 - self.share) * log_normal(x, self.mu, self.sigma)
-        return signal / np.maximum(signal + self.share * skew_normal(x, self.at, self.width, self.skew), 1e-300)
+        return signal / np.maximum(signal + self.background(x), 1e-300)
 
     def cutoff(self, probability: float = 0.99, top: float | None = None) -> float:
-        """The score at which the posterior reaches ``probability``, by bisection."""
-        lo, hi = self.at, top if top is not None else self.at + 50 * self.width
+        """The score at which the posterior reaches ``probability``, by bisection; ``top`` where no score does."""
+        lo, hi = 0.0, top if top is not None else 50 * self.width
         for _ in range(200):
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if self.posterior(np.array([mid]))[0] >= probability else (mid, hi)

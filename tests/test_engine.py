@@ -169,6 +169,14 @@ def test_mixture_finds_planted_signal():
     m = S.Mixture(np.concatenate([rng.randn(3000) * 0.1, 1 + rng.rand(30)]))
     cut = m.cutoff(0.99, 2.0)
     assert 0.2 < cut < 1.0
+    assert all(b >= a - 1e-9 for a, b in zip(m.likelihoods, m.likelihoods[1:]))
+
+
+def test_skew_normal_has_mean_zero_and_mass_one():
+    x = np.linspace(-3, 3, 60001)
+    for width, skew in ((0.2, 0.0), (0.3, 4.0), (0.1, -30.0)):
+        f = np.exp(S.log_skew_normal(x, width, skew))
+        assert abs(f.sum() * 1e-4 - 1) < 1e-6 and abs((x * f).sum() * 1e-4) < 1e-6
 
 
 def test_streaming_counts_equal_batch(spark, tmp_path):

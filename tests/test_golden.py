@@ -82,3 +82,38 @@ def test_published_couplings_are_read_sorted_and_written_alike(spark, tmp_path):
     out = str(tmp_path / "again")
     sinks.write_text(sinks.coupling_lines(rows), out)
     assert Path(out).read_bytes() == Path(path).read_bytes()
+
+
+def test_mixture_of_the_published_scores_is_a_maximum(spark):
+    """No small change of any parameter raises the likelihood, computed here by other formulas; the cutoff has the asked posterior."""
+    import math
+
+    import numpy as np
+
+    from lattica.operators.scores import Mixture
+
+    x = np.array([r.score for r in fasta.read_couplings(spark, example("*.couplings")).select("score").collect()])
+    m = Mixture(x, tolerance=1e-9, rounds=2000)
+    assert all(b >= a - 1e-6 for a, b in zip(m.likelihoods, m.likelihoods[1:]))
+
+    def densities(v, share, width, skew, mu, sigma):
+        z = v / width + skew / math.sqrt(1 + skew**2) * math.sqrt(2 / math.pi)
+        noise = 2 / width * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * 0.5 * math.erfc(-skew * z / math.sqrt(2))
+        signal = math.exp(-((math.log(v) - mu) ** 2) / (2 * sigma**2)) / (v * sigma * math.sqrt(2 * math.pi)) if v > 0 else 0.0
+        return share * noise, (1 - share) * signal
+
+    def likelihood(p):
+        return sum(math.log(sum(densities(v, *p))) for v in x.tolist())
+
+    p = [m.share, m.width, m.skew, m.mu, m.sigma]
+    best = likelihood(p)
+    assert best == pytest.approx(m.likelihoods[-1], abs=1e-4)
+    for k in range(5):
+        for change in (-0.02, 0.02):
+            moved = list(p)
+            moved[k] += change * abs(moved[k])
+            moved[0] = min(moved[0], 1 - 1e-9)
+            assert likelihood(moved) < best
+    cut = m.cutoff(0.99, float(x.max()))
+    noise, signal = densities(cut, *p)
+    assert signal / (noise + signal) == pytest.approx(0.99, abs=1e-6) and 0 < (x > cut).sum() < len(x) / 10
