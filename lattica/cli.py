@@ -54,19 +54,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.master(f"local[{threads}]").appName("lattica").getOrCreate()
     done = pipeline.run(spark, fasta.read_fasta(spark, a.alignment), options(a), a.weights)
     for h in done.model.result.history:
-        print("{iteration}\t{value:.4f}\t{gradient:.4f}\t{size:.4f}".format(**h), file=sys.stderr)
+        print("{iteration}\t{seconds:.2f}\t{gradient:.4f}\t{value:.4f}\t{h_norm:.4f}\t{e_norm:.4f}".format(**h), file=sys.stderr)
     print(f"{done.model.result.status.value}: {done.model.result.value:.6f}", file=sys.stderr)
     if a.couplings:
         sinks.write_text(sinks.coupling_lines(done.table()), a.couplings)
     if a.save_weights:
         sinks.write_text(sinks.weight_lines(done.weights), a.save_weights)
-    if a.output or a.json:
-        parameters = done.parameters()
-        if a.output:
-            sinks.write_parameters(parameters, a.output)
-        if a.json:
-            scores = done.model.scores()
-            Path(a.json).write_text(sinks.export_json(parameters, scores, mixture_cutoff(scores).first().cutoff))
+    if a.output:
+        done.write_parameters(a.output)
+    if a.json:
+        scores = done.model.scores()
+        Path(a.json).write_text(sinks.export_json(done.parameters(), scores, mixture_cutoff(scores).first().cutoff))
+    done.release()
     return 0
 
 

@@ -52,6 +52,17 @@ class PairModel:
         columns = {k: pa.array(v.astype(np.int32)) for k, v in ints.items()} | {k: pa.array(v) for k, v in doubles.items()}
         return self.spark.createDataFrame(pa.table(columns))
 
+    def progress(self) -> DataFrame:
+        """(iteration, seconds, value, gradient, size, h_norm, e_norm, h_gradient, e_gradient, step, evaluations) of each iteration."""
+        kinds = {"iteration": "int", "evaluations": "int"}
+        names = ("iteration", "seconds", "value", "gradient", "size", "h_norm", "e_norm", "h_gradient", "e_gradient", "step", "evaluations")
+        rows = [tuple(h[k] if k in kinds else float(h[k]) for k in names) for h in self.result.history]
+        return self.spark.createDataFrame(rows, ", ".join(f"{k} {kinds.get(k, 'double')}" for k in names))
+
+    def release(self) -> None:
+        """Give back the cached rows; tables of the model that were asked for stay readable from their sources."""
+        self.rows.unpersist()
+
     def scores(self) -> DataFrame:
         """(i, j, fn, cn); after a two-stage fit cn is the norm itself."""
         norms = S.coupling_norms(self.couplings())
@@ -69,7 +80,16 @@ class TiledModel(PairModel):
     """A model whose parameters stay in a table of tiles; ``x`` is empty."""
 
     layout: T.Layout
-    tiles: DataFrame
+    stored: Stored
+
+    @property
+    def tiles(self) -> DataFrame:
+        return self.stored.df
+
+    def release(self) -> None:
+        """Give back the cached rows and delete the parameters' table."""
+        super().release()
+        self.stored.drop()
 
     def fields(self) -> DataFrame:
         return T.field_rows(self.tiles, self.layout)
@@ -105,11 +125,11 @@ def fit(rows: DataFrame, n_sites: int, q: int, o: Options = Options()) -> PairMo
     model = PairModel(rows, shape, o, n_eff, np.zeros(0), Result(np.zeros(0), 0.0, None))
     x = start(sites, shape, n_eff, fields=not o.two_stage)
     if o.stochastic:
-        result = adam(objective, x, o.max_iter, o.compat)
+        result = adam(objective, x, o.max_iter, o.compat, n_fields=shape.n_fields)
         objective.index.release()
     else:
         objective.frozen = o.two_stage
-        result = lbfgs(objective, x, o.max_iter, o.epsilon, o.history)
+        result = lbfgs(objective, x, o.max_iter, o.epsilon, o.history, n_fields=shape.n_fields)
     model.x, model.result = result.x, result
     if o.two_stage:
         # couplings' variances beyond the background set each pair's precision, then fields are freed
@@ -118,7 +138,7 @@ def fit(rows: DataFrame, n_sites: int, q: int, o: Options = Options()) -> PairMo
         for r in priors.collect():
             objective.lambda_e[at[r.i, r.j]] = r["lambda"]
         objective.frozen = False
-        result = lbfgs(objective, start(sites, shape, n_eff), o.max_iter, o.epsilon, o.history)
+        result = lbfgs(objective, start(sites, shape, n_eff), o.max_iter, o.epsilon, o.history, n_fields=shape.n_fields)
         model.x, model.result = result.x, result
     return model
 
@@ -157,7 +177,7 @@ def fit_tiled(rows: DataFrame, sites: DataFrame, shape: Shape, n_eff: float, o:
         before.table.drop()
     objective.release()
     result = Result(np.zeros(0), found.value, found.status, found.history)
-    return TiledModel(rows, shape, o, n_eff, np.zeros(0), result, layout, found.table.df)
+    return TiledModel(rows, shape, o, n_eff, np.zeros(0), result, layout, found.table)
 
 
 class Bootstrap(Objective):

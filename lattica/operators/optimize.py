@@ -3,6 +3,7 @@ Larger models are fitted by :mod:`lattica.operators.tiled`."""
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -56,11 +57,12 @@ def backtracking_step(fn: Function, x: np.ndarray, f: float, g: np.ndarray, dire
     return _step(backtracking, fn, x, f, g, direction, step)
 
 
-def lbfgs(fn: Function, x: np.ndarray, max_iter: int = 0, epsilon: float = 1e-3, memory: int = 6, search=wolfe_step, l1: float = 0.0, l1_from: int = 0) -> Result:
-    """Minimise ``fn``; stops when the gradient is ``epsilon`` of max(1, size of x).
+def lbfgs(fn: Function, x: np.ndarray, max_iter: int = 0, epsilon: float = 1e-3, memory: int = 6, search=wolfe_step, l1: float = 0.0, l1_from: int = 0, n_fields: int = 0) -> Result:
+    """Minimise ``fn``; stops when the gradient is ``epsilon`` of max(1, size of x). The history has the sizes of the
+    first ``n_fields`` entries and of the others by themselves as well.
 
     ``l1`` adds an L1 penalty on x[l1_from:] by the orthant-wise method (Andrew and Gao 2007)."""
-    x = x.copy()
+    began, x = time.monotonic(), x.copy()
     f, g = fn(x)
     penalised = (lambda z, v: v + l1 * float(np.abs(z[l1_from:]).sum())) if l1 else (lambda z, v: v)
     f = penalised(x, f)
@@ -88,7 +90,7 @@ def lbfgs(fn: Function, x: np.ndarray, max_iter: int = 0, epsilon: float = 1e-3,
         x, g = new, new_g
         pseudo = _pseudo_gradient(x, g, l1, l1_from)
         norm_x, norm_g = float(np.linalg.norm(x)), float(np.linalg.norm(pseudo))
-        result.history.append({"iteration": t, "value": f, "gradient": norm_g, "size": norm_x, "step": float(step), "evaluations": evaluations})
+        result.history.append({"iteration": t, "value": f, "gradient": norm_g, "size": norm_x, "step": float(step), "evaluations": evaluations} | _progress(began, x, pseudo, n_fields))
         result.x, result.value = x, f
         if norm_g <= epsilon * max(1.0, norm_x):
             return result
@@ -137,11 +139,16 @@ def _orthant_step(fn, penalised, x, f, pseudo, direction, step, at, p: Search =
     return None
 
 
-def adam(fn: Function, x: np.ndarray, max_iter: int, compat: bool = False, rate: float = 0.01, stop: float = 0.01) -> Result:
+def _progress(began: float, x: np.ndarray, g: np.ndarray, n: int) -> dict:
+    norm = lambda v: float(np.linalg.norm(v))
+    return {"seconds": time.monotonic() - began, "h_norm": norm(x[:n]), "e_norm": norm(x[n:]), "h_gradient": norm(g[:n]), "e_gradient": norm(g[n:])}
+
+
+def adam(fn: Function, x: np.ndarray, max_iter: int, compat: bool = False, rate: float = 0.01, stop: float = 0.01, n_fields: int = 0) -> Result:
     """Adam with rate halved every 50 steps; returns the running mean of x. At least one step is
     taken. The mean is corrected for its start at zero unless ``compat``."""
     first, second, mean = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
-    x, history, t = x.copy(), [], 0
+    x, history, t, began = x.copy(), [], 0, time.monotonic()
     while True:
         t += 1
         f, g = fn(x)
@@ -151,7 +158,7 @@ def adam(fn: Function, x: np.ndarray, max_iter: int, compat: bool = False, rate:
         x = x - rate * 0.5 ** (t // 50) * step
         mean = 0.9 * mean + 0.1 * x
         slope = float(np.abs(first / (1 - 0.9**t)).mean())
-        history.append({"iteration": t, "value": f, "gradient": slope, "size": float(np.linalg.norm(x)), "step": rate, "evaluations": 1})
+        history.append({"iteration": t, "value": f, "gradient": slope, "size": float(np.linalg.norm(x)), "step": rate, "evaluations": 1} | _progress(began, x, g, n_fields))
         if slope <= stop or t >= max_iter:
             out = mean if compat else mean / (1 - 0.9**t)
             return Result(out, f, Status.CONVERGED if slope <= stop else Status.MAX_ITERATIONS, history)

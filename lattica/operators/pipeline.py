@@ -13,7 +13,7 @@ from lattica.operators import scores as S
 from lattica.operators import weights as W
 from lattica.operators.model import PairModel, fit
 from lattica.options import Options
-from lattica.sources import fasta, sinks
+from lattica.sources import fasta, formats, sinks
 
 
 @dataclass
@@ -26,6 +26,24 @@ class Run:
         a = self.alignment
         return S.coupling_table(self.model.scores(), a.offsets, a.focus_letters)
 
+    def write_parameters(self, path: str) -> None:
+        """The parameter file, from tables; only its header is made on the driver."""
+        a, m, o = self.alignment, self.model, self.model.options
+        n = m.shape.n_sites
+        sites, pairs = m.marginals()
+        kept = a.raw.where("valid").count()
+        scale = F.lit(1.0 if o.compat else o.scale * o.scale)
+        neighbors = self.weights.select("s", F.when(F.col("weight") > 0, scale / (F.col("weight") * F.lit(o.scale))).otherwise(0.0).alias("n"))
+        letters = a.letters[1:] if o.gap_reduce else a.letters
+        header = formats.Header(
+            n, kept, a.raw.count() - kept, o.max_iter, o.theta, o.lambda_h, o.lambda_e, o.lambda_group, m.n_eff, letters,
+            "".join(a.focus_letters or [a.letters[0]] * n), tuple(int(x) for x in a.offsets))
+        formats.write_parameters(
+            header, neighbors, m.fields().join(sites, ["i", "a"]), m.couplings().join(pairs, ["i", "j", "a", "b"]), path)
+
+    def release(self) -> None:
+        self.model.release()
+
     def parameters(self) -> sinks.Parameters:
         a, m, o = self.alignment, self.model, self.model.options
         n, q = m.shape.n_sites, m.shape.q

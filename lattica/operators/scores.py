@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.optimize import lbfgs
+from lattica.operators.weights import numbered
 
 
 def coupling_norms(couplings: DataFrame, codes: list[int] | None = None) -> DataFrame:
@@ -88,12 +89,48 @@ def logo(sites: DataFrame, n_codes: int, least: float = 0.01) -> DataFrame:
 
 
 def score_quantile(scores: DataFrame, column: str, share: float) -> DataFrame:
-    """One row (value): the quantile whose k-th least value stands for (k - 0.5) / n, linear between."""
-    ranked = scores.select(F.col(column).alias("x"), F.row_number().over(Window.orderBy(column)).alias("k"))
-    sized = ranked.join(F.broadcast(scores.agg(F.count(F.lit(1)).alias("n"))))
-    place = F.least(F.greatest(F.lit(float(share)) * F.col("n") + 0.5, F.lit(1.0)), F.col("n").cast("double"))
-    weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("k") - place))
-    return sized.agg(F.sum(F.col("x") * weight).alias("value"))
+    """One row (value): the quantile whose k-th least value stands for (k - 0.5) / n, linear between. Values are dealt by ranges
+    and get their rank from the sizes of the ranges before; only the one or two around the place are read."""
+    ranked = numbered(scores.select(F.col(column).alias("s")).where(F.col(column).isNotNull()))
+    n = ranked.count()
+    place = min(max(share * n + 0.5, 1.0), float(max(n, 1)))
+    weight = F.lit(1.0) - F.abs(F.col("at") + 1 - F.lit(place))
+    return ranked.where(weight > 0).agg(F.sum(F.col("s") * weight).alias("value"))
+
+
+def strong_cells(couplings: DataFrame, scores: DataFrame, cutoff: float, share: float = 0.1) -> DataFrame:
+    """(i, j, a, b, e) of pairs whose cn is above ``cutoff``: rows and columns of their matrices that reach ``share`` of the
+    largest coupling of the model."""
+    top = couplings.agg((F.max(F.abs("e")) * F.lit(share)).alias("least"))
+    own = couplings.join(scores.where(F.col("cn") > cutoff).select("i", "j"), ["i", "j"]).join(F.broadcast(top))
+    row = F.max(F.abs("e")).over(Window.partitionBy("i", "j", "a"))
+    column = F.max(F.abs("e")).over(Window.partitionBy("i", "j", "b"))
+    kept = own.withColumn("row", row).withColumn("column", column).where((F.col("row") > F.col("least")) & (F.col("column") > F.col("least")))
+    return kept.select("i", "j", "a", "b", "e")
+
+
+def permuted(couplings: DataFrame, order: list[int]) -> DataFrame:
+    """``couplings`` with each code as its place in ``order``."""
+    place = F.array(*[F.lit(order.index(c)) for c in range(len(order))])
+    return couplings.withColumn("a", F.get(place, F.col("a"))).withColumn("b", F.get(place, F.col("b")))
+
+
+def score_matrix(scores: DataFrame, column: str, n_sites: int) -> DataFrame:
+    """(i, row): the symmetric matrix of a score by its rows, zero on the diagonal."""
+    both = mirrored(scores.select("i", "j", F.col(column).alias("x")))
+    cells = both.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("cells"))
+    return cells.select("i", F.transform(F.sequence(F.lit(1), F.lit(n_sites)), lambda j: F.coalesce(F.try_element_at("cells", j), F.lit(0.0))).alias("row"))
+
+
+def score_histogram(scores: DataFrame, column: str, bins: int) -> DataFrame:
+    """(bin, lo, hi, n) of equal bins from the least score to the largest, empty ones as well."""
+    ends = scores.agg(F.min(column).alias("least"), F.max(column).alias("most"))
+    width = (F.col("most") - F.col("least")) / bins
+    at = F.when(F.col("most") > F.col("least"), F.least(F.floor((F.col(column) - F.col("least")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    counts = scores.join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(ends))
+    every = every.select("bin", (F.col("least") + F.col("bin") * width).alias("lo"), (F.col("least") + (F.col("bin") + 1) * width).alias("hi"))
+    return every.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Mixture of background and signal --------------------------------------------------------

@@ -13,6 +13,7 @@ which it finds the coefficients of the next direction (Chen, Wang and Zhou 2014,
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -345,12 +346,12 @@ def coupling_rows(tiles: DataFrame, layout: Layout, column: str = "x") -> DataFr
 
 # Limited-memory BFGS by dot products ---------------------------------------------------------
 
-_STATE = "i int, j int, lam binary, x binary, g binary, s array<binary>, y array<binary>, dots array<double>"
+_STATE = "i int, j int, lam binary, x binary, g binary, s array<binary>, y array<binary>, dots array<double>, h double, hg double"
 
 
-def _next_state(before: DataFrame | None, trial: DataFrame, lam: DataFrame, keep: list[int]) -> DataFrame:
+def _next_state(before: DataFrame | None, trial: DataFrame, lam: DataFrame, keep: list[int], layout: Layout) -> DataFrame:
     """Tiles after a step: the remembered pairs at the places ``keep`` and the new one; ``dots`` are the tile's products of
-    all s, all y, the gradient and the parameters with each other."""
+    all s, all y, the gradient and the parameters with each other, h and hg the squares of its fields and of their gradient."""
     new = trial.select("i", "j", "x", "g")
     if before is None:
         none = F.array().cast("array<binary>")
@@ -370,7 +371,9 @@ def _next_state(before: DataFrame | None, trial: DataFrame, lam: DataFrame, keep
                 basis = np.stack([*map(_vector, s), *map(_vector, y), g, x])
                 columns = [pa.array([r[k]], pa.int32()) for k in ("i", "j")] + [pa.array([r[k]], pa.binary()) for k in ("lam", "x", "g")]
                 columns += [pa.array([v], pa.list_(pa.binary())) for v in (s, y)] + [pa.array([(basis @ basis.T).ravel()], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "lam", "x", "g", "s", "y", "dots"])
+                h, hg = (layout.split(v, r["i"], r["j"])[0] for v in (x, g))
+                columns += [pa.array([float((v * v).sum())]) for v in (h, hg)]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "lam", "x", "g", "s", "y", "dots", "h", "hg"])
 
     return both.mapInArrow(run, _STATE)
 
@@ -419,6 +422,12 @@ def _points(state: DataFrame, coefficients: np.ndarray, step: float) -> DataFram
     return state.select("i", "j", "lam", "x", "g", "s", "y").mapInArrow(run, "i int, j int, lam binary, x binary, d binary")
 
 
+def _norms(dots: np.ndarray, fields: dict) -> dict:
+    """Sizes of fields and couplings and of their gradients, from the sums over all tiles."""
+    rest = {"e_norm": dots[-1, -1] - fields["h"], "e_gradient": dots[-2, -2] - fields["hg"]}
+    return {k: float(np.sqrt(max(v, 0.0))) for k, v in {"h_norm": fields["h"], "h_gradient": fields["hg"], **rest}.items()}
+
+
 @dataclass
 class TiledResult:
     table: Stored  # (i, j, lam, x, g, s, y, dots)
@@ -429,9 +438,10 @@ class TiledResult:
 
 def minimise(objective: TiledObjective, start: DataFrame, max_iter: int = 0, epsilon: float = 1e-3, memory: int = 6, search: Search = Search()) -> TiledResult:
     """Limited-memory BFGS from ``start`` (i, j, lam, x); the same iterates as :func:`lattica.operators.optimize.lbfgs`."""
+    layout, began = objective.layout, time.monotonic()
     first = Stored(start, "fit-start")
     found = objective.at(first.df.select("i", "j", "lam", "x", F.lit(None).cast("binary").alias("d")))
-    state = Stored(_next_state(None, found.table.df, first.df, []), "fit-state")
+    state = Stored(_next_state(None, found.table.df, first.df, [], layout), "fit-state")
     first.drop()
     found.table.drop()
     dots, use, value = _dots(state.df), [], found.value
@@ -458,14 +468,15 @@ def minimise(objective: TiledObjective, start: DataFrame, max_iter: int = 0, eps
         t += 1
         trial, value = seen[0].table, seen[0].value
         keep = use[-(memory - 1) :] if memory > 1 else []
-        after = Stored(_next_state(state.df, trial.df, None, keep), "fit-state")
+        sums = Observation()
+        after = Stored(_next_state(state.df, trial.df, None, keep, layout).observe(sums, F.sum("h").alias("h"), F.sum("hg").alias("hg")), "fit-state")
         state.drop()
         trial.drop()
         state, dots = after, _dots(after.df)
         m = (len(dots) - 2) // 2
         use = [k for k in range(m) if dots[k, m + k] > 0]
         result.table, result.value = state, value
-        result.history.append({"iteration": t, "value": value, "gradient": size(-2), "size": size(-1), "step": float(found_step[0]), "evaluations": found_step[1]})
+        result.history.append({"iteration": t, "value": value, "gradient": size(-2), "size": size(-1), "step": float(found_step[0]), "evaluations": found_step[1], "seconds": time.monotonic() - began} | _norms(dots, sums.get))
         if size(-2) <= epsilon * max(1.0, size(-1)):
             return result
         if max_iter and t >= max_iter:

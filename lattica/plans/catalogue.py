@@ -388,6 +388,25 @@ def score_stats(spark, d):
         _r("sd").alias("sd"), _r("top").alias("top"), _r("value").alias("p99"))
 
 
+def strong_cells(spark, d):
+    e = _covariances(spark, d)[2].cache()
+    scores = S.apc_scores(S.coupling_norms(e), SITES)
+    return S.strong_cells(e, scores, 0.01, 0.5).select("i", "j", "a", "b", _r("e").alias("e"))
+
+
+def permuted_couplings(spark, d):
+    return S.permuted(_covariances(spark, d)[2], [2, 0, 1]).select("i", "j", "a", "b", _r("e").alias("e"))
+
+
+def score_matrix(spark, d):
+    rows = S.score_matrix(_scores(spark, d), "cn", SITES).select("i", F.posexplode("row").alias("at", "x"))
+    return rows.select("i", (F.col("at") + 1).alias("j"), _r("x").alias("cn"))
+
+
+def score_histogram(spark, d):
+    return S.score_histogram(_scores(spark, d), "cn", 20).select("bin", _r("lo").alias("lo"), _r("hi").alias("hi"), "n")
+
+
 def mixture_cutoff(spark, d):
     return S.mixture_cutoff(_scores(spark, d))
 
@@ -428,6 +447,11 @@ def fit_adam(spark, d):
     return _fit(spark, d, stochastic=True, max_iter=50)
 
 
+def fit_progress(spark, d):
+    m = PM.fit(emb_w(spark, d), SITES, Q, Options(lambda_h=LAMBDA_H, lambda_e=LAMBDA_E))
+    return m.progress().select("iteration", "evaluations", *(_r(c, 3).alias(c) for c in ("value", "gradient", "h_norm", "e_norm", "h_gradient", "e_gradient", "step")))
+
+
 def fit_on_executors(spark, d):
     """To the optimum by tiles, with the default settings."""
     m = PM.fit(emb_w(spark, d), SITES, Q, Options(local_cells=0))
@@ -442,7 +466,7 @@ _QUERIES = (
     column_information, pair_covariances, nll_init, grad_fields_init, grad_couplings_init, potentials, site_conditionals,
     objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, grad_gap_fields, grad_gap_couplings, gradient_norms, group_penalty, parameter_norms,
     coupling_norms, coupling_norms_slice, apc_scores, coupling_table, top_couplings, couplings_above, variance_priors, prior_stats,
-    logo_bits, score_stats, mixture_cutoff, weighted_sample, fit_lbfgs, fit_gapreduce, fit_group, fit_twostage, fit_adam, fit_on_executors,
+    logo_bits, score_stats, strong_cells, permuted_couplings, score_matrix, score_histogram, mixture_cutoff, weighted_sample, fit_lbfgs, fit_gapreduce, fit_group, fit_twostage, fit_adam, fit_progress, fit_on_executors,
 )
 
 

@@ -205,6 +205,17 @@ ORACLES: dict[str, str] = {
     "score_stats": _sql("cn", f"""SELECT {_r('(SELECT stddev_samp(cn) FROM cn)')} AS sd, {_r('(SELECT max(cn) FROM cn)')} AS top,
         {_r('sum(cn * greatest(0.0, 1 - abs(k - least(greatest(0.99 * n + 0.5, 1), n))))')} AS p99
         FROM (SELECT cn, CAST(row_number() OVER (ORDER BY cn) AS DOUBLE) AS k, CAST(count(*) OVER () AS DOUBLE) AS n FROM cn)"""),
+    "strong_cells": _sql("e cn", f"""SELECT i, j, a, b, {_r('e')} AS e FROM (
+        SELECT e.*, max(abs(e.e)) OVER (PARTITION BY i, j, a) AS r, max(abs(e.e)) OVER (PARTITION BY i, j, b) AS c FROM e
+        JOIN (SELECT i, j FROM cn WHERE cn > 0.01) USING (i, j))
+        WHERE r > (SELECT 0.5 * max(abs(e)) FROM e) AND c > (SELECT 0.5 * max(abs(e)) FROM e)"""),
+    "permuted_couplings": _sql("e", f"""SELECT i, j, CAST((a + 1) % 3 AS INT) AS a, CAST((b + 1) % 3 AS INT) AS b, {_r('e')} AS e FROM e"""),
+    "score_matrix": _sql("cn sites", f"""SELECT x.i, y.i AS j, {_r('coalesce(u.cn, v.cn, 0.0)')} AS cn
+        FROM (SELECT DISTINCT i FROM sites) x CROSS JOIN (SELECT DISTINCT i FROM sites) y
+        LEFT JOIN cn u ON u.i = x.i AND u.j = y.i LEFT JOIN cn v ON v.j = x.i AND v.i = y.i"""),
+    "score_histogram": _sql("cn", f"""SELECT CAST(k AS INT) AS bin, {_r('lo + k * (hi - lo) / 20')} AS lo, {_r('lo + (k + 1) * (hi - lo) / 20')} AS hi,
+        (SELECT count(*) FROM cn WHERE least(floor((cn - lo) / ((hi - lo) / 20)), 19) = k) AS n
+        FROM range(0, 20) r(k), (SELECT min(cn) AS lo, max(cn) AS hi FROM cn)"""),
     "weighted_sample": _sql("w ne", """SELECT s, count(*) AS times FROM (
         SELECT s, sum(w) OVER (ORDER BY s) - w AS lo, sum(w) OVER (ORDER BY s) AS hi FROM w)
         JOIN (SELECT (k - CAST(0.5 AS DOUBLE)) / 64 * (SELECT neff FROM ne) AS u FROM range(1, 65) r(k)) ON u > lo AND u <= hi GROUP BY s"""),

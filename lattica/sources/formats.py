@@ -180,7 +180,7 @@ class ParameterSource(DataSource):
         return ParameterReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ParameterWriter:
-        return ParameterWriter(self.options["path"])
+        return ParameterWriter(self.options["path"], int(self.options["size"]))
 
 
 class ParameterReader(DataSourceReader):
@@ -250,8 +250,8 @@ class ParameterReader(DataSourceReader):
 class ParameterWriter(DataSourceArrowWriter):
     """Rows (place, data), sorted inside each task: runs without a hole become one part file."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.job = path, uuid.uuid4().hex
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size, self.job = path, size, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         system, plain = _system(self.path)
@@ -274,7 +274,7 @@ class ParameterWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Part | None]) -> None:
         system, plain = _system(self.path)
         parts, end = sorted(x for m in messages if m is not None for x in m.files), 0
-        for place, _, size in parts:
+        for place, _, size in [*parts, (self.size, "", 0)]:
             if place != end:
                 raise ValueError(f"bytes {end} to {place} are missing or written twice")
             end = place + size
@@ -352,4 +352,4 @@ def write_parameters(header: Header, neighbors: DataFrame, fields: DataFrame, co
         rows = rows.union(more)
     rows = rows.mapInArrow(pack, "place bigint, data binary").union(fixed)
     register(spark)
-    rows.repartitionByRange("place").sortWithinPartitions("place").write.format("pair_parameters").mode("append").save(path)
+    rows.repartitionByRange("place").sortWithinPartitions("place").write.format("pair_parameters").option("size", s.size).mode("append").save(path)

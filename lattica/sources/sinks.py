@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.objective import Shape
@@ -48,11 +49,66 @@ def weight_lines(weights: DataFrame, single: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "value string")
 
 
+def write_parts(lines: DataFrame, folder: str) -> dict:
+    """``lines`` (value), in the order of its partitions, as part files of ``folder``, and a manifest: the files in that order
+    and how many lines they have. Only the manifest passes through the driver."""
+    spark = lines.sparkSession
+    lines.write.text(folder)
+    system, path = _hadoop(spark, folder)
+    names = sorted(f.getPath().getName() for f in system.listStatus(path) if f.getPath().getName().startswith("part-"))
+    counts = {r.name: r["count"] for r in spark.read.text(folder).groupBy(F.col("_metadata.file_name").alias("name")).count().collect()}
+    manifest = {"lines": sum(counts.values()), "parts": [{"file": n, "lines": counts[n]} for n in names if n in counts]}
+    out = system.create(_path(spark, f"{folder}/_manifest.json"))
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    return manifest
+
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, value): the lines of :func:`write_parts`; a folder whose files aren't those of its manifest is an error."""
+    system, _ = _hadoop(spark, folder)
+    stream = system.open(_path(spark, f"{folder}/_manifest.json"))
+    manifest = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    stream.close()
+    rows = spark.read.text([f"{folder}/{p['file']}" for p in manifest["parts"]]) if manifest["parts"] else spark.createDataFrame([], "value string")
+    if manifest["parts"]:
+        place = {p["file"]: k for k, p in enumerate(manifest["parts"])}
+        found = {r.name: r["count"] for r in rows.groupBy(F.col("_metadata.file_name").alias("name")).count().collect()}
+        if found != {p["file"]: p["lines"] for p in manifest["parts"]}:
+            raise ValueError("the files of " + folder + " aren't those of its manifest")
+        listed = spark.createDataFrame(sorted(place.items()), "name string, part int")
+        return rows.withColumn("name", F.col("_metadata.file_name")).join(F.broadcast(listed), "name").select("part", "value")
+    return rows.select(F.lit(0).alias("part"), "value")
+
+
 def write_text(lines: DataFrame, path: str) -> None:
-    """A single local file, streamed partition by partition."""
-    with Path(path).open("w") as f:
-        for r in lines.toLocalIterator():
-            f.write(r.value + "\n")
+    """One file of ``lines`` in the order of its partitions: written as parts by the tasks and joined by the file system's
+    streams, so that no row reaches the driver's Python."""
+    spark = lines.sparkSession
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    manifest = write_parts(lines, folder)
+    system, target = _hadoop(spark, path)
+    system.setWriteChecksum(False)  # a plain file, without one of sums beside it
+    out = system.create(target, True)
+    try:
+        for part in manifest["parts"]:
+            source = system.open(_path(spark, f"{folder}/{part['file']}"))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+    finally:
+        out.close()
+        system.setWriteChecksum(True)
+        system.delete(_path(spark, folder), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    found = _path(spark, path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
 @dataclass
