@@ -216,19 +216,21 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT min(item_id) AS item_id, r, t FROM (
                   SELECT item_id, string_split(trim(lower(raw)), '  ') AS r, string_split(trim({temp}), '  ') AS t FROM bench)
                   GROUP BY r, t),
-            dw AS (SELECT doc_id, i, array_to_string(t[i:i + 7], ' ') AS k FROM (
-                   SELECT doc_id, t, unnest(range(1, len(t) - 6)) AS i FROM d)),
-            bw AS (SELECT item_id, i, array_to_string(t[i:i + 7], ' ') AS k FROM (
-                   SELECT item_id, t, unnest(range(1, len(t) - 6)) AS i FROM b)),
+            dw AS (SELECT doc_id, i, array_to_string(t[i:i + 7], ' ') AS k, array_to_string(r[i:i + 7], ' ') AS v FROM (
+                   SELECT doc_id, r, t, unnest(range(1, len(t) - 6)) AS i FROM d)),
+            bw AS (SELECT item_id, i, array_to_string(t[i:i + 7], ' ') AS k, array_to_string(r[i:i + 7], ' ') AS v FROM (
+                   SELECT item_id, r, t, unnest(range(1, len(t) - 6)) AS i FROM b)),
             sizes AS (SELECT item_id, count(*) AS n FROM bw GROUP BY item_id),
-            spans AS (SELECT doc_id, item_id, dw.i - bw.i AS shift, list(DISTINCT bw.i) AS places
-                      FROM dw JOIN bw USING (k) GROUP BY ALL),
-            slots AS (SELECT DISTINCT doc_id, item_id, shift, b.t[i] AS kind, b.r[i] AS mine, d.r[i + shift] AS theirs
-                      FROM (SELECT *, unnest(range(list_min(places), list_max(places) + 8)) AS i FROM spans) s
+            met AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, dw.i - bw.i AS shift, bw.i AS i, false AS verbatim FROM dw JOIN bw USING (k)
+                   UNION ALL SELECT DISTINCT doc_id, item_id, dw.i - bw.i, bw.i, true FROM dw JOIN bw USING (v)),
+            spans AS (SELECT doc_id, item_id, shift, false AS verbatim, min(i) AS lo, max(i) AS hi FROM met WHERE NOT verbatim GROUP BY ALL
+                   UNION ALL SELECT doc_id, item_id, shift, true, min(i), max(i) FROM met GROUP BY ALL),
+            slots AS (SELECT DISTINCT doc_id, item_id, shift, verbatim, b.t[i] AS kind, b.r[i] AS mine, d.r[i + shift] AS theirs
+                      FROM (SELECT *, unnest(range(lo, hi + 8)) AS i FROM spans) s
                       JOIN b USING (item_id) JOIN d USING (doc_id) WHERE b.t[i] LIKE '#%'),
-            bad AS (SELECT doc_id, item_id, shift FROM slots GROUP BY ALL
+            bad AS (SELECT doc_id, item_id, shift, verbatim FROM slots GROUP BY ALL
                     HAVING count(*) <> count(DISTINCT (kind, mine)) OR count(*) <> count(DISTINCT (kind, theirs))),
-            good AS (SELECT doc_id, item_id, unnest(places) AS i FROM spans ANTI JOIN bad USING (doc_id, item_id, shift)),
+            good AS (SELECT doc_id, item_id, i FROM met ANTI JOIN bad USING (doc_id, item_id, shift, verbatim)),
             matched AS (SELECT doc_id, item_id, count(DISTINCT i) AS m FROM good GROUP BY ALL)
             SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_windows, CAST(m AS BIGINT) AS n_matched
             FROM matched JOIN sizes USING (item_id) WHERE m * 100 >= n * 50
