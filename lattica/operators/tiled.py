@@ -14,7 +14,7 @@ which it finds the coefficients of the next direction (Chen, Wang and Zhou 2014,
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -111,6 +111,8 @@ class TiledObjective:
         self.parts = parts or max(1, spark.sparkContext.defaultParallelism // layout.n_blocks)
         self.chunks = Stored(chunks(rows, layout, self.parts), "fit-rows")
         self.calls = 0
+        #: What a task works with: layout, block and task give a :class:`BlockRow`.
+        self.block_row: Callable[[Layout, int, int], BlockRow] = BlockRow
 
     def release(self) -> None:
         self.chunks.drop()
@@ -125,7 +127,7 @@ class TiledObjective:
 
     def _sent(self, points: DataFrame) -> DataFrame:
         """(i, j, kind, task, x, d, lam, value): gradient tiles of each block of sites and part of the rows."""
-        layout, blocks = self.layout, self.layout.n_blocks
+        layout, blocks, block_row = self.layout, self.layout.n_blocks, self.block_row
         tiles = points.select(
             F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("part"), "i", "j", "x"
         ).select("part", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.lit(0).alias("kind"), (F.col("i") * blocks + F.col("j")).cast("long").alias("key"), F.col("x").alias("a"), F.lit(None).cast("binary").alias("b"))
@@ -142,7 +144,7 @@ class TiledObjective:
                     if work is None or work.task != task[k]:
                         if work is not None:
                             yield from work.tiles()
-                        work = BlockRow(layout, block[k], task[k])
+                        work = block_row(layout, block[k], task[k])
                     if kind[k] == 0:
                         work.place(*divmod(key[k], blocks), _vector(a[k]))
                     else:

@@ -18,6 +18,7 @@ from lattica.operators import objective as O
 from lattica.operators import scores as S
 from lattica.operators import tiled as T
 from lattica.operators import weights as W
+from lattica.operators.dropout import DropoutObjective
 from lattica.options import Options
 from lattica.plans.sql import ORACLES
 from lattica.sources import adapters
@@ -325,6 +326,19 @@ def grad_gap_couplings(spark, d):
     return _coupling_gradient(*_gap_gradient(spark, d))
 
 
+def objective_dropout(spark, d):
+    """The value where each row keeps half of the parameters, at fixed parameters, for three seeds."""
+    rows, h, e = _fixed_model(spark, d)
+    layout = T.Layout.of(SITES, Q)
+    points = T.tiles_of(spark, layout, h, None, 0.0, e).withColumn("d", F.lit(None).cast("binary"))
+    found = []
+    for seed in range(3):
+        objective = DropoutObjective(rows, layout, 0.0, seed=seed)
+        found.append((seed, objective.at(points).value))
+        objective.release()
+    return spark.createDataFrame(found, "seed int, nll double").select("seed", _r("nll", 4).alias("nll"))
+
+
 def group_penalty(spark, d):
     return O.group_penalty(_covariances(spark, d)[2], LAMBDA_GROUP).select(_r("penalty").alias("penalty"))
 
@@ -464,7 +478,7 @@ _QUERIES = (
     cluster_assign, cluster_consensus, cluster_sizes, cluster_neighbors, fast_weights,
     site_marginals, pair_marginals, site_marginals_li, pair_marginals_li, site_marginals_gap, pair_marginals_gap, init_fields,
     column_information, pair_covariances, nll_init, grad_fields_init, grad_couplings_init, potentials, site_conditionals,
-    objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, grad_gap_fields, grad_gap_couplings, gradient_norms, group_penalty, parameter_norms,
+    objective_fixed_params, grad_fixed_fields, grad_fixed_couplings, objective_gap, grad_gap_fields, grad_gap_couplings, gradient_norms, objective_dropout, group_penalty, parameter_norms,
     coupling_norms, coupling_norms_slice, apc_scores, coupling_table, top_couplings, couplings_above, variance_priors, prior_stats,
     logo_bits, score_stats, strong_cells, permuted_couplings, score_matrix, score_histogram, mixture_cutoff, weighted_sample, fit_lbfgs, fit_gapreduce, fit_group, fit_twostage, fit_adam, fit_progress, fit_on_executors,
 )
