@@ -22,13 +22,27 @@ GROUP_SMOOTHING = 0.001
 # Relational form ------------------------------------------------------------------------
 
 
-def energies(rows: DataFrame, fields: DataFrame, couplings: DataFrame) -> DataFrame:
-    """(s, w, i, a, seen, energy): h_i(a) + sum over j of e_ij(a, code of j) for each row, site
-    and code. ``rows`` is (s, w, codes); fields join by broadcast, couplings as their size allows. Gaps (-1) neither
-    predict nor are predicted."""
+#: Bytes of couplings, both ways, that may be broadcast to the rows; one has about 40.
+BROADCAST_BYTES = 64 << 20
+#: Sites predicted by one key of the join beyond that.
+SITE_BLOCK = 16
+
+
+def energies(rows: DataFrame, fields: DataFrame, couplings: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(s, w, i, a, seen, energy): h_i(a) + sum over j of e_ij(a, code of j) for each row, site and code.
+
+    ``rows`` is (s, w, codes); fields join by broadcast. Couplings, of which there are at most the square of the fields, do so while they are
+    small; else they are dealt by partner, its code and a block of the predicted sites, which makes as many keys
+    more as there are blocks. Gaps (-1) neither predict nor are predicted."""
     long = rows.select("s", "w", F.posexplode("codes").alias("at", "b")).select("s", "w", (F.col("at") + 1).alias("j"), "b").where("b >= 0")
     both = mirrored(couplings.select("i", "j", "a", "b", "e"))
-    pulls = long.join(both, ["j", "b"]).groupBy("s", "i", "a").agg(F.sum("e").alias("pull"))
+    size = fields.agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("sites")).first()
+    if 40 * size.n**2 <= broadcast_bytes:
+        met = long.join(F.broadcast(both), ["j", "b"])
+    else:
+        blocks = F.explode(F.sequence(F.lit(0), F.lit(((size.sites or 1) - 1) // SITE_BLOCK)))
+        met = long.withColumn("block", blocks).join(both.withColumn("block", F.floor((F.col("i") - 1) / SITE_BLOCK).cast("int")), ["j", "b", "block"])
+    pulls = met.groupBy("s", "i", "a").agg(F.sum("e").alias("pull"))
     own = long.select("s", "w", F.col("j").alias("i"), F.col("b").alias("seen"))
     cells = own.join(F.broadcast(fields), "i")
     return cells.join(pulls, ["s", "i", "a"], "left").select(

@@ -1,7 +1,7 @@
 """Marginals of a growing table by Structured Streaming.
 
 At fixed weights marginals are sums, so a stream of (w, codes) keeps them up to date with
-a stateful aggregation of the model's size. Neighbourhood weights aren't incremental."""
+a stateful aggregation of the model's size. Neighbour counts have a module of their own."""
 
 from __future__ import annotations
 

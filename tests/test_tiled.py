@@ -108,3 +108,20 @@ def test_frozen_fields_start_and_precisions(spark):
     assert np.allclose(vector(got.table.df, layout, shape), want.x, atol=1e-6)
     assert np.allclose(shape.fields(vector(got.table.df, layout, shape)), shape.fields(x))
     assert T.minimise(own, got.table.df.select("i", "j", "lam", "x"), 0, 1e9).status is OP.Status.ALREADY_MINIMAL
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_relational_form_equals_the_kernel(spark, gaps, most):
+    codes, w, shape, x = model(n_sites=19, rows=9, gaps=gaps)
+    rows = spark.createDataFrame([(k, c.tolist(), float(v)) for k, (c, v) in enumerate(zip(codes, w))], "s long, codes array<int>, w double")
+    points = tiles(spark, T.Layout.of(19, 3, 7), shape, x, 0.0).cache()
+    h, e = T.field_rows(points, T.Layout.of(19, 3, 7)).cache(), T.coupling_rows(points, T.Layout.of(19, 3, 7)).cache()
+    p = O.conditionals(O.energies(rows, h, e, most)).cache()
+    f, g = O.LocalObjective(codes, w, shape, np.full(19, 0.1), np.full(len(shape.i), 0.2))(x)
+    got = O.negative_log_likelihood(p).first().nll + O.penalty(h, e, 0.1, 0.2).first().penalty
+    assert np.isclose(got, f)
+    by_field = {(r.i, r.a): r.g for r in O.field_gradient(p, h, 0.1).collect()}
+    assert np.allclose([[by_field[i + 1, a] for a in range(3)] for i in range(19)], shape.fields(g))
+    by_pair = {(r.i, r.j, r.a, r.b): r.g for r in O.coupling_gradient(p, rows, e, 0.2).collect()}
+    assert all(np.isclose(by_pair[i + 1, j + 1, a, b], shape.couplings(g)[k, a, b]) for k, (i, j) in enumerate(zip(shape.i, shape.j)) for a in range(3) for b in range(3))
