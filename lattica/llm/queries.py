@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.decontamination import UNITS
+from lattica.llm.secret_scan_sql import secret_scan_sql
 from lattica.llm.tables import fold, table
 
 
@@ -235,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_windows, CAST(m AS BIGINT) AS n_matched
             FROM matched JOIN sizes USING (item_id) WHERE m * 100 >= n * 50
         """,
+        "op11_secret_scan": secret_scan_sql(),
         "op7_chat_tree": f"""
             WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL VALUES (-1, 0, 'user', '{IMITATION}'), (-1, 1, 'assistant', '{IMITATION}')),

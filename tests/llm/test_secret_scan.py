@@ -151,3 +151,20 @@ def test_empty_table_and_no_python_in_the_plan(spark, tmp_path):
     found = S.scan(docs, ["doc_id"])
     assert found.count() == 0
     assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_sql_gives_the_same_spans(tmp_path):
+    import duckdb
+    import pandas as pd
+
+    rows = texts()
+    want = expected(rows)
+    c = duckdb.connect()
+    frame = pd.DataFrame({"doc_id": range(len(rows)), "text": rows})  # noqa: F841
+    c.execute("CREATE VIEW documents AS SELECT * FROM frame")
+    found = c.execute(Q.oracle_sql()["op11_secret_scan"]).fetchall()
+    assert len(found) == len(rows)
+    for doc_id, *counts, digest, spans in found:
+        own, added = want[doc_id]
+        assert counts == [len(own[k]) for k in ("assign", "access", "hex")]
+        assert digest == hashlib.sha256(joined(own).encode()).hexdigest() and spans == joined(own | {"random": added}), rows[doc_id]
