@@ -76,13 +76,18 @@ def bounded_sample(df: DataFrame, n: int, most: int, by: str | None = None) -> D
     """At most ``n`` rows of ``df`` (doc_id, text and others), of each value of ``by`` where given: those whose doc_id and
     then whose other columns have the smallest hashes. Rows without a doc_id or with an empty text don't count, so rows are
     found wherever there are any. Neither the order of rows nor chance decides. Texts are :func:`spread`."""
-    usable = df.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("_hash", F.xxhash64(*df.columns))
-    usable = usable.withColumn("text", spread(F.col("text"), most))  # before rows are held to be ordered
+    usable = df.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    # rows whose hash is in the lowest part of all hashes, four times as many as are wanted, so that few are held to be ordered
+    own = [] if by is None else [by]
+    many = usable.groupBy(*own).agg(F.count(F.lit(1)).alias("_many"))
+    low = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("_many") <= 4.0 * n + 100
+    near = usable.join(F.broadcast(many), own) if own else usable.crossJoin(F.broadcast(many))
+    near = near.where(low).select(*df.columns).withColumn("_hash", F.xxhash64(*df.columns)).withColumn("text", spread(F.col("text"), most))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_hash")]
     if by is None:
-        return usable.orderBy(*order).limit(n).drop("_hash")
+        return near.orderBy(*order).limit(n).drop("_hash")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return usable.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_hash")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_hash")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, most: int) -> list[tuple]:

@@ -108,3 +108,12 @@ def test_remembered_counts_are_bounded_and_used(split):
         assert len(counter.known) <= 5 + 3
     counter = PartCounter(lambda texts: asked.extend(texts) or [len(t) for t in texts], split, CountParams(remembered=5))
     assert counter(["again"]) == counter(["again"]) == [5] and asked.count("again") == 1
+
+
+def test_samples_are_full_and_hold_few_rows(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' ELSE concat('t', id) END AS text", "CASE WHEN id < 50 THEN 'x' ELSE 'y' END AS lang")
+    got = bounded_sample(docs, 300, 1000, "lang").collect()
+    assert sum(r.lang == "y" for r in got) == 300 and sum(r.lang == "x" for r in got) == 33 and all(r.text for r in got)
+    assert len(bounded_sample(docs, 300, 1000).collect()) == 300
+    one = spark.createDataFrame([(5, "")] * 20_000 + [(7, "word")], "doc_id long, text string")
+    assert [r.text for r in bounded_sample(one, 1, 10).collect()] == ["word"]
