@@ -8,9 +8,12 @@ classes is fixed while every training word keeps its own count in p(w | class).
 
 1. Word counts over all training documents are aggregated by Spark and written
    to the shared folder (they grow with the vocabulary and are never collected).
-2. Baum-Welch: expected counts are summed over partitions in each pass over all
-   training documents; a bounded sample only gives the starting point.
-3. Scoring: documents are dealt into blocks by hash; the distinct words of each
+2. Starting point: how often each word class comes before each of 64 groups of
+   classes is summed over all training documents; states are the mixture of that
+   table (its rows and columns are of fixed number, so the driver holds it).
+3. Baum-Welch: expected counts are summed over partitions in each pass over all
+   training documents.
+4. Scoring: documents are dealt into blocks by hash; the distinct words of each
    block are joined with the counts and meet the block's texts again in a
    cogrouped Arrow function, where the scaled forward recursion runs over whole
    texts. A hot word is one row per block, never one per occurrence.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import arrays as A
-from lattica.llm.tables import bounded_sample, saved
+from lattica.llm.tables import saved
 
 END = np.uint64(0x8A5CD789635D2DFF)
 
@@ -41,13 +44,11 @@ class LMParams:
     states: int = 6
     own_classes: int = 2000
     suffix_classes: int = 2048
-    #: Documents of the sample that gives the starting point, characters held of each (of longer ones, stretches from all
-    #: over the text), and passes over it.
-    sample_docs: int = 400
-    sample_chars: int = 256 << 10
-    sample_passes: int = 15
+    #: Groups of next classes, and passes over the table of classes by groups that gives the starting point.
+    groups: int = 64
+    start_passes: int = 60
     #: Passes of Baum-Welch over all training documents.
-    passes: int = 2
+    passes: int = 3
     smoothing: float = 0.1
     #: Training tokens for each block of scored documents.
     block_tokens: int = 3_000_000
@@ -248,19 +249,61 @@ def fit(docs: DataFrame, p: LMParams = LMParams()) -> tuple[LanguageModel, DataF
     )
     if not ends:
         return m, counts.select("word", "n")
-    sample = sorted((r.doc_id, r.text) for r in bounded_sample(docs.select("doc_id", "text"), p.sample_docs, p.sample_chars).collect())
-    chunk = next(A.chunks(pa.array([t for _, t in sample], pa.large_string()), 1 << 40), None)
-    if chunk is not None:
-        cls, first, _, _ = sequences(chunk, m)
-        lock = Lockstep(first)
-        seq = lock.lay(cls)
-        for _ in range(p.sample_passes):
-            reestimate(m, *expected_counts(seq, lock, m)[:3])
+    begin(m, count_neighbours(docs, m))
     for _ in range(p.passes):
         reestimate(m, *gather_counts(docs, m))
     return m, counts.select("word", "n")
 
 
+def group_of(cls: np.ndarray, p: LMParams) -> np.ndarray:
+    """The most frequent classes are groups of their own, three quarters of all; others share the rest."""
+    own = p.groups * 3 // 4
+    return np.where(cls < own, cls, own + cls % (p.groups - own))
+
+
+def count_neighbours(docs: DataFrame, m: LanguageModel) -> np.ndarray:
+    """(classes, groups): how often a token of a class is followed by one of a group in all of ``docs``."""
+    spark, p = docs.sparkSession, m.params
+    shared = spark.sparkContext.broadcast(m)
+    shape = m.classes.n, p.groups
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape[0] * shape[1], np.int64)
+        for batch in batches:
+            for part in A.chunks(batch.column(0), p.chunk_bytes):
+                cls, _, _, ends = sequences(part, shared.value)
+                inner = np.ones(len(cls), bool)
+                inner[ends] = False
+                at = np.flatnonzero(inner)
+                total += np.bincount(cls[at].astype(np.int64) * shape[1] + group_of(cls[at + 1], p), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    total = np.zeros(shape[0] * shape[1])
+    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total[r.cell] = r.n
+    shared.unpersist()
+    return total.reshape(shape)
+
+
+def begin(m: LanguageModel, pairs: np.ndarray) -> None:
+    """States as the mixture p(state) p(class | state) p(next group | state) of the table of neighbours."""
+    p, rng = m.params, np.random.RandomState(m.params.seed)
+    rows, groups = m.emit, rng.rand(p.groups, p.states) + 0.5
+    state, groups = m.start, groups / groups.sum(axis=0)
+    if not pairs.sum():
+        return
+    for _ in range(p.start_passes):
+        ratio = pairs / np.maximum((rows * state) @ groups.T, 1e-300)
+        r, g = rows * state * (ratio @ groups) + 1e-9, groups * state * (ratio.T @ rows) + 1e-9
+        state, rows, groups = r.sum(axis=0) / r.sum(), r / r.sum(axis=0), g / g.sum(axis=0)
+    of_group = np.zeros((p.groups, p.states))
+    np.add.at(of_group, group_of(np.arange(m.classes.n), p), rows * state)
+    of_group /= np.maximum(of_group.sum(axis=1, keepdims=True), 1e-300)
+    moves = (groups.T * state[:, None]) @ of_group
+    reestimate(m, state, moves * pairs.sum(), rows * state * pairs.sum())
+
+
 def gather_counts(docs: DataFrame, m: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One Baum-Welch pass over all of ``docs``; only sums of the model's size come back."""
     spark, p = docs.sparkSession, m.params

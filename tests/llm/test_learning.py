@@ -117,3 +117,13 @@ def test_samples_are_full_and_hold_few_rows(spark):
     assert len(bounded_sample(docs, 300, 1000).collect()) == 300
     one = spark.createDataFrame([(5, "")] * 20_000 + [(7, "word")], "doc_id long, text string")
     assert [r.text for r in bounded_sample(one, 1, 10).collect()] == ["word"]
+
+
+def test_language_model_starts_from_all_documents(spark):
+    """The table that the states start from counts every token of every training document."""
+    from lattica.llm import language_model as L
+
+    docs = spark.createDataFrame([(i, f"w{i} and w{i % 7} then w{i % 3}") for i in range(900)], "doc_id long, text string")
+    model, _ = L.fit(docs, L.LMParams(own_classes=50, suffix_classes=32))
+    assert L.count_neighbours(docs, model).sum() == 900 * 5
+    assert not [f for f in L.LMParams.__dataclass_fields__ if f.startswith("sample")]
