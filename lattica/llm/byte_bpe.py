@@ -6,9 +6,9 @@
    list of its parts' numbers.
 2. Spark higher-order functions encode the parts: the bytes of a part are the
    initial symbols, and a fold merges the adjacent pair of least rank (the leftmost of
-   equals) until no pair has a rank. Ranks come from a literal, the map from two
-   symbols to their merge laid out in arrays (:class:`PairRanks`), so that a look-up
-   reads one entry.
+   equals) until no pair has a rank. Ranks come from a table of one row, read as a scalar
+   subquery so that no plan spells it out: the map from two symbols to their merge laid
+   out in arrays (:class:`PairRanks`), so that a look-up reads one entry.
 3. A second Arrow function puts the ids of each text together and decodes them by
    concatenating the vocabulary's binary pieces.
 
@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -38,21 +38,22 @@ from pyspark.sql import functions as F
 
 from lattica.llm.arrays import chunks, give_back, gives_back
 
-#: No merge has this rank; places in a part that the fold merges have this many bits.
-NO_RANK = 1 << 20
+#: Symbols have this many bits; no merge has this rank; places in a part that the fold merges have this many bits.
+SYMBOL_BITS = 20
+NO_RANK = 1 << SYMBOL_BITS
 PLACE_BITS = 9
 
 
 @dataclass(frozen=True)
 class BpeParams:
     #: Bytes of distinct pieces that a task remembers at most.
-    distinct_bytes: int = 3 << 20
+    distinct_bytes: int = 10 << 20
     #: Longest part that the fold merges (less than 2**PLACE_BITS - 1).
     fold_bytes: int = 256
     #: Least text of a task: a task encodes each of its distinct parts once, so small tasks repeat each other's work.
-    task_bytes: int = 64 << 20
-    #: Texts whose ids are put together at once.
-    joined_rows: int = 256
+    task_bytes: int = 100 << 20
+    #: Numbers of parts that are put together at once.
+    joined_parts: int = 1 << 17
     #: Bytes of text that are split at once.
     chunk_bytes: int = 1 << 20
 
@@ -74,8 +75,8 @@ class PairRanks:
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> PairRanks:
         size = max(ranks.values(), default=0) + 1
-        if size > NO_RANK:
-            raise ValueError(f"ranks must be less than {NO_RANK}")
+        if size >= NO_RANK:
+            raise ValueError(f"ranks must be less than {NO_RANK - 1}")
         rows: dict[int, list[tuple[int, int]]] = {}
         for x, i in ranks.items():
             for k in range(1, len(x)):
@@ -104,8 +105,10 @@ class PairRanks:
         return cls(shift.tolist(), owner.tolist(), merged.tolist())
 
 
-def _literal(numbers: list[int]) -> Column:
-    return F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), "array<int>")
+def tables(spark: SparkSession, ranks: PairRanks) -> Column:
+    """``ranks`` as a struct of arrays: a plan names the subquery, not its millions of digits."""
+    row = pa.table({x: pa.array([getattr(ranks, x)], pa.list_(pa.int32())) for x in ("shift", "owner", "merged")})
+    return spark.createDataFrame(row).select(F.struct("shift", "owner", "merged")).scalar()
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,53 +117,49 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
-def encode_part(symbols: Column, ranks: PairRanks) -> Column:
-    """array<int> of the ids of a part: ``symbols`` are the numbers of its bytes between two -1.
+def encode_part(symbols: Column, ranks: Column) -> Column:
+    """array<int> of the ids of a part: ``symbols`` are the numbers of its bytes between two -1, ``ranks`` are :func:`tables`.
 
-    The state of the fold is the list of symbols and, for each two neighbours, one key: the rank of
-    their merge above, the place of the left one among the bytes of the part below. The least
-    key is thus the leftmost merge of least rank, and the number of keys up to its place is its position."""
-    rest = F.lit(NO_RANK)
-    place_bits = F.lit((1 << PLACE_BITS) - 1)
+    The state of the fold is one number for each symbol: the rank of its merge with the next one above,
+    its place among the bytes of the part, the symbol below. The least number is thus the leftmost merge
+    of least rank, and no other number equals it. The -1 before the part stays its first entry."""
+    rest, low_bits = F.lit(NO_RANK), PLACE_BITS + SYMBOL_BITS
 
-    def place(key: Column) -> Column:
-        return key.bitwiseAND(place_bits)
+    def symbol(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(NO_RANK - 1)).cast("int")
 
     def fold(shift: Column, owner: Column, merged: Column) -> Column:
-        def key(left: Column, right: Column, at: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
             slot = F.get(shift, left) + right
-            rank = F.when(F.get(owner, slot) == left, F.get(merged, slot))
-            return F.shiftleft(F.coalesce(rank, rest), PLACE_BITS).bitwiseOR(at)
+            found = F.when(F.get(owner, slot) == left, F.get(merged, slot))
+            return F.shiftleft(F.coalesce(found, rest).cast("long"), low_bits)
 
         def step(state: Column, _: Column) -> Column:
-            part, pair = state["part"], state["pair"]
-
-            def merge(low: Column) -> Column:
+            def merge(least: Column) -> Column:
                 def put(at: Column) -> Column:
-                    new = F.shiftright(low, PLACE_BITS)
-                    before = F.get(pair, at - 2)
-                    return F.struct(
-                        F.concat(F.slice(part, F.lit(1), at - 1), F.array(new), F.slice(part, at + 2, rest)).alias("part"),
-                        F.concat(
-                            F.slice(pair, F.lit(1), at - 2),
-                            F.array(key(F.get(part, at - 2), new, place(before)), key(new, F.get(part, at + 1), place(low))),
-                            F.slice(pair, at + 2, rest),
-                        ).alias("pair"),
+                    new = F.shiftright(least, low_bits).cast("int")
+                    before, after = F.get(state, at - 2), F.get(state, at + 1)
+                    place = least.bitwiseAND(F.lit((1 << low_bits) - NO_RANK))
+                    pair = F.array(
+                        rank(symbol(before), new).bitwiseOR(before.bitwiseAND(F.lit((1 << low_bits) - 1))),
+                        rank(new, symbol(after)).bitwiseOR(place).bitwiseOR(new.cast("long")),
                     )
+                    return F.concat(F.slice(state, F.lit(1), at - 2), pair, F.slice(state, at + 2, rest))
+
+                at = F.array_position(state, least).cast("int")
+                return F.when(least >= F.lit(NO_RANK << low_bits), state).otherwise(_let(at, put))
 
-                at = F.size(F.filter(pair, lambda x: place(x) <= place(low)))
-                return F.when(low >= F.lit(NO_RANK << PLACE_BITS), state).otherwise(_let(at, put))
+            return _let(F.array_min(state), merge)
 
-            return _let(F.array_min(pair), merge)
+        def entry(x: Column, i: Column) -> Column:
+            own = x.bitwiseAND(F.lit(NO_RANK - 1)).cast("long")
+            return rank(x, F.get(symbols, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), SYMBOL_BITS)).bitwiseOR(own)
 
-        pairs = F.transform(F.slice(symbols, F.lit(2), rest), lambda x, i: key(F.get(symbols, i), x, i))
+        entries = F.transform(F.slice(symbols, F.lit(1), F.size(symbols) - 1), entry)
         merges = F.slice(symbols, F.lit(1), F.greatest(F.size(symbols) - 3, F.lit(0)))  # as many as there can be
-        folded = F.aggregate(merges, F.struct(symbols.alias("part"), pairs.alias("pair")), step, lambda x: x["part"])
-        return _let(folded, lambda x: F.slice(x, F.lit(2), F.size(x) - 2))
+        return F.aggregate(merges, entries, step, lambda x: F.transform(F.slice(x, F.lit(2), rest), symbol))
 
-    # the tables are in the plan once, however often the fold names them
-    tables = F.struct(*(_literal(getattr(ranks, x)).alias(x) for x in ("shift", "owner", "merged")))
-    return _let(tables, lambda t: fold(t["shift"], t["owner"], t["merged"]))
+    return _let(ranks, lambda t: _let(t["shift"], lambda x: _let(t["owner"], lambda y: _let(t["merged"], lambda z: fold(x, y, z)))))
 
 
 def byte_symbols(parts: list[bytes | None], number: np.ndarray) -> pa.Array:
@@ -257,8 +256,8 @@ class Decoder:
         for piece, i in ranks.items():
             self.data[self.start[i] : self.start[i + 1]] = np.frombuffer(piece, np.uint8)
 
-    def __call__(self, ids: np.ndarray) -> bytes:
-        return self.data[_gather(self.start, ids)].tobytes()
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[_gather(self.start, ids)]
 
 
 def _gather(start: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -268,6 +267,28 @@ def _gather(start: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
 
 
+def _ends(start: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Before each i of ``which`` and after the last: how many positions :func:`_gather` gives up to there."""
+    return np.concatenate([[0], np.cumsum(start[which + 1] - start[which], dtype=np.int64)])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, the bytes of ``values[ends[i]:ends[i + 1]]``."""
+    offsets = ends * values.itemsize
+    if offsets[-1] >= 1 << 31:
+        return pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit integers of all binary values, and where each value begins and the last ends."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    own = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    return np.frombuffer(own.tobytes(), np.int32), (offsets - offsets[0]) // 4
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpeParams = BpeParams()) -> DataFrame:
     """``keep`` columns of ``docs`` with n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (binary)."""
     spark = docs.sparkSession
@@ -288,10 +309,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
 
         give_back()
         find, cuts = regex.compile(pattern).findall, Cuts(shared.value)
-        #: numbers of a piece's parts as 32-bit integers, and of a part
-        numbers: dict[str, bytes] = {}
+        #: pieces by number, and parts of cut pieces; a piece that isn't cut is a part that nothing else looks up
+        numbers: dict[str, int] = {}
         known: dict[bytes, int] = {}
-        remembered = 0
+        #: parts of each piece, by its number
+        flat, start = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        remembered = used = made = 0
         for batch in batches:
             text = batch.column(width)
             names = [*batch.schema.names[:-1], "_number", "_symbols", "_list"]
@@ -299,38 +322,45 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                 if remembered > p.distinct_bytes:
                     numbers.clear()
                     known.clear()
-                    remembered = 0
+                    remembered = used = made = 0
                 found = [find(t) if t else [] for t in text.slice(c.rows.start, c.n).to_pylist()]
-                new = set().union(*found).difference(numbers)
+                new = list(set().union(*found).difference(numbers))
                 data, bounds, first = cuts.parts([x.encode() for x in new])
                 remembered += len(data)
-                own, fresh = [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    part = data[a:b]
-                    number = known.get(part)
-                    if number is None:
-                        number = known[part] = len(known)
-                        fresh.append(part)
-                    own.append(number)
-                own = np.array(own, np.int32)
-                for x, a, b in zip(new, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    numbers[x] = own[a:b].tobytes()
-                lists = [b"".join(map(numbers.__getitem__, x)) for x in found]
-                del found, new, own
+                n_parts, own = np.diff(first), np.empty(len(bounds) - 1, np.int32)
+                whole = np.repeat(n_parts == 1, n_parts)
+                at = np.flatnonzero(whole)
+                own[at] = np.arange(made, made + len(at))
+                begin, at, bounds = made, at.tolist(), bounds.tolist()
+                made += len(at)
+                for k in np.flatnonzero(~whole).tolist():
+                    number = known.setdefault(data[bounds[k] : bounds[k + 1]], made)
+                    if number == made:
+                        made += 1
+                        at.append(k)
+                    own[k] = number
+                fresh = [data[bounds[k] : bounds[k + 1]] for k in at]
+                before = len(numbers)
+                numbers.update(zip(new, range(before, before + len(new)), strict=True))
+                flat, start = _room(flat, used + len(own)), _room(start, before + len(first))
+                flat[used : used + len(own)] = own
+                start[before : before + len(first)] = used + first
+                used += len(own)
+                edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+                which = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, edge[-1])
+                lists = _binary(flat[_gather(start, which)], _ends(start, which)[edge])
+                del found, new, own, which, data, bounds, at
                 kept = [batch.column(i).slice(c.rows.start, c.n) for i in range(width)]
                 if fresh:
-                    at = np.arange(len(known) - len(fresh), len(known), dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *(pa.nulls(len(fresh), k.type) for k in kept), pa.array(at),
+                            *(pa.nulls(len(fresh), k.type) for k in kept), pa.array(np.arange(begin, made, dtype=np.int32)),
                             byte_symbols([x if len(x) <= p.fold_bytes else None for x in fresh], byte_number),
                             pa.array([x if len(x) > p.fold_bytes else None for x in fresh], pa.binary()),
                         ],
                         names=names,
                     )
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.list_(pa.int32())), pa.array(lists, pa.binary())], names=names
-                )
+                yield pa.RecordBatch.from_arrays([*kept, pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.list_(pa.int32())), lists], names=names)
                 del lists, kept, fresh
 
     @gives_back
@@ -361,22 +391,25 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], p: BpePara
                         used = at + len(values)
                     continue
                 # a few rows at a time, so that no more than these are held beside the batch
-                for lo in range(a, b, p.joined_rows):
-                    hi = min(b, lo + p.joined_rows)
-                    n, coded, plain = [], [], []
-                    for x in lists.slice(lo, hi - lo).to_pylist():
-                        found = flat[_gather(start, np.frombuffer(x, np.int32))]
-                        n.append(len(found))
-                        coded.append(found.astype("<u4").tobytes())
-                        plain.append(decode(found))
+                data, edge = _numbers(lists.slice(a, b - a))
+                lo = 0
+                while lo < b - a:
+                    hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + p.joined_parts, side="right")) - 1)
+                    which = data[edge[lo] : edge[hi]]
+                    coded = flat[_gather(start, which)]
+                    cut = _ends(start, which)[edge[lo : hi + 1] - edge[lo]]
+                    kept = [batch.column(i).slice(a + lo, hi - lo) for i in range(width)]
+                    plain = _binary(decode(coded), _ends(decode.start, coded)[cut])
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).slice(lo, hi - lo) for i in range(width)), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(plain, pa.binary())],
+                        [*kept, pa.array(np.diff(cut)), _binary(coded.astype("<u4"), cut), plain],
                         names=[*batch.schema.names[:width], "n_tokens", "ids", "decoded"],
                     )
+                    lo = hi
 
     pieces = source.mapInArrow(split, f"{own}, _number int, _symbols array<int>, _list binary")
-    ids = F.when(F.col("_symbols").isNotNull(), encode_part(F.col("_symbols"), PairRanks.of(ranks)))
-    coded = pieces.select(*keep, "_number", ids.alias("_ids"), "_list")
+    ids = F.when(F.col("_symbols").isNotNull(), encode_part(F.col("_symbols"), F.col("_ranks")))
+    # a higher-order function can't name a subquery itself; a column that is used once is evaluated where it is used
+    coded = pieces.withColumn("_ranks", tables(spark, PairRanks.of(ranks))).select(*keep, "_number", ids.alias("_ids"), "_list")
     return coded.mapInArrow(join, f"{own}, n_tokens long, ids binary, decoded binary")
 
 
