@@ -200,18 +200,15 @@ def index_entries(docs: DataFrame, rank, p: JaccardParams) -> DataFrame:
 
 def key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """Two bitmaps of ``2**bits`` bits, with the low and the next bits of each key: fixed size, no misses."""
-    mask, halves = (1 << bits) - 1, []
-    for shift in (0, bits):
-        low = F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(mask))
-        words = (
-            keys.select(low.alias("low"))
-            .select(F.shiftright("low", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(low & 63 as int))").alias("bits"))
-            .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        )
-        out = np.zeros(1 << (bits - 6), np.int64)
-        out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-        halves.append(out.view(_U))
-    return np.stack(halves)
+    low = F.explode(F.array(*(F.shiftrightunsigned(F.col(column), k * bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(k << bits) for k in (0, 1))))
+    words = (
+        keys.select(low.alias("low"))
+        .select(F.shiftright("low", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(low & 63 as int))").alias("bits"))
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    )
+    out = np.zeros(2 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(_U).reshape(2, -1)
 
 
 def _passes(bitmaps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -308,7 +305,11 @@ def verified(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
 
     likely = saved(plausible(pairs, sets, p), "jaccard-plausible")
     nodes = saved(likely.select("a").union(likely.select("b")).distinct().select(F.col("a").alias("node")), "jaccard-wanted")
-    few = nodes.limit(p.broadcast_nodes + 1).count() <= p.broadcast_nodes
+    count = nodes.limit(p.broadcast_nodes + 1).count()
+    if not count:  # nothing to verify
+        discard(nodes)
+        return likely
+    few = count <= p.broadcast_nodes
     # only texts of these nodes are shuffled
     texts = sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -453,29 +454,47 @@ def similarity_classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     shared = saved(ends.where("lo <> hi").select("entry"), "jaccard-shared")
     bitmap = spark.sparkContext.broadcast(key_filter(shared, "entry", p.filter_bits))  # two of 2**filter_bits bits
     sets = saved(candidates(docs, rank, bitmap, p), "jaccard-sets")
+    for x in (rank, bitmap):  # the driver's heap holds its blocks
+        x.destroy()
     written = saved(sets.select("node", "n", F.explode("entries").alias("entry")).join(shared, "entry"), "jaccard-members")
     discard(shared)
-    members, links = written.withColumn("comp", F.col("node")), []
+    members, links, labels, settled = written.withColumn("comp", F.col("node")), [], None, written.isEmpty()
+
+    def met(found: DataFrame) -> bool:
+        """Keep links; False if there are none, so that classes are as before. Each query leaves its text with the driver, so none is made for nothing."""
+        if found.isEmpty():
+            discard(found)
+            return False
+        links.append(found)
+        return True
+
     for turn in range(p.turns):
         # each node meets the node of a larger class with which it shares most entries
-        links.append(verified(_best_partners(members, turn), sets, p))
+        if settled or not met(verified(_best_partners(members, turn), sets, p)):
+            continue
         labels = connected_components(_all(links))
         before, members = written, saved(_open(members, labels), "jaccard-open")
         discard(before)
-        written = members
-    size = members.groupBy("entry").count()
-    few = members.join(size.where(F.col("count") <= p.pairwise).select("entry"), "entry")
-    other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
-    # one query each, so that each one's shuffle files go before the next
-    links.append(verified(pairs.select("a", "b").distinct(), sets, p))
-    some = members.join(size.where((F.col("count") > p.pairwise) & (F.col("count") <= p.sketched)).select("entry"), "entry")
-    likely = _blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p, distinct=True)
-    links.append(verified(likely, sets, p))
-    many = members.join(size.where(F.col("count") > p.sketched).select("entry"), "entry")
-    links.append(_blockwise(many, sets.select("node", "n", "text"), _forest, p))
-    discard(likely, members, sets)
-    labels = connected_components(_all(links))
+        written, settled = members, members.isEmpty()
+    done, size = len(links), members.groupBy("entry").count()
+    small, large = F.col("count") <= p.pairwise, F.col("count") > p.sketched
+    kinds = (small, ~small & ~large, large)
+    has_few, has_some, has_many = (False,) * 3 if settled else size.agg(*(F.coalesce(F.max(k), F.lit(False)) for k in kinds)).first()
+    few, some, many = (members.join(size.where(k).select("entry"), "entry") for k in kinds)
+    if has_few:
+        other = few.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        pairs = few.withColumnRenamed("node", "a").join(other, "entry").where("a < b and comp <> comp_b").where(_sizes_fit(p, "n", "n_b"))
+        # one query each, so that each one's shuffle files go before the next
+        met(verified(pairs.select("a", "b").distinct(), sets, p))
+    if has_some:
+        likely = _blockwise(some, sets.select("node", "n", "sketch"), _likely_pairs, p, distinct=True)
+        met(verified(likely, sets, p))
+        discard(likely)
+    if has_many:
+        met(_blockwise(many, sets.select("node", "n", "text"), _forest, p))
+    discard(written, sets)
+    if labels is None or len(links) > done:
+        labels = connected_components(_all(links)) if links else nodes.select("node", F.col("node").alias("comp")).limit(0)
     discard(*links)
     own = nodes.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
