@@ -151,7 +151,7 @@ def _gradients(x: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray], p: Langua
     return g
 
 
-def score_chunk(chunk: A.Chunk, m: LanguageModel, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def score_chunk(chunk: A.Chunk, m: LanguageModel, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Best language and its probability for each document."""
     x, doc, used = cut_windows(chunk, m.params.window)
     out = np.zeros((chunk.n, len(m.languages)))
@@ -189,7 +189,7 @@ def _predict(text: pa.Array, m: LanguageModel) -> tuple[pa.Array, pa.Array]:
     """lang_pred and score of each text."""
     names = np.array([*m.languages, UNDETERMINED], object)
     best, score = [np.empty(0, np.int64)], [np.empty(0)]
-    for c in A.chunks(text, 1 << 20):
+    for c in A.chunks(text, 1 << 18):
         ok = has_letter(c)
         if m.languages:
             b, s = score_chunk(c, m)
@@ -204,8 +204,12 @@ def prediction(spark: SparkSession, text: Column, model: LanguageModel) -> Colum
     """struct(lang_pred, score) of a text column, beside any other columns."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(x: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(list(_predict(x, shared.value)), ["lang_pred", "score"])
+    @A.gives_back
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        A.give_back()
+        for x in batches:
+            yield pa.StructArray.from_arrays(list(_predict(x, m)), ["lang_pred", "score"])
 
     return F.arrow_udf(run, "lang_pred string, score double")(text)
 
