@@ -50,3 +50,10 @@ def test_columns_of_any_target_are_those_of_the_sql(spark, tmp_path, case):
     db = documents(spark, tmp_path, TARGETS[case])
     got = catalogue.queries()["focus_columns"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(db.execute(catalogue.oracle_sql()["focus_columns"]).fetchall())
+
+
+@pytest.mark.parametrize("case", TARGETS)
+def test_offsets_of_any_target_are_those_of_the_sql(spark, tmp_path, case):
+    db = documents(spark, tmp_path, TARGETS[case])
+    got = catalogue.queries()["focus_offsets"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(catalogue.oracle_sql()["focus_offsets"]).fetchall())
