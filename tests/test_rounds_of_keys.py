@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lattica.operators import alignment as AL
 from lattica.operators import near as N
+from lattica.options import Options
 
 SITES, ROWS = 24, 60_000
 
@@ -50,3 +52,12 @@ def test_counts_don_t_depend_on_rounds(spark, monkeypatch, rounds, most):
     found = N.by_keys(distinct, distinct.count(), N.Near(shape, 1), most)
     want = ((codes[:, None] != codes[None]).sum(axis=2) <= 4).sum(axis=1)
     assert {r.s: r.n for r in packed.join(found, shape.names).collect()} == dict(enumerate(want))
+
+
+def test_weights_are_made_before_all_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(1, "a", "AC"), (2, "b", "A?"), (3, "c", "AD")], "seq_id long, name string, seq string")
+    a = AL.select(rows, Options())
+    weights = a.rows.groupBy("s").count().select("s", (1.0 / (N.F.col("count") + 1)).alias("w"))
+    found = AL.realigned(a, weights)
+    assert "Aggregate" in weights._jdf.queryExecution().toString() and "Aggregate" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 0.5), (2, 0.0), (3, 0.5)]
