@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lattica.functions.alphabet import is_valid
 from lattica.operators import alignment as AL
 from lattica.operators import near as N
 from lattica.options import Options
@@ -61,3 +62,8 @@ def test_weights_are_made_before_all_rows_are_dealt(spark):
     found = AL.realigned(a, weights)
     assert "Aggregate" in weights._jdf.queryExecution().toString() and "Aggregate" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 0.5), (2, 0.0), (3, 0.5)]
+
+
+def test_codes_of_the_alphabet(spark):
+    rows = spark.createDataFrame([([0, -3, 2],), ([0, 3],), ([-4, 0],), ([],), (None,)], "codes array<int>")
+    assert [r[0] for r in rows.select(is_valid(N.F.col("codes"), 3)).collect()] == [True, False, False, True, None]
